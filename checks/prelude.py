@@ -273,5 +273,12 @@ member_rows AS (
 """
 
 
+REDACT = """regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
+  '(?i)\\b(api[_-]?key|token|password|secret)\\b\\s*[:=]\\s*[''"]?([^\\s''"]+)',
+  '\\1=[REDACTED]', 'g'), '\\bsk-[A-Za-z0-9_-]{{16,}}\\b', '[REDACTED]', 'g'),
+  '\\bgh[oprsu]_[A-Za-z0-9]{{20,}}\\b', '[REDACTED]', 'g'),
+  '\\bAKIA[A-Z0-9]{{16}}\\b', '[REDACTED]', 'g')"""
+
+
 def sql(body: str, ctes: str = LOG_CTES) -> str:
     return "WITH " + ctes.strip().rstrip(",") + "\n" + body

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,22 +157,36 @@ def skill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k != 0, k < 50).alias("skill_used"))
 
 
-_EVENTS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str,
+         build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Write a shared input once per session and given folder; read it afterwards."""
+    scan.utc_session(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = stored(build(spark, sf_dir), name)
+    return _STORED[key]
+
+
+def logs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "raw_logs", raw_logs)
+
+
+def spans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "raw_spans", raw_spans)
 
 
 def events_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_events(raw_logs(spark, sf_dir), raw_spans(spark, sf_dir),
+    return scan.scan_events(logs_table(spark, sf_dir), spans_table(spark, sf_dir),
                             project_roots(spark), START_NS, NOW_NS,
                             extras=skill_facts(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector events, written once per session and input and read by every detector."""
-    scan.utc_session(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _EVENTS:
-        _EVENTS[key] = stored(events_plan(spark, sf_dir), "events")
-    return _EVENTS[key]
+    """Detector events, written once and read by every detector."""
+    return once(spark, sf_dir, "events", events_plan)
 
 
 def typed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +194,7 @@ def typed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.sources import telemetry
 
     return validate.accepted(validate.parse_logs(telemetry.scan_logs(
-        raw_logs(spark, sf_dir), START_NS, NOW_NS)))
+        logs_table(spark, sf_dir), START_NS, NOW_NS)))
 
 
 def typed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +202,7 @@ def typed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.sources import telemetry
 
     return validate.accepted(validate.parse_traces(telemetry.scan_traces(
-        raw_spans(spark, sf_dir), START_NS, NOW_NS)))
+        spans_table(spark, sf_dir), START_NS, NOW_NS)))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -178,8 +178,7 @@ def clean_path(col: Column) -> Column:
         F.when(path.rlike(r"\A//(?:[^/]|\z)"), F.lit("//"))
         .when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
     )
-    joined = F.concat(lead, body)
-    return F.when(joined == "", F.lit(".")).otherwise(joined)
+    return F.regexp_replace(F.concat(lead, body), r"\A\z", ".")
 
 
 def is_uri(col: Column) -> Column:

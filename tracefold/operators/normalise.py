@@ -145,11 +145,8 @@ def positionals(args: Column, executable: Column) -> Column:
     return F.aggregate(args, start, step, lambda state: state["kept"])
 
 
-def shell_operation(argv: Column) -> Column:
-    """Operation struct of a masked, non-empty argument vector."""
-    executable = executable_name(argv[0])
-    found = positionals(F.slice(argv, F.lit(2), F.greatest(F.size(argv) - 1, F.lit(0))),
-                        executable)
+def shell_operation(argv: Column, executable: Column, found: Column) -> Column:
+    """Operation struct of a masked argument vector and its positionals."""
     n = F.size(found)
     known = F.array_contains(_lookup(K.SUBCOMMANDS, executable), F.get(found, F.lit(0)))
     subcommand = F.when((n > 0) & (known | (n > 1)), F.get(found, F.lit(0)))
@@ -160,6 +157,10 @@ def shell_operation(argv: Column) -> Column:
     )
 
 
+def tail(argv: Column) -> Column:
+    return F.slice(argv, F.lit(2), F.greatest(F.size(argv) - 1, F.lit(0)))
+
+
 def is_plain_array(tool: Column, arguments: Column) -> Column:
     """Calls whose command is a JSON array of unescaped strings."""
     return F.coalesce(
@@ -182,7 +183,9 @@ def normalise_operations(calls: DataFrame, tool: str = "tool_name",
         "_argv": F.when(plain, plain_array(text)),
         "_parsed": _parse_calls(F.when(~plain, name), F.when(~plain, text)),
     }).withColumn("_argv", F.transform(
-        F.coalesce("_argv", "_parsed.argv"), lambda a: C.mask_volatile(a)))
+        F.coalesce("_argv", "_parsed.argv"), lambda a: C.mask_volatile(a))
+    ).withColumn("_exe", executable_name(F.get("_argv", F.lit(0)))
+    ).withColumn("_found", positionals(tail(F.col("_argv")), F.col("_exe")))
     target = F.col("_parsed.target")
     generic = F.struct(
         F.lit("tool").alias("kind"), name.alias("executable"),
@@ -193,9 +196,10 @@ def normalise_operations(calls: DataFrame, tool: str = "tool_name",
     )
     return staged.withColumn(
         "operation",
-        F.when(F.col("_argv").isNotNull(), shell_operation(F.col("_argv")))
+        F.when(F.col("_argv").isNotNull(), shell_operation(
+            F.col("_argv"), F.col("_exe"), F.col("_found")))
         .when(F.col("_parsed.canonical").isNotNull(), generic).cast(OPERATION_TYPE),
-    ).drop("_argv", "_parsed")
+    ).drop("_argv", "_parsed", "_exe", "_found")
 
 
 def membership_key(operation: Column) -> Column:
