@@ -267,14 +267,14 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("hydrate_evidence", f"""WITH d AS (SELECT doc_id, CASE WHEN length(text) <= 1000000 THEN
-  {REDACT.format(c="CAST(to_json({lang: lang, source: source, text: repeat(text, 400)}) AS VARCHAR)")}
-  END AS t, length(CAST(to_json({{lang: lang, source: source, text: repeat(text, 400)}})
+  {REDACT.format(c="CAST(to_json({lang: lang, source: source, text: repeat(text, 12)}) AS VARCHAR)")}
+  END AS t, length(CAST(to_json({{lang: lang, source: source, text: repeat(text, 12)}})
     AS VARCHAR)) AS n FROM documents)
 SELECT doc_id, CASE WHEN n > 1000000 THEN 'quarantined' ELSE 'correlated' END
   AS correlation_status, sha256(CASE WHEN n > 1000000 THEN 'quarantined' ELSE t END)
   AS content_hash FROM d""")
 def hydrate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"text": F.repeat("text", F.lit(400)), "lang": F.col("lang"),
+    fields = {"text": F.repeat("text", F.lit(12)), "lang": F.col("lang"),
               "source": F.col("source")}
     return observations.hydrate_evidence(
         views.table(spark, sf_dir, "documents"), fields).select(
@@ -331,8 +331,12 @@ judged AS (
     THEN 'actionable' WHEN occurrence_count <= 1 THEN 'isolated' ELSE 'emerging' END AS trend_state
   FROM evaluated),
 """
-_WEEK3 = _TREND.format(lo=1705276800000000000 - 604800000000000, hi=1705276800000000000)
-_LAST = _TREND.format(lo=1706054400000000000, hi=1706659200000000000)
+def _window(lo: int, hi: int) -> str:
+    return _TREND.replace("{lo}", str(lo)).replace("{hi}", str(hi))
+
+
+_WEEK3 = _window(1704672000000000000, 1705276800000000000)
+_LAST = _window(1706054400000000000, 1706659200000000000)
 _TWO_RUNS = _LAST.replace("evaluated AS", "now_counts AS").replace("judged AS", "now_judged AS"
     ).replace("FROM evaluated", "FROM now_counts") + """
 before_counts AS (
