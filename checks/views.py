@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.plans import scan
-from tracefold.sources.sinks import stored
+from tracefold.sources.sinks import new_path, stored
 
 NOW_NS = 1_706_659_200_000_000_000  # 2024-01-31 00:00:00 UTC
 START_NS = 1_703_980_800_000_000_000  # 2023-12-31 00:00:00 UTC
@@ -158,6 +158,7 @@ def skill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str,
@@ -166,10 +167,18 @@ def once(spark: SparkSession, sf_dir: str, name: str,
     scan.utc_session(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = stored(build(spark, sf_dir), name)
+        _PATHS[key] = new_path(spark, name)
+        _STORED[key] = stored(build(spark, sf_dir), name, _PATHS[key])
     return _STORED[key]
 
 
+def folder(spark: SparkSession, sf_dir: str, name: str,
+           build: Callable[[SparkSession, str], DataFrame]) -> str:
+    """Folder of a shared input, for reading it as a stream."""
+    once(spark, sf_dir, name, build)
+    return _PATHS[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
 def logs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "raw_logs", raw_logs)
 

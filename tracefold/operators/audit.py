@@ -28,7 +28,7 @@ def slot_status(runs: DataFrame, now_ns: int, interval_seconds: int = 3600) -> D
     return runs.where(F.col("status").isin(*COMPLETED) & inside).agg(latest.alias("r")).where(
         "r is not null").select(
         F.col("r.id").alias("run_id"), F.col("r.started_ns").alias("started_ns"),
-        F.lit(start // K.NS_PER_SECOND).alias("slot_start"))
+        F.lit(start // K.NS_PER_SECOND).cast("bigint").alias("slot_start"))
 
 
 def slot_coverage(runs: DataFrame, interval_seconds: int = 3600) -> DataFrame:

@@ -28,13 +28,17 @@ def work_folder(spark: SparkSession) -> str:
     return _LOCAL_WORK[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once under the work folder and read it back.
 
     Cuts the lineage with a table that outlives lost executors.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
