@@ -389,7 +389,7 @@ def proposal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- audits -------------------------------------------------------------------------------------
 
-_SLOT_NOW = 907_156_800 * K.NS_PER_SECOND + 1234 * K.NS_PER_SECOND  # 1998-09-30 12:20:34
+_SLOT_NOW = 907_374_000 * K.NS_PER_SECOND  # 1998-10-03 00:20:00
 
 
 @query("slot_status", f"""WITH {RUNS_SQL} SELECT id AS run_id, started_ns,

@@ -226,7 +226,7 @@ same AS (
   SELECT a.project_id, a.task_id, l.lag, a.op_pos,
     a.op_pos - row_number() OVER (PARTITION BY a.project_id, a.task_id, l.lag ORDER BY a.op_pos)
       AS island
-  FROM keyed a CROSS JOIN (SELECT unnest(range(1, 33)) AS lag) l
+  FROM keyed a CROSS JOIN (SELECT unnest(range(1, (SELECT max(op_pos) FROM keyed) // 2 + 1)) AS lag) l
   JOIN keyed b ON b.project_id = a.project_id AND b.task_id = a.task_id
     AND b.op_pos = a.op_pos + l.lag AND b.op_key = a.op_key),
 loops AS (

@@ -205,7 +205,7 @@ def review_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.count(F.lit(1)).cast("int").alias("candidate_count"),
         F.sum(F.length("text")).cast("bigint").alias("reserved_model_budget"),
-        F.transform(F.array_sort(F.collect_list("turn")),
+        F.transform(F.sequence(F.lit(0), F.max("turn")),
                     lambda t: F.concat(F.lit("c"), t.cast("string")))
         .alias("ordered_candidate_ids"),
     ).select(

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators.ordering import (
-    blocked, range_members, salted_join, sliced, time_slice,
+    DEFAULT_SLICE_NS, blocked, range_members, salted_join, sliced, time_slice,
 )
+from tracefold.sources.sinks import stored
 
 ORDER = ["timestamp_ns", "event_id"]
 TASK = ["project_id", "task_id"]
@@ -95,9 +96,9 @@ def _group_id(*keys: str) -> Column:
     return C.stable_id(*(F.col(k) for k in keys))
 
 
-def repeated_attempt(events: DataFrame) -> DataFrame:
+def repeated_attempt(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> DataFrame:
     keys = [*TASK, "op_key"]
-    rows = sliced(events.where("op_key is not null"), keys, [time_slice()], ORDER,
+    rows = sliced(events.where("op_key is not null"), keys, [time_slice(width_ns=slice_ns)], ORDER,
                   running={"nth": F.lit(1)}, totals={"n": "nth"}, keep=F.col("n") >= 2)
     return _members(rows, "repeated_attempt", _group_id(*keys),
                     F.lit("same_normalized_operation"),
@@ -106,14 +107,14 @@ def repeated_attempt(events: DataFrame) -> DataFrame:
                     F.col("nth"), F.col("n"))
 
 
-def command_churn(events: DataFrame) -> DataFrame:
+def command_churn(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> DataFrame:
     keys = [*TASK, "op_target"]
     shell = events.where((F.col("op_kind") == "shell") & (F.col("op_target") != ""))
     groups = (
         shell.groupBy(*keys, "op_key").agg(F.lit(1).alias("one"))
         .groupBy(*keys).agg(F.count("one").alias("n_commands")).where("n_commands >= 3")
     )
-    rows = sliced(shell, keys, [time_slice()], ORDER, running={"nth": F.lit(1)},
+    rows = sliced(shell, keys, [time_slice(width_ns=slice_ns)], ORDER, running={"nth": F.lit(1)},
                   totals={"n": "nth"}, groups=groups)
     return _members(rows, "command_churn", _group_id(*keys),
                     F.lit("three_distinct_commands_same_target"),
@@ -122,7 +123,7 @@ def command_churn(events: DataFrame) -> DataFrame:
                     F.col("nth"), F.col("n"))
 
 
-def scope_recurrence(events: DataFrame) -> DataFrame:
+def scope_recurrence(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> DataFrame:
     keys = ["project_id", "op_target"]
     scoped = events.where(F.col("op_target") != "")
     groups = (
@@ -130,7 +131,7 @@ def scope_recurrence(events: DataFrame) -> DataFrame:
         .agg(F.lit(1).alias("one"))
         .groupBy(*keys).agg(F.count("one").alias("n_tasks")).where("n_tasks >= 2")
     )
-    rows = sliced(scoped, keys, [time_slice()], ORDER, running={"nth": F.lit(1)},
+    rows = sliced(scoped, keys, [time_slice(width_ns=slice_ns)], ORDER, running={"nth": F.lit(1)},
                   totals={"n": "nth"}, groups=groups)
     return _members(rows, "scope_recurrence", _group_id(*keys),
                     F.lit("same_scope_multiple_canonical_tasks"),
@@ -139,17 +140,17 @@ def scope_recurrence(events: DataFrame) -> DataFrame:
                     F.col("nth"), F.col("n"))
 
 
-def quality_gate_bypass(events: DataFrame) -> DataFrame:
+def quality_gate_bypass(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> DataFrame:
     """A gate fails, files change, and the same gate then passes in one task."""
     gate = C.is_quality_gate(F.col("op_kind"), F.col("op_executable"),
                              F.col("is_quality_gate")) & F.col("op_exit_code").isNotNull()
     timeline = events.withColumn("_gate", gate).where("_gate or is_mutation")
     timeline = sliced(
-        timeline, TASK, [time_slice()], ORDER,
+        timeline, TASK, [time_slice(width_ns=slice_ns)], ORDER,
         running={"edits": F.when(F.col("_gate"), 0).otherwise(1)},
         totals={"task_edits": "edits"}, keep=F.col("task_edits") > 0)
     gates = sliced(
-        timeline.where("_gate"), [*TASK, "op_key"], [time_slice()], ORDER,
+        timeline.where("_gate"), [*TASK, "op_key"], [time_slice(width_ns=slice_ns)], ORDER,
         running={"gates": F.lit(1)}, totals={"n_gates": "gates"}, keep=F.col("n_gates") >= 2,
         previous={"prev_exit": F.col("op_exit_code"), "prev_edits": F.col("edits"),
                   "prev_event_id": F.col("event_id")})
@@ -174,20 +175,13 @@ def quality_gate_bypass(events: DataFrame) -> DataFrame:
         for part in (opened, changes, closed)))
 
 
-def _lag_runs(ranked: DataFrame, max_cycle: int, block: int) -> DataFrame:
-    """Maximal stretches where each operation equals the one ``lag`` places later."""
-    cut = blocked(ranked.select(*TASK, "pos", "op_key"), "pos", block, ahead=max_cycle)
-    ahead = Window.partitionBy(*TASK, "block").orderBy("pos")
-    lags = F.array_compact(F.array(*(
-        F.when(F.lead("op_key", n).over(ahead) == F.col("op_key"), F.lit(n))
-        for n in range(1, max_cycle + 1))))
-    same = cut.withColumn("lags", lags).where("not halo").select(
-        *TASK, "block", "pos", F.explode("lags").alias("lag"))
+def _stretches(same: DataFrame, block: int) -> DataFrame:
+    """Maximal runs of consecutive positions per (task, lag), joined across blocks."""
     inside = Window.partitionBy(*TASK, "lag", "block").orderBy("pos")
     local = same.withColumn("_island", F.col("pos") - F.row_number().over(inside)).groupBy(
         *TASK, "lag", "block", "_island").agg(
             F.min("pos").alias("first_pos"), F.max("pos").alias("stop_pos"))
-    # Only stretches touching a block border can continue in another block.
+    # Only runs touching a block border can continue in another block.
     touches = (F.pmod(F.col("first_pos") - 1, F.lit(block)) == 0) | (
         F.pmod(F.col("stop_pos"), F.lit(block)) == 0)
     across = Window.partitionBy(*TASK, "lag").orderBy("first_pos")
@@ -199,25 +193,101 @@ def _lag_runs(ranked: DataFrame, max_cycle: int, block: int) -> DataFrame:
     return local.where(~touches).select(*columns).unionByName(merged.select(*columns))
 
 
-def tool_loop(events: DataFrame, verified: bool = True, max_cycle: int = 32,
-              block: int = 4096) -> DataFrame:
+def _lag_runs(ranked: DataFrame, max_cycle: int, block: int) -> DataFrame:
+    """Runs of positions whose operation equals the one ``lag`` places later."""
+    cut = blocked(ranked.select(*TASK, "pos", "op_key"), "pos", block, ahead=max_cycle)
+    ahead = Window.partitionBy(*TASK, "block").orderBy("pos")
+    lags = F.array_compact(F.array(*(
+        F.when(F.lead("op_key", n).over(ahead) == F.col("op_key"), F.lit(n))
+        for n in range(1, max_cycle + 1))))
+    same = cut.withColumn("lags", lags).where("not halo").select(
+        *TASK, "block", "pos", F.explode("lags").alias("lag"))
+    return _stretches(same, block)
+
+
+def _grams(ranked: DataFrame, width: int, block: int) -> DataFrame:
+    """Hash of the ``width`` operations starting at each position, null near the end."""
+    cut = blocked(ranked.select(*TASK, "pos", "op_key", "n_ops"), "pos", block, ahead=width)
+    ahead = Window.partitionBy(*TASK, "block").orderBy("pos")
+    parts = [F.col("op_key"), *(F.lead("op_key", n).over(ahead) for n in range(1, width))]
+    return cut.withColumn("gram", F.when(
+        F.col("pos") + width - 1 <= F.col("n_ops"), F.xxhash64(*parts))).where("not halo").drop(
+        "block", "halo")
+
+
+def _long_lag_runs(ops: DataFrame, runs: DataFrame, low: int, width: int,
+                   block: int) -> DataFrame:
+    """Runs for lags in (low, 2 * low], from sparse anchors instead of all pairs.
+
+    A run of at least ``low`` + 1 positions covers an anchor (every low / 2 positions)
+    together with the ``width`` operations after it, so equal hashes of those are
+    enough to find every candidate lag. Anchors inside a known run whose own lag
+    divides the candidate are skipped: that shorter cycle is at least as long there.
+    """
+    long_enough = ops.where(F.col("n_ops") >= 2 * (low + 1))
+    anchors = long_enough.where(F.pmod(F.col("pos") - 1, F.lit(max(1, low // 2))) == 0).select(
+        *TASK, "gram", F.col("pos").alias("at"), F.explode(F.sequence(
+            C.floor_div(F.col("pos") + low, low), C.floor_div(F.col("pos") + 2 * low, low))
+        ).alias("near"))
+    later = long_enough.select(*TASK, "gram", F.col("pos").alias("again"),
+                               C.floor_div(F.col("pos"), low).alias("near"))
+    pairs = anchors.join(later, [*TASK, "gram", "near"]).withColumn(
+        "lag", F.col("again") - F.col("at")).where(F.col("lag").between(low + 1, 2 * low))
+    known = runs.where(F.col("stop_pos") - F.col("first_pos") + 1 >= low).select(
+        *TASK, F.col("lag").alias("period"), "first_pos", "stop_pos", F.explode(F.sequence(
+            C.floor_div(F.col("first_pos"), block), C.floor_div(F.col("stop_pos"), block))
+        ).alias("area"))
+    p, k = pairs.withColumn("area", C.floor_div(F.col("at"), block)).alias("p"), known.alias("k")
+    inside = (
+        (F.col("p.lag") % F.col("k.period") == 0) & (F.col("k.first_pos") <= F.col("p.at"))
+        & (F.col("p.again") + width - 1 <= F.col("k.stop_pos") + F.col("k.period")))
+    same_area = [F.col(f"p.{c}") == F.col(f"k.{c}") for c in (*TASK, "area")]
+    open_lags = p.join(k, [*same_area, inside], "left_anti").select(*TASK, "lag").distinct()
+    left = salted_join(long_enough.select(*TASK, "pos", "op_key"), open_lags, TASK,
+                       F.col("pos"), "inner").withColumn("target", F.col("pos") + F.col("lag"))
+    right = long_enough.select(*TASK, F.col("pos").alias("target"), "op_key")
+    same = left.join(right, [*TASK, "target", "op_key"]).select(
+        *TASK, C.floor_div(F.col("pos") - 1, block).alias("block"), "pos", "lag")
+    return _stretches(same, block)
+
+
+def _longest_task(ops: DataFrame) -> int:
+    counts = ops.groupBy(*TASK).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def tool_loop(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS, verified: bool = True,
+              max_cycle: int = 32, block: int = 4096) -> DataFrame:
     """The longest contiguous repeated operation cycle of each task.
 
     ``verified`` requires every repetition to be equal; otherwise the second one is
-    taken for granted, as the literal rule does.
+    taken for granted, as the literal rule does. Cycles up to ``max_cycle`` are found
+    in one window; longer ones, possible only in tasks of more than twice as many
+    operations, in doubling bands whose runs are written between bands.
     """
-    ranked = sliced(events.where("op_key is not null"), TASK, [time_slice()], ORDER,
+    ops = events.where("op_key is not null")
+    ranked = sliced(ops, TASK, [time_slice(width_ns=slice_ns)], ORDER,
                     running={"pos": F.lit(1)}, totals={"n_ops": "pos"},
                     keep=F.col("n_ops") >= 3)
-    if verified:
+    if not verified:
+        best = _assumed_loops(ranked)
+    else:
+        runs = _lag_runs(ranked, max_cycle, block)
+        longest, low = _longest_task(ops), max_cycle
+        if longest >= 2 * (low + 1):
+            width = max(1, min(16, max_cycle // 2))
+            grams = stored(_grams(ranked, width, block), "loop-grams")
+            runs = stored(runs, "loop-runs")
+            while longest >= 2 * (low + 1):
+                runs = stored(runs.unionByName(
+                    _long_lag_runs(grams, runs, low, width, block)), "loop-runs")
+                low *= 2
         length = F.expr("((stop_pos - first_pos + 1) div lag + 1) * lag")
-        runs = _lag_runs(ranked, max_cycle, block).withColumn("total", length).where(
-            "total >= 2 * lag and ((lag = 1 and total >= 3) or (lag > 1 and total >= 4))")
-        best = runs.groupBy(*TASK).agg(
+        best = runs.withColumn("total", length).where(
+            "total >= 2 * lag and ((lag = 1 and total >= 3) or (lag > 1 and total >= 4))"
+        ).groupBy(*TASK).agg(
             F.max(F.struct("total", (-F.col("first_pos")).alias("back"))).alias("b")
         ).select(*TASK, (-F.col("b.back")).alias("first_pos"), F.col("b.total").alias("n"))
-    else:
-        best = _assumed_loops(ranked)
     best = best.withColumn("last_pos", F.col("first_pos") + F.col("n") - 1)
     rows = range_members(best, ranked, TASK, "pos", block)
     return _members(rows, "tool_loop", _group_id(*TASK),
@@ -321,9 +391,14 @@ GROUP_DETECTORS = (
 )
 
 
-def detect_all(events: DataFrame, baselines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Members of single-event observations and of group observations."""
+def detect_all(events: DataFrame, baselines: DataFrame | None = None,
+               slice_ns: int = DEFAULT_SLICE_NS) -> tuple[DataFrame, DataFrame]:
+    """Members of single-event observations and of group observations.
+
+    ``events`` is read by every detector: pass a stored table. ``fitting_slice_ns``
+    gives the slice width for data with very dense seconds.
+    """
     base = project_token_baselines(events) if baselines is None else baselines
     single = [d(events) for d in SINGLE_EVENT_DETECTORS] + [token_outlier(events, base)]
-    grouped = [d(events) for d in GROUP_DETECTORS]
+    grouped = [d(events, slice_ns) for d in GROUP_DETECTORS]
     return reduce(DataFrame.unionByName, single), reduce(DataFrame.unionByName, grouped)

@@ -22,6 +22,18 @@ JOIN_SALTS = 16
 DIGEST_FANOUT = 1000
 
 
+def fitting_slice_ns(events: DataFrame, key: str = "project_id",
+                     rows_per_slice: int = 1_000_000) -> int:
+    """Slice width under which no (key, slice) holds many more rows than the bound.
+
+    One partial aggregate, one number back. A second dense enough to exceed the bound
+    narrows the slices in proportion; the default width is kept otherwise.
+    """
+    densest = events.groupBy(key, time_slice()).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n")).first()[0] or 0
+    return max(1, DEFAULT_SLICE_NS // max(1, -(-densest // rows_per_slice)))
+
+
 def time_slice(ns: str = "timestamp_ns", width_ns: int = DEFAULT_SLICE_NS) -> Column:
     return floor_div(F.col(ns), width_ns)
 
