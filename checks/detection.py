@@ -124,9 +124,7 @@ def baseline_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("episode_events", sql("""SELECT event_id, timestamp_ns, project_id, task_id, token_count,
   counts_as_distinct_task FROM detector_events WHERE event_name = 'trace.episode'""", EVENT_CTES))
 def episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = scan._project_of_trace(views.typed_traces(spark, sf_dir),
-                                    views.project_roots(spark), None)
-    return scan.episode_events(placed).select(
+    return scan.episode_events(views.placed_traces(spark, sf_dir)).select(
         "event_id", "timestamp_ns", "project_id", "task_id", "token_count",
         "counts_as_distinct_task")
 
@@ -148,24 +146,32 @@ _RECORD = ["observation_id", "detector_id", "project_identity_id", "task_identit
            "first_event_id"]
 
 
-def _detect(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return detectors.detect_all(views.events(spark, sf_dir))
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of all detectors, written once."""
+    return views.once(spark, sf_dir, "detected", lambda s, d: views.union_all(
+        list(detectors.detect_all(views.events(s, d)))))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detected(spark, sf_dir)
+    return observations.observation_records(rows.where("member_count = 1"),
+                                            rows.where("member_count > 1"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observation records, written once: the later stages read stored facts."""
     return views.once(spark, sf_dir, "observations", lambda s, d: (
-        observations.dedupe_observations(observations.observation_records(*_detect(s, d)))))
+        observations.dedupe_observations(_records(s, d))))
 
 
 def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.once(spark, sf_dir, "members", lambda s, d: observations.observation_members(
-        records(s, d), views.union_all(list(_detect(s, d)))))
+        records(s, d), detected(s, d)))
 
 
 @query("observation_records", sql(f"SELECT {', '.join(_RECORD)} FROM records", RECORD_CTES))
 def observation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations.observation_records(*_detect(spark, sf_dir)).select(*_RECORD)
+    return _records(spark, sf_dir).select(*_RECORD)
 
 
 @query("detect_all", sql("""SELECT detector_id, count(*) AS n_observations,
@@ -249,9 +255,8 @@ content AS (
     ELSE 'hydrated_log' END AS evidence_kind
     FROM member_rows m LEFT JOIN content c USING (event_id))""", _EVIDENCE))
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs, traces = views.typed_logs(spark, sf_dir), views.typed_traces(spark, sf_dir)
-    raw = telemetry.hydrate(views.logs_table(spark, sf_dir), scan.shortlist(logs, traces),
-                            views.START_NS, views.NOW_NS)
+    raw = telemetry.hydrate(views.logs_table(spark, sf_dir), scan.shortlist(
+        views.linked_logs(spark, sf_dir)), views.START_NS, views.NOW_NS)
     return observations.evidence_rows(member_rows(spark, sf_dir), validate.accepted(
         validate.parse_hydration(raw)))
 

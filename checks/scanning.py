@@ -52,7 +52,7 @@ def _hydrate(spark: SparkSession, sf_dir: str, ids: DataFrame, kind: str) -> Dat
 
 @query("shortlist", sql("SELECT log_id FROM hydrated WHERE listed", EVENT_CTES))
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.shortlist(views.typed_logs(spark, sf_dir), views.typed_traces(spark, sf_dir))
+    return scan.shortlist(views.linked_logs(spark, sf_dir))
 
 
 @query("hydrate_by_log", sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import ns, table
+from checks.views import ns, once, table
 from tracefold.functions import constants as K
 
 _S = K.NS_PER_SECOND
@@ -174,8 +174,9 @@ def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finding_events(spark, sf_dir).unionByName(
-        snapshot_events(spark, sf_dir)).unionByName(customer_events(spark, sf_dir))
+    """The derived-event table the panels read, written once like any stored table."""
+    return once(spark, sf_dir, "derived", lambda s, d: finding_events(s, d).unionByName(
+        snapshot_events(s, d)).unionByName(customer_events(s, d)))
 
 
 REVIEW_SQL = """turns AS (

@@ -179,12 +179,17 @@ def folder(spark: SparkSession, sf_dir: str, name: str,
     return _PATHS[(spark.sparkContext.applicationId, sf_dir, name)]
 
 
+def _in_files(build: Callable[[SparkSession, str], DataFrame]):
+    """Write an input as several files, as a lake would hold it."""
+    return lambda s, d: build(s, d).repartition(s.sparkContext.defaultParallelism)
+
+
 def logs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "raw_logs", raw_logs)
+    return once(spark, sf_dir, "raw_logs", _in_files(raw_logs))
 
 
 def spans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "raw_spans", raw_spans)
+    return once(spark, sf_dir, "raw_spans", _in_files(raw_spans))
 
 
 def events_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,5 +219,13 @@ def typed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans_table(spark, sf_dir), START_NS, NOW_NS)))
 
 
+def placed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.place_traces(typed_traces(spark, sf_dir), project_roots(spark))
+
+
+def linked_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.link_logs(typed_logs(spark, sf_dir), placed_traces(spark, sf_dir))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -21,9 +21,23 @@ def _conversation_threads(logs: DataFrame, traces: DataFrame) -> DataFrame:
     ).select("conversation_id", "trace_id").distinct()
     threads = traces.where(C.blank_to_null(F.col("thread_id")).isNotNull()).select(
         "trace_id", "thread_id")
-    return salted_join(seen, threads, ["trace_id"], F.col("conversation_id"), "inner").groupBy(
-        "conversation_id").agg(F.min("thread_id").alias("thread_id"),
-                               F.max("thread_id").alias("other_thread_id"))
+    return _thread_range(salted_join(seen, threads, ["trace_id"], F.col("conversation_id"),
+                                     "inner"))
+
+
+def _thread_range(pairs: DataFrame) -> DataFrame:
+    """Smallest and largest thread per conversation; equal when there is only one."""
+    return pairs.groupBy("conversation_id").agg(
+        F.min("thread_id").alias("thread_id"), F.max("thread_id").alias("other_thread_id"))
+
+
+def linked_thread_map(linked: DataFrame) -> DataFrame:
+    """The lenient map from logs that already carry their trace's thread."""
+    pairs = linked.where(
+        C.blank_to_null(F.col("conversation_id")).isNotNull()
+        & C.blank_to_null(F.col("thread_id")).isNotNull())
+    return _thread_range(pairs).where(
+        F.col("thread_id") == F.col("other_thread_id")).drop("other_thread_id")
 
 
 def conversation_thread_map(logs: DataFrame, traces: DataFrame) -> DataFrame:

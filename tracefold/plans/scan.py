@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators import detectors, identity, normalise, observations, validate
-from tracefold.operators.ordering import salted_join
+from tracefold.operators.ordering import fitting_slice_ns, salted_join
 from tracefold.sources import telemetry
+from tracefold.sources.sinks import stored
 
 EVENT_COLUMNS = [
     "event_id", "timestamp_ns", "project_id", "task_id", "counts_as_distinct_task",
@@ -20,7 +21,13 @@ EVENT_COLUMNS = [
 ]
 
 
-def shortlist(logs: DataFrame, traces: DataFrame) -> DataFrame:
+def link_logs(logs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Logs with the thread and project of their trace (the one log-trace join)."""
+    return salted_join(logs, placed.select("trace_id", "thread_id", "project_id"), ["trace_id"],
+                       F.col("log_id"))
+
+
+def shortlist(linked: DataFrame) -> DataFrame:
     """Log ids worth hydrating.
 
     Explicit failures, decisions and sandbox outcomes, plus every call of a (task
@@ -32,15 +39,13 @@ def shortlist(logs: DataFrame, traces: DataFrame) -> DataFrame:
         ((F.col("event_name") == "codex.tool_result") & (F.col("success_string") == "false"))
         | (request & (~F.col("success_bool") | (F.col("status_code") >= 400)))
         | F.col("event_name").isin("codex.sandbox_outcome", "codex.tool_decision"))
-    hinted = salted_join(logs, traces.select("trace_id", "thread_id"), ["trace_id"],
-                         F.col("log_id"))
-    tools = hinted.where(F.col("tool_name").isNotNull()).select(
+    tools = linked.where(F.col("tool_name").isNotNull()).select(
         F.coalesce("thread_id", "conversation_id", "trace_id", "log_id").alias("hint"),
         "tool_name", "log_id")
     pairs = tools.groupBy("hint", "tool_name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     repeated = salted_join(tools, pairs.drop("n"), ["hint", "tool_name"], F.col("log_id"),
                            "left_semi")
-    return logs.where(explicit).select("log_id").unionByName(
+    return linked.where(explicit).select("log_id").unionByName(
         repeated.select("log_id")).distinct()
 
 
@@ -56,27 +61,23 @@ def operations(hydration: DataFrame) -> DataFrame:
         normalise.membership_key(op).alias("op_key"))
 
 
-def _project_of_trace(traces: DataFrame, roots: DataFrame,
-                      aliases: DataFrame | None) -> DataFrame:
+def place_traces(traces: DataFrame, roots: DataFrame,
+                 aliases: DataFrame | None = None) -> DataFrame:
+    """Traces with the project their working directory belongs to."""
     resolved = identity.resolve_projects(traces, roots, aliases).select("cwd", "project_id")
     return salted_join(traces, resolved, ["cwd"], F.col("trace_id"))
 
 
-def detector_events(logs: DataFrame, traces: DataFrame, hydration: DataFrame,
-                    roots: DataFrame, aliases: DataFrame | None = None,
+def detector_events(linked: DataFrame, placed: DataFrame, hydration: DataFrame,
                     extras: DataFrame | None = None) -> DataFrame:
     """Logs and token-bearing traces with identity, outcome and operation.
 
     ``extras`` (by event_id) supplies the optional facts no scan fills: skill_required,
     skill_used, is_quality_gate, tool_call_count.
     """
-    conversation_map = identity.conversation_thread_map(logs, traces)
-    placed = _project_of_trace(traces, roots, aliases)
-    with_trace = salted_join(
-        logs, placed.select("trace_id", "thread_id", "project_id"), ["trace_id"],
-        F.col("log_id"))
     tasked = identity.with_canonical_task(
-        with_trace, conversation_map, F.coalesce("trace_id", "log_id"), F.col("log_id"))
+        linked, identity.linked_thread_map(linked), F.coalesce("trace_id", "log_id"),
+        F.col("log_id"))
     name, source = F.col("event_name"), F.col("decision_source")
     base = tasked.join(operations(hydration), "log_id", "left").select(
         F.col("log_id").alias("event_id"), "timestamp_ns",
@@ -118,14 +119,36 @@ def episode_events(placed: DataFrame) -> DataFrame:
 def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
                 end_ns: int, aliases: DataFrame | None = None,
                 extras: DataFrame | None = None) -> DataFrame:
-    """Detector events of one time range, straight from the raw tables."""
+    """Detector events of one time range, straight from the raw tables.
+
+    The flat, typed, trace-linked logs are written once: three later steps read them,
+    and none of those should decode the raw attribute maps again. The raw table is
+    read a second time only for the shortlisted rows' heavy fields.
+    """
     logs = validate.accepted(validate.parse_logs(telemetry.scan_logs(
         raw_logs, start_ns, end_ns)))
     traces = validate.accepted(validate.parse_traces(telemetry.scan_traces(
         raw_spans, start_ns, end_ns)))
-    raw = telemetry.hydrate(raw_logs, shortlist(logs, traces), start_ns, end_ns)
+    placed = stored(place_traces(traces, roots, aliases), "placed-traces")
+    linked = stored(link_logs(logs, placed), "linked-logs")
+    raw = telemetry.hydrate(raw_logs, shortlist(linked), start_ns, end_ns)
     hydration = validate.accepted(validate.parse_hydration(raw))
-    return detector_events(logs, traces, hydration, roots, aliases, extras)
+    return detector_events(linked, placed, hydration, extras)
+
+
+def observe(events: DataFrame, baselines: DataFrame | None = None,
+            slice_ns: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Observation records and their member rows.
+
+    ``events`` is a stored table. The members of all detectors are written once;
+    records and member rows are both derived from that table.
+    """
+    width = fitting_slice_ns(events) if slice_ns is None else slice_ns
+    single, grouped = detectors.detect_all(events, baselines, width)
+    members = stored(single.unionByName(grouped), "members")
+    records = observations.dedupe_observations(observations.observation_records(
+        members.where("member_count = 1"), members.where("member_count > 1")))
+    return records, members
 
 
 def failure_trends(events: DataFrame, now_ns: int) -> DataFrame:
