@@ -367,6 +367,14 @@ def blocking_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generations.blocking_events(*_generation_tables(spark, sf_dir))
 
 
+@query("linked_references", _LINKS + """ SELECT l.generation_id, event_id, o.status
+  FROM links l JOIN outbox o USING (event_id) WHERE role = 'activation'""")
+def linked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, _, _ = _generation_tables(spark, sf_dir)
+    return generations.linked_references(links, outbox(spark, sf_dir), "activation").select(
+        "generation_id", "event_id", "status")
+
+
 @query("activation_ready", _LINKS + """ SELECT DISTINCT generation_id FROM links
   WHERE generation_id NOT IN (SELECT generation_id FROM blocking)""")
 def activation_ready(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,6 +323,18 @@ def finding_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprint", "observation_id", "rationale")
 
 
+@query("finding_occurrences", sql("""SELECT f.fingerprint, r.observation_id, r.occurred_at_ns,
+  r.task_identity FROM (SELECT DISTINCT fingerprint FROM records) f LEFT JOIN records r
+  ON r.fingerprint = f.fingerprint AND r.occurred_at_ns >= 1706054400000000000""", RECORD_CTES))
+def finding_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    findings = _findings(spark, sf_dir)[1]
+    found = observations.finding_occurrences(
+        findings, observations.finding_membership(rows), rows, 1706054400000000000)
+    return found.join(findings.select("finding_id", "fingerprint"), "finding_id").select(
+        "fingerprint", "observation_id", "occurred_at_ns", "task_identity")
+
+
 _TREND = RECORD_CTES + """
 evaluated AS (
   SELECT fingerprint, count(*) AS occurrence_count,

@@ -20,6 +20,12 @@ def generation_projection(records: DataFrame, findings: DataFrame, projects: Dat
     return observed.unionByName(trends)
 
 
+def linked_references(links: DataFrame, outbox: DataFrame, role: str) -> DataFrame:
+    """Outbox events linked to a generation in ``role``, ordered by event id."""
+    return links.where(F.col("role") == role).select("generation_id", "event_id").join(
+        outbox, "event_id").orderBy("generation_id", "event_id")
+
+
 def blocking_events(links: DataFrame, outbox: DataFrame, remote: DataFrame) -> DataFrame:
     """Linked projection events that keep a generation from being activated."""
     projected = links.where("role = 'projection'").select("generation_id", "event_id")

@@ -181,6 +181,22 @@ def findings_upsert(records: DataFrame, previous: DataFrame | None = None,
     return merged.withColumn("finding_id", C.finding_id(F.col("fingerprint"), prefix))
 
 
+def finding_occurrences(findings: DataFrame, membership: DataFrame, records: DataFrame,
+                        cutoff_ns: int) -> DataFrame:
+    """Findings with their observations since ``cutoff_ns``; null when there are none.
+
+    The time bound belongs to the join, so findings without recent observations stay.
+    """
+    recent = records.where(F.col("occurred_at_ns") >= cutoff_ns).select(
+        "observation_id", "occurred_at_ns", "task_identity")
+    held = membership.select("finding_id", "observation_id").join(recent, "observation_id")
+    return salted_join(held, findings.select("finding_id", "trend_state"), ["finding_id"],
+                       F.col("observation_id"), "inner").unionByName(
+        findings.select("finding_id", "trend_state").join(
+            held.select("finding_id").distinct(), "finding_id", "left_anti"),
+        allowMissingColumns=True)
+
+
 # ---- trends ----------------------------------------------------------------------
 
 def trend_evaluation(occurrences: DataFrame, now_ns: int,

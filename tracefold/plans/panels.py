@@ -24,6 +24,18 @@ def number(key: str) -> Column:
     return F.coalesce(F.col("attributes_number")[key], F.lit(0.0))
 
 
+def from_raw(logs: DataFrame, service: str = K.DERIVED_SERVICE) -> DataFrame:
+    """Derived events out of the shared raw log table they were delivered to."""
+    text, numbers = F.col("attributes_string"), F.col("attributes_number")
+    return logs.where(F.col("resource")["service.name"] == service).select(
+        text["event.id"].alias("event_id"), text["event.scope"].alias("scope"),
+        text["entity.id"].alias("entity_id"),
+        numbers["entity.version"].cast("bigint").alias("entity_version"),
+        numbers["event.sequence"].cast("bigint").alias("event_sequence"),
+        text["event.name"].alias("event_name"), "timestamp_ns", "attributes_string",
+        "attributes_number", "ts_bucket_start")
+
+
 def _latest(value: Column) -> Column:
     return F.max_by(value, F.struct("entity_version", "timestamp_ns", "event_id"))
 

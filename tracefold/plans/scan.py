@@ -116,10 +116,10 @@ def episode_events(placed: DataFrame) -> DataFrame:
         F.col("total_tokens").alias("token_count"))
 
 
-def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
-                end_ns: int, aliases: DataFrame | None = None,
-                extras: DataFrame | None = None) -> DataFrame:
-    """Detector events of one time range, straight from the raw tables.
+def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
+                end_ns: int, aliases: DataFrame | None = None
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Linked logs, placed traces and hydrated rows of one time range.
 
     The flat, typed, trace-linked logs are written once: three later steps read them,
     and none of those should decode the raw attribute maps again. The raw table is
@@ -132,8 +132,15 @@ def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
     placed = stored(place_traces(traces, roots, aliases), "placed-traces")
     linked = stored(link_logs(logs, placed), "linked-logs")
     raw = telemetry.hydrate(raw_logs, shortlist(linked), start_ns, end_ns)
-    hydration = validate.accepted(validate.parse_hydration(raw))
-    return detector_events(linked, placed, hydration, extras)
+    return linked, placed, validate.accepted(validate.parse_hydration(raw))
+
+
+def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
+                end_ns: int, aliases: DataFrame | None = None,
+                extras: DataFrame | None = None) -> DataFrame:
+    """Detector events of one time range, straight from the raw tables."""
+    return detector_events(
+        *scan_window(raw_logs, raw_spans, roots, start_ns, end_ns, aliases), extras)
 
 
 def observe(events: DataFrame, baselines: DataFrame | None = None,

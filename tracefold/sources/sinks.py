@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,32 +53,53 @@ def new_events(events: DataFrame, target: DataFrame | None) -> DataFrame:
 
 def emit_events(events: DataFrame, path: str) -> None:
     """Append the events that ``path`` does not hold yet (usable in foreachBatch)."""
-    spark = events.sparkSession
-    try:
-        target = spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        target = None
+    target = _table(events.sparkSession, path)
     new_events(events, target).write.mode("append").parquet(path)
 
 
-def write_results(results: dict[str, DataFrame], path: str, run_id: str) -> None:
+def write_results(results: dict[str, DataFrame], path: str, run_id: str,
+                  order: int = 0) -> None:
     """Write all tables of one run, then publish the run id as the last write.
 
     Readers use ``read_results`` and never see a run whose writing was cut short; a
-    repeated run overwrites its own unpublished partitions.
+    repeated run overwrites its own partitions. ``order`` ranks the published runs.
     """
     spark = next(iter(results.values())).sparkSession
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
-    spark.range(1).select(F.lit(run_id).alias("run_id")).write.mode("overwrite").parquet(
-        f"{path}/{_RUNS}/of={run_id}")
+    spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(order).cast("bigint").alias(
+        "run_order")).write.mode("overwrite").parquet(f"{path}/{_RUNS}/of={run_id}")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None while nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def published_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    runs = _table(spark, f"{path}/{_RUNS}")
+    return None if runs is None else runs.select("run_id", "run_order").distinct()
 
 
-def read_results(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Rows of ``name`` from published runs only."""
-    runs = spark.read.parquet(f"{path}/{_RUNS}").select("run_id").distinct()
-    table = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/*")
+def read_results(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """Rows of ``name`` from published runs only; None before the first one."""
+    runs = published_runs(spark, path)
+    table = None if runs is None else _table(spark, f"{path}/{name}")
+    if table is None:
+        return None
     return table.withColumn("run_id", F.col("run_id").cast("string")).join(
         runs, "run_id", "left_semi")
+
+
+def read_latest(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """Rows of ``name`` from the last published run (for snapshot tables)."""
+    runs = published_runs(spark, path)
+    if runs is None:
+        return None
+    last = runs.agg(F.max_by("run_id", F.struct("run_order", "run_id"))).first()[0]
+    return _table(spark, f"{path}/{name}/run_id={last}")
