@@ -223,12 +223,11 @@ keyed AS (
   SELECT *, row_number() OVER (PARTITION BY project_id, task_id {_ORDER}) AS op_pos
   FROM fields WHERE op_key IS NOT NULL),
 same AS (
-  SELECT a.project_id, a.task_id, l.lag, a.op_pos,
-    a.op_pos - row_number() OVER (PARTITION BY a.project_id, a.task_id, l.lag ORDER BY a.op_pos)
-      AS island
-  FROM keyed a CROSS JOIN (SELECT unnest(range(1, (SELECT max(op_pos) FROM keyed) // 2 + 1)) AS lag) l
-  JOIN keyed b ON b.project_id = a.project_id AND b.task_id = a.task_id
-    AND b.op_pos = a.op_pos + l.lag AND b.op_key = a.op_key),
+  SELECT project_id, task_id, lag, op_pos,
+    op_pos - row_number() OVER (PARTITION BY project_id, task_id, lag ORDER BY op_pos) AS island
+  FROM (SELECT a.project_id, a.task_id, a.op_pos, b.op_pos - a.op_pos AS lag
+    FROM keyed a JOIN keyed b ON b.project_id = a.project_id AND b.task_id = a.task_id
+      AND b.op_key = a.op_key AND b.op_pos > a.op_pos)),
 loops AS (
   SELECT project_id, task_id, first_pos, total FROM (
     SELECT *, row_number() OVER (PARTITION BY project_id, task_id
