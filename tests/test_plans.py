@@ -12,7 +12,9 @@ from checks.registry import QUERIES
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators import events, observations
-from tracefold.operators.ordering import fitting_slice_ns, ordered_digest, sliced, time_slice
+from tracefold.operators.ordering import (
+    fitting_slice_ns, hot_keys, ordered_digest, salted_join, sliced, time_slice,
+)
 from tracefold.plans import panels, run
 from tracefold.sources import contract, sinks
 
@@ -88,6 +90,19 @@ def test_sliced_equals_one_window_on_a_hot_group(spark):
     assert got.count() == 20_000
 
 
+def test_salted_join_spreads_hot_and_null_keys(spark):
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(
+        F.col("id") % 3 == 1, (F.col("id") % 50).cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3)], "k string, v int")
+    hot = hot_keys(big.where("k is not null"), ["k"], parts=10, min_rows=100)
+    assert [(r.k, r["_salts"]) for r in hot.collect()] == [("hot", 5)]
+    for how in ("left", "inner", "left_semi"):
+        got = salted_join(big, small, ["k"], F.col("id"), how, hot)
+        want = big.join(small, ["k"], how)
+        assert got.select(*want.columns).exceptAll(want).count() == 0
+        assert got.count() == want.count()
+
+
 def test_fitting_slice_narrows_for_dense_seconds(spark):
     dense = spark.range(5000).select(F.lit("p").alias("project_id"),
                                      (F.col("id") * 1000).alias("timestamp_ns"))

@@ -18,7 +18,8 @@ from tracefold.functions import constants as K
 from tracefold.functions.columns import SEP, floor_div
 
 DEFAULT_SLICE_NS = K.NS_PER_SECOND
-JOIN_SALTS = 16
+HOT_PARTS = 10_000
+HOT_ROWS = 1_000_000
 DIGEST_FANOUT = 1000
 
 
@@ -124,16 +125,40 @@ def range_members(ranges: DataFrame, rows: DataFrame, keys: Sequence[str], posit
     ).drop("_block")
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int = HOT_PARTS,
+             min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys holding more than 1/``parts`` of all rows, with the salts each one needs.
+
+    There can be at most ``parts`` such keys whatever the input, which is the proven
+    bound that lets ``salted_join`` broadcast them. Keys are counted with a partial
+    aggregate over the key columns only.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    share = F.col("_n") * parts / total
+    return counts.where((F.col("_n") > min_rows) & (share > 1)).select(
+        *on, F.ceil(share).cast("int").alias("_salts"))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], row_id: Column,
-                how: str = "left", salts: int = JOIN_SALTS) -> DataFrame:
+                how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join a table with hot (or null) keys to one keyed by ``on``.
 
-    The big side spreads every key, null included, over ``salts`` partitions; the
-    small side is repeated once per salt. No side is broadcast by hint: adaptive
-    execution still broadcasts the small one when its measured size allows.
+    A hot key is spread over as many salts as keep each one near 1/``HOT_PARTS`` of
+    the rows, and only its rows of the small side are repeated; null keys, which match
+    nothing, are spread as well. ``hot`` may come from a cheaper view of the same
+    rows. Only the bounded hot-key list is broadcast; for the join itself adaptive
+    execution broadcasts the small side when its measured size allows.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marked = F.broadcast(hot_keys(big, on) if hot is None else hot)
+    absent = F.lit(False)
+    for key in on:
+        absent = absent | F.col(key).isNull()
+    spread = F.when(absent, F.lit(HOT_PARTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = big.join(marked, list(on), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(row_id), spread).cast("int")).drop("_salts")
+    right = small.join(marked, list(on), "left").withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators import detectors, identity, normalise, observations, validate
-from tracefold.operators.ordering import fitting_slice_ns, salted_join
+from tracefold.operators.ordering import fitting_slice_ns, hot_keys, salted_join
 from tracefold.sources import telemetry
 from tracefold.sources.sinks import stored
 
@@ -21,10 +21,10 @@ EVENT_COLUMNS = [
 ]
 
 
-def link_logs(logs: DataFrame, placed: DataFrame) -> DataFrame:
+def link_logs(logs: DataFrame, placed: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Logs with the thread and project of their trace (the one log-trace join)."""
     return salted_join(logs, placed.select("trace_id", "thread_id", "project_id"), ["trace_id"],
-                       F.col("log_id"))
+                       F.col("log_id"), hot=hot)
 
 
 def shortlist(linked: DataFrame) -> DataFrame:
@@ -129,8 +129,10 @@ def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
         raw_logs, start_ns, end_ns)))
     traces = validate.accepted(validate.parse_traces(telemetry.scan_traces(
         raw_spans, start_ns, end_ns)))
-    placed = stored(place_traces(traces, roots, aliases), "placed-traces")
-    linked = stored(link_logs(logs, placed), "linked-logs")
+    placed = stored(place_traces(stored(traces, "traces"), roots, aliases), "placed-traces")
+    # Hot traces are counted on the trace column alone, without decoding the maps.
+    hot = hot_keys(telemetry.time_range(raw_logs, start_ns, end_ns), ["trace_id"])
+    linked = stored(link_logs(logs, placed, hot), "linked-logs")
     raw = telemetry.hydrate(raw_logs, shortlist(linked), start_ns, end_ns)
     return linked, placed, validate.accepted(validate.parse_hydration(raw))
 
