@@ -484,12 +484,10 @@ def conversation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     'conversation:' || conversation_id, 'episode:' || trace_id) AS task_id FROM linked)""",
     EVENT_CTES))
 def canonical_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs, traces = views.typed_logs(spark, sf_dir), views.typed_traces(spark, sf_dir)
-    linked = scan.salted_join(logs, traces.select("trace_id", "thread_id"), ["trace_id"],
-                              F.col("log_id"))
+    linked = views.linked_logs(spark, sf_dir)
     return identity.with_canonical_task(
-        linked, identity.conversation_thread_map(logs, traces),
-        F.coalesce("trace_id", "log_id"), F.col("log_id")).select(
+        linked, identity.linked_thread_map(linked), F.coalesce("trace_id", "log_id"),
+        F.col("log_id")).select(
         "log_id", "task_kind", "task_id", "counts_as_distinct_task", "identity_error")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
+from tracefold.operators.ordering import hot_keys
 from tracefold.plans import scan
 from tracefold.sources.sinks import new_path, stored
 
@@ -220,11 +221,14 @@ def typed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.place_traces(typed_traces(spark, sf_dir), project_roots(spark))
+    return once(spark, sf_dir, "placed_traces", lambda s, d: scan.place_traces(
+        once(s, d, "traces", typed_traces), project_roots(s)))
 
 
 def linked_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.link_logs(typed_logs(spark, sf_dir), placed_traces(spark, sf_dir))
+    """Typed logs with their trace's thread and project, as the scan stores them."""
+    return once(spark, sf_dir, "linked_logs", lambda s, d: scan.link_logs(
+        typed_logs(s, d), placed_traces(s, d), hot_keys(logs_table(s, d), ["trace_id"])))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
-from tracefold.operators.ordering import salted_join, sliced
+from tracefold.operators.ordering import hot_keys, salted_join, sliced
 
 EVENT_COLUMNS = ["event_id", "scope", "entity_id", "entity_version", "event_sequence",
                  "event_name", "timestamp_ns", "attributes_string", "attributes_number"]
@@ -55,10 +55,11 @@ def payload_json(event: DataFrame) -> Column:
                     F.lit("}"))
 
 
-def with_project_names(df: DataFrame, projects: DataFrame, row_id: Column) -> DataFrame:
+def with_project_names(df: DataFrame, projects: DataFrame, row_id: Column,
+                       hot: DataFrame | None = None) -> DataFrame:
     names = projects.select(F.col("id").alias("project_identity_id"),
                             C.last_path_part(F.col("canonical_path")).alias("project_name"))
-    return salted_join(df, names, ["project_identity_id"], row_id).withColumn(
+    return salted_join(df, names, ["project_identity_id"], row_id, hot=hot).withColumn(
         "project_name", F.coalesce("project_name", F.lit("unresolved")))
 
 
@@ -226,8 +227,10 @@ def reconciliation_plan(observations: DataFrame, failed_runs: DataFrame, project
     """Original events of the failed runs' observations that the outbox lacks."""
     rows = observations.join(failed_runs.select(F.col("run_id").alias("scan_run_id")),
                              "scan_run_id", "left_semi")
+    # Counted on the stored observations, so that ranking is not evaluated twice.
+    hot = hot_keys(observations, ["project_identity_id"])
     ranked = with_project_names(reconciliation_ordinals(rows), projects,
-                                F.col("observation_id"))
+                                F.col("observation_id"), hot)
     rebuilt = derived_events(
         ranked, F.lit(K.OPERATIONAL_SCOPE), F.col("observation_id"), F.lit(1), F.col("ordinal"),
         F.lit(K.OBSERVATION_EVENT), F.col("occurred_at_ns"),

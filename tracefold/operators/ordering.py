@@ -146,7 +146,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], row_id: Col
 
     A hot key is spread over as many salts as keep each one near 1/``HOT_PARTS`` of
     the rows, and only its rows of the small side are repeated; null keys, which match
-    nothing, are spread as well. ``hot`` may come from a cheaper view of the same
+    nothing, are spread as well. ``big`` is read twice, so it should be a stored table. ``hot`` may come from a cheaper view of the same
     rows. Only the bounded hot-key list is broadcast; for the join itself adaptive
     execution broadcasts the small side when its measured size allows.
     """
