@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from checks import views
 from checks.detection import _findings, _states, _TWO_RUNS, records
-from checks.prelude import EVENT_CTES, RECORD_CTES, sql
+from checks.prelude import RECORD_CTES, sql
 from checks.registry import query
 from checks.tables import (
     DERIVED_SQL, OUTBOX_SQL, PANEL_END, PANEL_START, RUNS_SQL, customer_events, derived_events,
-    finding_events, outbox, runs, snapshot_events,
+    finding_events, outbox, runs,
 )
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K

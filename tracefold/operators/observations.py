@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
-from tracefold.operators.ordering import ordered_digest, salted_join
+from tracefold.operators.ordering import ordered_digest, salted_join, sliced
 
 RESOLVED_PREFIXES = ("git:", "non_git:")
 
@@ -90,8 +90,6 @@ def watermark_audit(log: DataFrame, sequence: str = "sequence", span: int = 10_0
     The log is cut into sequence spans; each span also reads the last entry of the one
     before it, so a source with a very long log is not sorted in one task.
     """
-    from tracefold.operators.ordering import sliced
-
     seen = sliced(log, ["source"], [C.floor_div(F.col(sequence), span)], [sequence],
                   running={}, previous={"prev_ns": F.col("timestamp_ns"),
                                         "prev_row_id": F.col("row_id")})
