@@ -4,8 +4,8 @@ One weight vector scores a text; ordered thresholds cut the score into grades:
 P(grade <= k) = sigmoid(threshold_k - w.x). The expected grade is the sum of the tail
 probabilities P(grade > k); selection keeps a text by P(grade >= ``keep_grade``).
 
-A null or empty text has no features and gets the intercept-only grade, then is rejected
-(there is nothing to train on). Repeated rows get equal scores; an existing column named
+A null, empty or blank text has nothing to train on: it gets a grade like any other and is
+never kept. Repeated rows get equal scores; an existing column named
 like an output is replaced; every other column passes through. An empty table gives an
 empty one; with no labelled rows every non-empty text is kept at the top grade.
 """
@@ -146,7 +146,7 @@ def classify(docs: DataFrame, model: OrdinalModel | None, keep_grade: int = KEEP
         "expected_grade": F.col("_quality.expected_grade"),
         "tail_probability": F.col("_quality.tail_probability"),
         "keep": (F.col("_quality.tail_probability") >= keep_probability)
-        & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0),
+        & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)),
     }).drop("_quality")
 
 
