@@ -135,9 +135,12 @@ def learned_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, fl
         return {}
     p, q = (F.col("toxic_texts") + 0.5) / (toxic + 1), (F.col("clean_texts") + 0.5) / (clean + 1)
     odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    spread = F.sqrt(1 / (F.col("toxic_texts") + 0.5) + 1 / (F.col("clean_texts") + 0.5))
+    # two-proportion z of the share of toxic and of clean texts that hold the entry
+    share = (F.col("toxic_texts") + F.col("clean_texts")) / (toxic + clean)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / toxic + 1 / clean))
+    apart = F.col("toxic_texts") / toxic - F.col("clean_texts") / clean
     chosen = entry_counts(sample).where(F.col("contexts") >= MIN_CONTEXTS).select(
-        "entry", F.round(odds, 6).alias("weight"), (odds / spread).alias("z")).where(
+        "entry", F.round(odds, 6).alias("weight"), (apart / spread).alias("z")).where(
         (F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z)).orderBy(
         F.desc(F.round("z", 6)), "entry").limit(size)
     return {r["entry"]: float(r["weight"]) for r in chosen.collect()}
