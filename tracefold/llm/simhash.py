@@ -32,6 +32,8 @@ from tracefold.sources.sinks import stored
 
 #: Pairs that a task compares at once.
 COMPARE_AT_ONCE = 1_000_000
+#: Links that a task joins to a forest at once.
+LINKS_AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
@@ -178,7 +180,7 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
         order = np.argsort(apart, kind="stable")
         a, b = np.minimum(a, b)[order], np.maximum(a, b)[order]
         joins = forest(a, b)
-        return pd.DataFrame({"a": a[joins], "b": b[joins]})
+        return pd.DataFrame({"a": a[joins], "b": b[joins], "apart": apart[order][joins]})
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -196,7 +198,26 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
             if out is not None:
                 yield out
 
-    return rows.mapInPandas(compare, "a long, b long")
+    return rows.mapInPandas(compare, "a long, b long, apart long")
+
+
+def thinned(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """A spanning forest, closest links first, of every ``at_once`` links or so.
+
+    The forests of many anchors overlap; joined in as few tasks as hold them, they leave
+    little more than one link a node. What is dropped joins nothing that is not joined by
+    links at least as close.
+    """
+    found = stored(links, "anchor-links")
+    tasks = -(-max(1, found.count()) // at_once)
+
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat([pd.DataFrame({"a": [], "b": [], "apart": []}, dtype="int64"), *parts])
+        part = part.sort_values(["apart", "a", "b"], kind="stable")
+        yield part[forest(part["a"].to_numpy(), part["b"].to_numpy())]
+
+    return found.coalesce(tasks).mapInPandas(thin, "a long, b long, apart long").select(
+        "a", "b").distinct()
 
 
 # ---------------------------------------------------------------- fingerprints of shingles
@@ -329,8 +350,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
     texts = stored(per_doc.groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.any_value("marks").alias("marks")).select(
         F.monotonically_increasing_id().alias("node"), "digest", "first", "marks.*"), "texts")
-    links = stored(anchor_links(texts.select("node", *names), even_blocks(WORD_BITS, WORD_BLOCKS), WORD_APART,
-                                SKETCH_APART).distinct(), "likely-links")
+    links = stored(thinned(anchor_links(
+        texts.select("node", *names), even_blocks(WORD_BITS, WORD_BLOCKS), WORD_APART,
+        SKETCH_APART)), "likely-links")
     # the whole texts of linked documents, once each, for the exact check
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(
         F.col("b").alias("node"))).distinct()
