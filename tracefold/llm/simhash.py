@@ -34,6 +34,8 @@ from tracefold.sources.sinks import stored
 COMPARE_AT_ONCE = 1_000_000
 #: Links that a task joins to a forest at once.
 LINKS_AT_ONCE = 500_000
+#: Disjoint forests of likely links that are checked.
+FORESTS = 8
 
 
 @dataclass(frozen=True)
@@ -201,20 +203,23 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
     return rows.mapInPandas(compare, "a long, b long, apart long")
 
 
-def thinned(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
-    """A spanning forest, closest links first, of every ``at_once`` links or so.
+def thinned(links: DataFrame, forests: int = FORESTS, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """Several disjoint spanning forests, closest links first, of every ``at_once`` links or so.
 
-    The forests of many anchors overlap; joined in as few tasks as hold them, they leave
-    little more than one link a node. What is dropped joins nothing that is not joined by
-    links at least as close.
+    The forests of many anchors overlap; joined in as few tasks as hold them they leave a few
+    links a node. A link that is dropped stands beside ``forests`` closer ways between its
+    ends, so a link that a later check refuses has others in its place.
     """
     found = stored(links, "anchor-links")
     tasks = -(-max(1, found.count()) // at_once)
 
     def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat([pd.DataFrame({"a": [], "b": [], "apart": []}, dtype="int64"), *parts])
-        part = part.sort_values(["apart", "a", "b"], kind="stable")
-        yield part[forest(part["a"].to_numpy(), part["b"].to_numpy())]
+        part = part.drop_duplicates().sort_values(["apart", "a", "b"], kind="stable")
+        for _ in range(forests):
+            joins = forest(part["a"].to_numpy(), part["b"].to_numpy())
+            yield part[joins]
+            part = part[~joins]
 
     return found.coalesce(tasks).mapInPandas(thin, "a long, b long, apart long").select(
         "a", "b").distinct()
