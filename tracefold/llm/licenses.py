@@ -127,13 +127,18 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
     weights = stored(template_weights(files, templates or TEMPLATES).withColumn(
         "idf", _idf(F.col("df"), total)), "license-weights")
     unseen = F.lit(round(math.log(total + 1) + 1, 6))
-    needed = needed_words(weights.collect(), min(header_score, file_score) / SCALE)
-    may = r"(^|[^a-z0-9])(" + "|".join(w.replace(".", r"\.") for w in needed) + r")([^a-z0-9]|$)"
+    rows = weights.collect()
+
+    def may(threshold: int) -> Column:
+        """Whether a text holds a word that it needs to reach the threshold."""
+        needed = "|".join(w.replace(".", r"\.") for w in needed_words(rows, threshold / SCALE))
+        return F.lower("text").rlike(f"(^|[^a-z0-9])({needed})([^a-z0-9]|$)")
+
+    # repeated rows share a key: their counts are multiples, their cosines the same
     key = F.xxhash64("id", "path", "text")
-    likely = stored(files.where(F.lower("text").rlike(may)).select(
-        key.alias("key"), "text").dropDuplicates(["key"]), "license-texts")
-    sentences = likely.select("key", F.posexplode(F.split("text", _BREAK)).alias(
-        "part", "text")).where(F.lower("text").rlike(may))
+    sentences = files.where(may(header_score)).select(key.alias("key"), F.posexplode(F.split(
+        "text", _BREAK)).alias("part", "text")).where(may(header_score))
+    likely = files.where(may(file_score)).select(key.alias("key"), "text")
     headers = cosine(sentences, weights, unseen).where(F.col("score") >= header_score).groupBy(
         "key").agg(F.max("score").alias("own_score"), F.min_by("license", F.struct(
             -F.col("score"), "license")).alias("own_license"))
