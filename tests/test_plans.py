@@ -40,6 +40,7 @@ def test_run_is_published_whole_and_repeats_add_nothing(spark):
     if os.environ.get("TRACEFOLD_ALL"):
         third = go("r3", HALF + 7 * K.NS_PER_DAY)  # nothing newer than the watermark
         assert third.get("r3", 0) == 0 and third["r2"] == second["r2"]
+    assert go("r2", HALF + 7 * K.NS_PER_DAY) == second  # a published run stays as it is
     rows = sinks.read_results(spark, store, "observations")
     assert rows.count() == rows.select("observation_id").distinct().count()
     findings = sinks.read_latest(spark, store, "findings")
@@ -62,6 +63,18 @@ def test_unpublished_run_is_invisible(spark):
     sinks.write_results({"t": spark.range(7)}, path, "b", order=1)
     assert sinks.read_results(spark, path, "t").count() == 10
     assert sinks.read_latest(spark, path, "t").count() == 7
+    sinks.write_results({"t": spark.range(1)}, path, "b", order=2)
+    assert sinks.read_results(spark, path, "t").count() == 10
+
+
+def test_cut_short_attempt_can_be_repeated_from_its_own_store(spark):
+    path = sinks.new_path(spark, "store")
+    sinks.write_results({"t": spark.range(3)}, path, "a")
+    spark.range(100, 105).write.parquet(f"{path}/t/run_id=b")  # lost before publishing
+    again = sinks.read_results(spark, path, "t").select((F.col("id") + 10).alias("id"))
+    sinks.write_results({"t": again}, path, "b", order=1)
+    rows = sinks.read_results(spark, path, "t").select("id").collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 2, 10, 11, 12]
 
 
 def test_emit_is_idempotent(spark):

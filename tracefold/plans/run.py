@@ -30,9 +30,12 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
     """Detect, merge with the published facts and publish this run's tables.
 
     Every table is written under the run id; the run becomes visible only with the
-    last write, so a lost job leaves no partial results and can simply be repeated.
+    last write, so a lost job leaves no partial results and can simply be repeated. A run
+    that is published already is not run again.
     """
     spark = raw_logs.sparkSession
+    if sinks.is_published(spark, store, run_id):
+        return
     scan.utc_session(spark)
     start_ns, end_ns = next_bounds(spark, store, end_ns)
     linked, placed, hydration = scan.scan_window(raw_logs, raw_spans, roots, start_ns, end_ns,

@@ -61,10 +61,13 @@ def write_results(results: dict[str, DataFrame], path: str, run_id: str,
                   order: int = 0) -> None:
     """Write all tables of one run, then publish the run id as the last write.
 
-    Readers use ``read_results`` and never see a run whose writing was cut short; a
-    repeated run overwrites its own partitions. ``order`` ranks the published runs.
+    Readers use ``read_results`` and never see a run whose writing was cut short: it reads
+    no folder of an unpublished run, so a repeated run may overwrite those. A run that is
+    published already is left as it is. ``order`` ranks the published runs.
     """
     spark = next(iter(results.values())).sparkSession
+    if is_published(spark, path, run_id):
+        return
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
     spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(order).cast("bigint").alias(
@@ -86,14 +89,21 @@ def published_runs(spark: SparkSession, path: str) -> DataFrame | None:
     return None if runs is None else runs.select("run_id", "run_order").distinct()
 
 
+def is_published(spark: SparkSession, path: str, run_id: str) -> bool:
+    runs = published_runs(spark, path)
+    return runs is not None and not runs.where(F.col("run_id") == run_id).isEmpty()
+
+
 def read_results(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """Rows of ``name`` from published runs only; None before the first one."""
     runs = published_runs(spark, path)
     table = None if runs is None else _table(spark, f"{path}/{name}")
     if table is None:
         return None
-    return table.withColumn("run_id", F.col("run_id").cast("string")).join(
-        runs, "run_id", "left_semi")
+    # one id a run: a plain filter prunes the folders of every other run before they are read
+    ids = [r["run_id"] for r in runs.select("run_id").collect()]
+    return table.where(F.col("run_id").cast("string").isin(ids)).withColumn(
+        "run_id", F.col("run_id").cast("string"))
 
 
 def read_latest(spark: SparkSession, path: str, name: str) -> DataFrame | None:
