@@ -34,8 +34,8 @@ from tracefold.sources.sinks import stored
 COMPARE_AT_ONCE = 1_000_000
 #: Links that a task joins to a forest at once.
 LINKS_AT_ONCE = 500_000
-#: Disjoint forests of likely links that are checked.
-FORESTS = 8
+#: Disjoint forests of likely links that are checked first, and that a batch hands on.
+FORESTS, BATCH_FORESTS = 8, 2
 
 
 @dataclass(frozen=True)
@@ -130,17 +130,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def forests_of(links: pd.DataFrame, count: int) -> Iterator[pd.DataFrame]:
+    """``count`` disjoint spanning forests of ``links`` (a, b, apart), closest links first."""
+    links = links.drop_duplicates().sort_values(["apart", "a", "b"], kind="stable")
+    for _ in range(count):
+        joins = forest(links["a"].to_numpy(), links["b"].to_numpy())
+        yield links[joins]
+        links = links[~joins]
+
+
 def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
-                 sketch_apart: int | None = None) -> DataFrame:
+                 sketch_apart: int | None = None, forests: int = 1) -> DataFrame:
     """Links (a, b) between nodes at most ``most_apart`` bits apart, compared per anchor.
 
-    With ``sketch_apart`` a link must also have sketches at most so many bits apart, and the
-    forest prefers the closest ones: a maximum spanning forest keeps the groups at every
-    likeness, so a later check of its links loses none.
+    With ``sketch_apart`` a link must also have sketches at most so many bits apart. One
+    forest keeps the groups of all links; where a later check may refuse links, several
+    disjoint ``forests`` of the closest ones leave each dropped link so many ways around.
     """
     rows = anchor_rows(marks, blocks)
     rows = rows.repartition("key").sortWithinPartitions("key", F.desc("home"))
@@ -179,10 +188,8 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
         if not found:
             return None
         a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.argsort(apart, kind="stable")
-        a, b = np.minimum(a, b)[order], np.maximum(a, b)[order]
-        joins = forest(a, b)
-        return pd.DataFrame({"a": a[joins], "b": b[joins], "apart": apart[order][joins]})
+        return pd.concat(forests_of(pd.DataFrame(
+            {"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart}), forests))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -206,22 +213,16 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
 def thinned(links: DataFrame, forests: int = FORESTS, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """Several disjoint spanning forests, closest links first, of every ``at_once`` links or so.
 
-    The forests of many anchors overlap; joined in as few tasks as hold them they leave a few
-    links a node. A link that is dropped stands beside ``forests`` closer ways between its
-    ends, so a link that a later check refuses has others in its place.
+    ``links`` is a written table. The forests of many anchors overlap; joined in as few tasks
+    as hold them they leave a few links a node.
     """
-    found = stored(links, "anchor-links")
-    tasks = -(-max(1, found.count()) // at_once)
+    tasks = -(-max(1, links.count()) // at_once)
 
     def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat([pd.DataFrame({"a": [], "b": [], "apart": []}, dtype="int64"), *parts])
-        part = part.drop_duplicates().sort_values(["apart", "a", "b"], kind="stable")
-        for _ in range(forests):
-            joins = forest(part["a"].to_numpy(), part["b"].to_numpy())
-            yield part[joins]
-            part = part[~joins]
+        yield from forests_of(part, forests)
 
-    return found.coalesce(tasks).mapInPandas(thin, "a long, b long, apart long").select(
+    return links.coalesce(tasks).mapInPandas(thin, "a long, b long, apart long").select(
         "a", "b").distinct()
 
 
@@ -355,24 +356,37 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
     texts = stored(per_doc.groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.any_value("marks").alias("marks")).select(
         F.monotonically_increasing_id().alias("node"), "digest", "first", "marks.*"), "texts")
-    links = stored(thinned(anchor_links(
+    found = stored(anchor_links(
         texts.select("node", *names), even_blocks(WORD_BITS, WORD_BLOCKS), WORD_APART,
-        SKETCH_APART)), "likely-links")
-    # the whole texts of linked documents, once each, for the exact check
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(
-        F.col("b").alias("node"))).distinct()
-    wanted = texts.select("node", "digest").join(ends, "node")
-    whole = stored(docs.select(F.md5(text).alias("digest"), text.alias("text")).join(
-        wanted, "digest").dropDuplicates(["node"]).select("node", "text"), "linked-texts")
+        SKETCH_APART, BATCH_FORESTS), "anchor-links")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y, width) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    checked = links.join(whole.select(F.col("node").alias("a"), F.col("text").alias("x")), "a"
-                         ).join(whole.select(F.col("node").alias("b"), F.col("text").alias("y")),
-                                "b").where(alike("x", "y") >= least).select("a", "b")
-    return texts, components(stored(checked, "checked-links"))
+    def checked(links: DataFrame) -> DataFrame:
+        # the whole texts of linked documents, once each, for the exact check
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(
+            F.col("b").alias("node"))).distinct()
+        wanted = texts.select("node", "digest").join(ends, "node")
+        whole = stored(docs.select(F.md5(text).alias("digest"), text.alias("text")).join(
+            wanted, "digest").dropDuplicates(["node"]).select("node", "text"), "linked-texts")
+        left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
+        right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        return stored(links.join(left, "a").join(right, "b").where(
+            alike("x", "y") >= least).select("a", "b"), "checked-links")
+
+    likely = stored(thinned(found), "likely-links")
+    first = checked(likely)
+    groups = components(first)
+    # every other link whose ends are still apart is checked as well
+    apart = found.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        apart = apart.join(groups.select(F.col("node").alias(end), F.col("label").alias(
+            f"of_{end}")), end, "left")
+    apart = stored(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(
+        "a", "b"), "links-apart")
+    return texts, components(first.unionByName(checked(apart)))
 
 
 def remove_near_duplicates(docs: DataFrame) -> DataFrame:
