@@ -374,19 +374,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
         left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
         return stored(links.join(left, "a").join(right, "b").where(
-            alike("x", "y") >= least).select("a", "b"), "checked-links")
+            alike("x", "y") >= least).select(links.columns), "checked-links")
 
     likely = stored(thinned(found), "likely-links")
-    first = checked(likely)
-    groups = components(first)
-    # every other link whose ends are still apart is checked as well
+    groups = components(checked(likely))
+    # every other link whose ends are still apart is checked as well, and joins whole groups
     apart = found.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         apart = apart.join(groups.select(F.col("node").alias(end), F.col("label").alias(
             f"of_{end}")), end, "left")
-    apart = stored(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(
-        "a", "b"), "links-apart")
-    return texts, components(first.unionByName(checked(apart)))
+    apart = stored(apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce(
+        "of_b", "b").alias("of_b")).where("of_a <> of_b"), "links-apart")
+    joined = components(checked(apart).select(
+        F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    higher = joined.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+    return texts, groups.join(higher, "label", "left").select(
+        "node", F.coalesce("higher", "label").alias("label")).unionByName(
+        joined.join(groups, "node", "left_anti"))
 
 
 def remove_near_duplicates(docs: DataFrame) -> DataFrame:
