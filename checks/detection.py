@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.prelude import DETECT_CTES, DETECTOR_SQL, EVENT_CTES, RECORD_CTES, REDACT, sql
+from checks.prelude import (
+    DETECT_CTES, DETECTOR_SQL, EVENT_CTES, RECORD_CTES, REDACT, TOOL_LOOP_LITERAL, sql,
+)
 from checks.registry import query
 from checks.tables import DERIVED_SQL, RUNS_SQL, finding_events, runs
 from tracefold.functions import columns as C
@@ -33,6 +35,12 @@ for _detector in (*detectors.SINGLE_EVENT_DETECTORS, *detectors.GROUP_DETECTORS)
     _member_query(_detector)
 
 
+@query("tool_loop_literal", sql(
+    f"SELECT {', '.join(_SHOWN)} FROM ({TOOL_LOOP_LITERAL})", DETECT_CTES))
+def tool_loop_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.tool_loop(views.events(spark, sf_dir), verified=False).select(*_SHOWN)
+
+
 @query("token_outlier", sql(
     f"SELECT {', '.join(_SHOWN)} FROM ({DETECTOR_SQL['token_outlier']})", DETECT_CTES))
 def token_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +315,10 @@ def findings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprint", "detector_id", "first_seen_ns", "last_seen_ns", "entity_version")
 
 
-@query("finding_id")
+@query("finding_id", sql("""SELECT fingerprint, concat_ws('-', d[1:8], d[9:12], '5' || d[14:16],
+    translate(d[17:17], '0123456789abcdef', repeat('89ab', 4)) || d[18:20], d[21:32]) AS finding_id
+  FROM (SELECT DISTINCT fingerprint, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8')
+    || encode('tracefold:' || fingerprint)) AS d FROM records)""", RECORD_CTES))
 def finding_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir)[1].select("fingerprint", "finding_id")
 

@@ -247,6 +247,32 @@ DETECTOR_SQL["tool_loop"] = members("tool_loop", """
       WHERE k.op_pos BETWEEN l.first_pos AND l.first_pos + l.total - 1""",
     "project_id || task_id", "nth", "n")
 
+# The literal rule takes the second repetition for granted: every start and cycle length.
+TOOL_LOOP_LITERAL = members("tool_loop", """
+      SELECT k.*, k.op_pos - l.first_pos + 1 AS nth, l.total AS n,
+        'repeating_contiguous_operation_cycle' AS failure_class,
+        'contiguous normalized operations form a repeated cycle' AS explanation
+      FROM keyed k JOIN (
+        SELECT project_id, task_id, first_pos, total FROM (
+          SELECT *, row_number() OVER (PARTITION BY project_id, task_id
+            ORDER BY total DESC, first_pos) AS r
+          FROM (SELECT *, 2 * lag + ((coalesce(stop, n + 1) - first_pos - 2 * lag) // lag) * lag
+                AS total FROM (
+            SELECT c.project_id, c.task_id, c.n, c.first_pos, c.lag,
+              min(CASE WHEN a.op_key <> b.op_key THEN a.op_pos END) AS stop
+            FROM (SELECT *, unnest(range(1, (n - first_pos + 1) // 2 + 1)) AS lag
+                FROM (SELECT *, unnest(range(1, n)) AS first_pos
+                  FROM (SELECT project_id, task_id, max(op_pos) AS n FROM keyed GROUP BY ALL))) c
+              LEFT JOIN keyed a ON a.project_id = c.project_id AND a.task_id = c.task_id
+                AND a.op_pos >= c.first_pos + 2 * c.lag
+              LEFT JOIN keyed b ON b.project_id = c.project_id AND b.task_id = c.task_id
+                AND b.op_pos = c.first_pos + (a.op_pos - c.first_pos) % c.lag
+            GROUP BY ALL))
+          WHERE (lag = 1 AND total >= 3) OR (lag > 1 AND total >= 4))
+        WHERE r = 1) l USING (project_id, task_id)
+      WHERE k.op_pos BETWEEN l.first_pos AND l.first_pos + l.total - 1""",
+    "project_id || task_id", "nth", "n")
+
 RECORD_CTES = DETECT_CTES + "members AS (" + "\n  UNION ALL".join(DETECTOR_SQL.values()) + """),
 printed AS (
   SELECT *, sha256(CAST(to_json({category: detector_id, detector_version: 1,

@@ -245,7 +245,7 @@ HISTORY_SQL = """history AS (
       AS event_type,
     min(l_suppkey) % 2 = 0 AS explicit_request, min(l_partkey) % 3 = 0 AS validation,
     min(epoch_us(l_shipdate)) * 1000 AS created_ns
-  FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber),
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
 proposals AS (
   SELECT 'p' || o_orderkey AS proposal_id, 'f' || o_custkey AS finding_id,
     CASE o_custkey % 2 WHEN 0 THEN 'project' ELSE 'folder' END AS proposal_scope,
@@ -263,7 +263,7 @@ def proposal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line == 3, F.lit("applying"))
         .otherwise(F.when(flag == "A", F.lit("applied")).otherwise(
             F.lit("implementation_failed"))))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy(
+    return table(spark, sf_dir, "lineitem").groupBy(
         "l_orderkey", "l_linenumber").agg(
         step.alias("event_type"), (F.min("l_suppkey") % 2 == 0).alias("explicit_request"),
         (F.min("l_partkey") % 3 == 0).alias("validation"),

@@ -43,7 +43,7 @@ def parse_uint(col: Column) -> Column:
 
 # ---- time -----------------------------------------------------------------
 
-def floor_div(col: Column, unit: int) -> Column:
+def floor_div(col: Column, unit: int | Column) -> Column:
     """Integer division rounding towards minus infinity (SQL ``div`` truncates)."""
     return F.call_function("div", col - F.pmod(col, F.lit(unit)), F.lit(unit))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators.ordering import (
-    DEFAULT_SLICE_NS, blocked, range_members, salted_join, sliced, time_slice,
+    DEFAULT_SLICE_NS, RANGE_SIZES, blocked, range_members, salted_join, sliced, time_slice,
 )
 from tracefold.sources.sinks import stored
 
@@ -160,7 +160,8 @@ def quality_gate_bypass(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) ->
         *TASK, F.col("event_id").alias("group_id"), F.col("prev_event_id").alias("failed_id"),
         (F.col("prev_edits") + 1).alias("first_pos"), F.col("edits").alias("last_pos"),
         count.alias("n"))
-    changes = range_members(hits, timeline.where("not _gate"), TASK, "edits").withColumn(
+    changes = range_members(hits, timeline.where("not _gate"), TASK, "edits",
+                            RANGE_SIZES).withColumn(
         "nth", F.col("edits") - F.col("first_pos") + 2)
     opened = timeline.where("_gate and op_exit_code <> 0").join(
         hits.select("group_id", "n", F.col("failed_id").alias("event_id")), "event_id"
@@ -289,7 +290,7 @@ def tool_loop(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS, verified: boo
             F.max(F.struct("total", (-F.col("first_pos")).alias("back"))).alias("b")
         ).select(*TASK, (-F.col("b.back")).alias("first_pos"), F.col("b.total").alias("n"))
     best = best.withColumn("last_pos", F.col("first_pos") + F.col("n") - 1)
-    rows = range_members(best, ranked, TASK, "pos", block)
+    rows = range_members(best, ranked, TASK, "pos", [block])
     return _members(rows, "tool_loop", _group_id(*TASK),
                     F.lit("repeating_contiguous_operation_cycle"),
                     F.lit("contiguous normalized operations form a repeated cycle"),
@@ -392,13 +393,17 @@ GROUP_DETECTORS = (
 
 
 def detect_all(events: DataFrame, baselines: DataFrame | None = None,
-               slice_ns: int = DEFAULT_SLICE_NS) -> tuple[DataFrame, DataFrame]:
+               slice_ns: int = DEFAULT_SLICE_NS, verified: bool = True
+               ) -> tuple[DataFrame, DataFrame]:
     """Members of single-event observations and of group observations.
 
+    ``verified`` is the rule of ``tool_loop``.
+
     ``events`` is read by every detector: pass a stored table. ``fitting_slice_ns``
     gives the slice width for data with very dense seconds.
     """
     base = project_token_baselines(events) if baselines is None else baselines
     single = [d(events) for d in SINGLE_EVENT_DETECTORS] + [token_outlier(events, base)]
-    grouped = [d(events, slice_ns) for d in GROUP_DETECTORS]
+    grouped = [d(events, slice_ns, verified) if d is tool_loop else d(events, slice_ns)
+               for d in GROUP_DETECTORS]
     return reduce(DataFrame.unionByName, single), reduce(DataFrame.unionByName, grouped)

@@ -21,6 +21,8 @@ DEFAULT_SLICE_NS = K.NS_PER_SECOND
 HOT_PARTS = 10_000
 HOT_ROWS = 1_000_000
 DIGEST_FANOUT = 1000
+#: Block lengths of ``range_members`` where ranges of any length occur.
+RANGE_SIZES = (1, 8, 64, 512, 4096)
 
 
 def fitting_slice_ns(events: DataFrame, key: str = "project_id",
@@ -110,19 +112,27 @@ def blocked(df: DataFrame, position: str, size: int, ahead: int = 0) -> DataFram
 
 
 def range_members(ranges: DataFrame, rows: DataFrame, keys: Sequence[str], position: str,
-                  size: int = 4096) -> DataFrame:
+                  sizes: Sequence[int] = RANGE_SIZES) -> DataFrame:
     """Join each [first_pos, last_pos] range to the rows whose position lies in it.
 
-    The range is cut into position blocks, so the join key is (keys, block): output
-    sized work with no group-wide pair generation.
+    Every range is cut into position blocks of the largest of ``sizes`` that is no longer
+    than the range, and every row stands once at each size. Blocks at the ends reach past a
+    range by less than its length on either side, so fewer than three rows are joined for
+    each one that stays (positions are gapless). One size is enough for one range a group.
     """
-    blocks = F.sequence(floor_div(F.col("first_pos"), size), floor_div(F.col("last_pos"), size))
+    length = F.col("last_pos") - F.col("first_pos") + 1
+    size = F.lit(min(sizes))
+    for larger in sorted(sizes)[1:]:
+        size = F.when(length >= larger, F.lit(larger)).otherwise(size)
     left = ranges.where(F.col("last_pos") >= F.col("first_pos")).withColumn(
-        "_block", F.explode(blocks))
-    right = rows.withColumn("_block", floor_div(F.col(position), size))
-    return left.join(right, [*keys, "_block"]).where(
+        "_size", size).withColumn("_block", F.explode(F.sequence(
+            floor_div(F.col("first_pos"), F.col("_size")),
+            floor_div(F.col("last_pos"), F.col("_size")))))
+    right = rows.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn(
+        "_block", floor_div(F.col(position), F.col("_size")))
+    return left.join(right, [*keys, "_size", "_block"]).where(
         F.col(position).between(F.col("first_pos"), F.col("last_pos"))
-    ).drop("_block")
+    ).drop("_size", "_block")
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], parts: int = HOT_PARTS,

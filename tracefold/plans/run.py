@@ -26,12 +26,13 @@ def next_bounds(spark: SparkSession, store: str, end_ns: int) -> tuple[int, int]
 
 def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store: str,
              run_id: str, end_ns: int, generation: str,
-             aliases: DataFrame | None = None, extras: DataFrame | None = None) -> None:
+             aliases: DataFrame | None = None, extras: DataFrame | None = None,
+             verified: bool = True) -> None:
     """Detect, merge with the published facts and publish this run's tables.
 
     Every table is written under the run id; the run becomes visible only with the
     last write, so a lost job leaves no partial results and can simply be repeated. A run
-    that is published already is not run again.
+    that is published already is not run again. ``verified`` is the rule of ``tool_loop``.
     """
     spark = raw_logs.sparkSession
     if sinks.is_published(spark, store, run_id):
@@ -42,7 +43,7 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
                                                  aliases)
     hydration = sinks.stored(hydration, "hydration")
     events = sinks.stored(scan.detector_events(linked, placed, hydration, extras), "events")
-    records, members = scan.observe(events)
+    records, members = scan.observe(events, verified=verified)
 
     earlier = sinks.read_results(spark, store, "observations")
     if earlier is not None:

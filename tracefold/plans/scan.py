@@ -146,14 +146,14 @@ def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
 
 
 def observe(events: DataFrame, baselines: DataFrame | None = None,
-            slice_ns: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Observation records and their member rows.
+            slice_ns: int | None = None, verified: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Observation records and their member rows; ``verified`` is the rule of ``tool_loop``.
 
     ``events`` is a stored table. The members of all detectors are written once;
     records and member rows are both derived from that table.
     """
     width = fitting_slice_ns(events) if slice_ns is None else slice_ns
-    single, grouped = detectors.detect_all(events, baselines, width)
+    single, grouped = detectors.detect_all(events, baselines, width, verified)
     members = stored(single.unionByName(grouped), "members")
     records = observations.dedupe_observations(observations.observation_records(
         members.where("member_count = 1"), members.where("member_count > 1")))

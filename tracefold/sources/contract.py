@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,16 @@ from tracefold.functions import constants as K
 INVENTORY_DAYS = 15
 
 
-def _map_keys(df: DataFrame, source: str, field: str) -> DataFrame:
-    return df.select(F.lit(source).alias("source"), F.lit(field).alias("field"),
-                     F.explode(F.map_keys(field)).alias("name")).distinct()
+def _names(df: DataFrame, source: str, event_name: Column, maps: Sequence[str]) -> DataFrame:
+    """Event names and map keys of one table, from a single pass over it."""
+    def named(field: str, names: Column) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(field).alias("field"),
+                                                     n.alias("name")))
+
+    found = [named("event_name", F.array(event_name))]
+    found += [named(m, F.coalesce(F.map_keys(m), F.array().cast("array<string>"))) for m in maps]
+    return df.select(F.lit(source).alias("source"), F.explode(F.concat(*found)).alias("_found")
+                     ).select("source", "_found.*").distinct()
 
 
 def schema_inventory(logs: DataFrame, spans: DataFrame, now_ns: int,
@@ -29,17 +36,10 @@ def schema_inventory(logs: DataFrame, spans: DataFrame, now_ns: int,
         (F.col("timestamp_ns") >= since)
         & (F.col("ts_bucket_start") >= since // K.NS_PER_SECOND - K.BUCKET_SLACK_SECONDS)
         & F.col("serviceName").isin(*services))
-    names = [
-        recent_logs.select(F.lit("logs").alias("source"), F.lit("event_name").alias("field"),
-                           F.coalesce(F.col("attributes_string")["event.name"], F.lit(""))
-                           .alias("name")).distinct(),
-        recent_spans.select(F.lit("spans").alias("source"), F.lit("event_name").alias("field"),
-                            "name").distinct(),
-    ]
     maps = ("attributes_string", "attributes_number", "attributes_bool")
-    keys = [_map_keys(recent_logs, "logs", m) for m in maps]
-    keys += [_map_keys(recent_spans, "spans", m) for m in maps[:2]]
-    return reduce(DataFrame.unionByName, names + keys)
+    return _names(
+        recent_logs, "logs", F.coalesce(F.col("attributes_string")["event.name"], F.lit("")), maps
+    ).unionByName(_names(recent_spans, "spans", F.col("name"), maps[:2]))
 
 
 def inventory_lists(inventory: DataFrame) -> DataFrame:
