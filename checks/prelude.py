@@ -281,8 +281,15 @@ printed AS (
     AS VARCHAR)) AS fingerprint
   FROM members WHERE ordinal = 1),
 lists AS (
-  SELECT detector_id, grp, string_agg(event_id, chr(31) ORDER BY ordinal) AS ids
-  FROM members GROUP BY detector_id, grp),
+  SELECT detector_id, grp, CASE count(*) WHEN 1 THEN min(ids)
+      ELSE sha256(string_agg(ids, chr(31) ORDER BY top)) END AS ids
+  FROM (SELECT detector_id, grp, node // 100 AS top, CASE WHEN max(member_count) <= 100
+      THEN min(ids) ELSE sha256(string_agg(ids, chr(31) ORDER BY node)) END AS ids
+    FROM (SELECT detector_id, grp, (ordinal - 1) // 100 AS node, max(member_count) AS member_count,
+        sha256(string_agg(event_id, chr(31) ORDER BY ordinal)) AS ids
+      FROM members GROUP BY ALL)
+    GROUP BY ALL)
+  GROUP BY detector_id, grp),
 records AS (
   SELECT sha256(p.fingerprint || chr(31) || l.ids) AS observation_id, p.detector_id,
     CASE WHEN NOT starts_with(project_id, 'unresolved:') THEN project_id END

@@ -14,7 +14,8 @@ from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators import events, observations
 from tracefold.operators.ordering import (
-    fitting_slice_ns, hot_keys, ordered_digest, salted_join, sliced, time_slice,
+    RANGE_SIZES, fitting_slice_ns, hot_keys, ordered_digest, range_members, salted_join, sliced,
+    time_slice,
 )
 from tracefold.plans import panels, run
 from tracefold.sources import contract, sinks
@@ -125,18 +126,35 @@ def test_fitting_slice_narrows_for_dense_seconds(spark):
     assert fitting_slice_ns(dense, rows_per_slice=1000) == K.NS_PER_SECOND // 5
 
 
-def test_digest_is_exact_when_short_and_stable_when_long(spark):
-    def digest(n, fanout):
-        rows = spark.range(n).select(
-            F.lit("g").alias("k"), (F.col("id") + 1).alias("ordinal"),
-            F.format_string("e%03d", "id").alias("event_id"),
-            F.lit(n).cast("bigint").alias("member_count"))
-        return ordered_digest(rows.repartition(4), "k", fanout=fanout).first().members_text
-
-    ids = [f"e{i:03d}" for i in range(40)]
-    assert digest(40, 1000) == "\x1f".join(ids)
-    tree = digest(40, 4)
-    assert tree == digest(40, 4) and len(tree) == 64 and tree != digest(41, 4)
+def test_digest_is_one_tree_for_every_size(spark):
+    def tree(texts, fanout):
+        nodes = [hashlib.sha256("\x1f".join(texts[i:i + fanout]).encode()).hexdigest()
+                 for i in range(0, len(texts), fanout)]
+        return nodes[0] if len(nodes) == 1 else tree(nodes, fanout)
+
+    sizes = (1, 3, 4, 5, 16, 17, 70)
+    rows = spark.createDataFrame(
+        [(f"g{n}", i + 1, f"e{i:03d}", n) for n in sizes for i in range(n)],
+        "k string, ordinal long, event_id string, member_count long")
+    for fanout in (4, 100):
+        got = {r.k: r.members_text for r in ordered_digest(
+            rows.repartition(4), "k", fanout=fanout).collect()}
+        assert got == {f"g{n}": tree([f"e{i:03d}" for i in range(n)], fanout) for n in sizes}
+
+
+def test_ranges_join_few_rows_beyond_their_members(spark):
+    rows = spark.range(1, 5001).select(F.lit("t").alias("t"), F.col("id").alias("pos"))
+    for spans in ([(i, i) for i in range(1, 1501)], [(1, 5000), (4090, 4100), (7, 70)]):
+        ranges = spark.createDataFrame(spans, "first_pos long, last_pos long").withColumn(
+            "t", F.lit("t"))
+        got = range_members(ranges, rows, ["t"], "pos")
+        want = sum(b - a + 1 for a, b in spans)
+        assert got.count() == got.distinct().count() == want
+        assert got.where("pos not between first_pos and last_pos").isEmpty()
+    # whole blocks that the ranges touch, at the size each range uses
+    for a, b in spans:
+        size = max(s for s in RANGE_SIZES if s <= b - a + 1)
+        assert (b // size - a // size + 1) * size < 3 * (b - a + 1)
 
 
 def test_fingerprint_and_ids_match_their_definitions(spark):

@@ -21,14 +21,15 @@ def _with_fingerprint(first: DataFrame) -> DataFrame:
 def observation_records(single: DataFrame | None, grouped: DataFrame | None) -> DataFrame:
     """One record per observation, taken from its first member.
 
-    The id is the SHA-256 over the fingerprint and the ordered member ids; groups
-    beyond the digest fan-out use a hash tree of the same members.
+    The id is the SHA-256 over the fingerprint and the hash tree of the ordered member
+    ids, for one member as for many.
     """
     parts = []
     if single is not None:
         alone = _with_fingerprint(single)
         parts.append(alone.withColumn(
-            "observation_id", C.stable_id(F.col("fingerprint"), F.col("event_id"))))
+            "observation_id", C.stable_id(F.col("fingerprint"), F.sha2(
+                "event_id", 256))))
     if grouped is not None:
         named = grouped.withColumn("_group", F.concat_ws(C.SEP, "detector_id", "group_id"))
         digest = ordered_digest(named, "_group")

@@ -20,7 +20,7 @@ from tracefold.functions.columns import SEP, floor_div
 DEFAULT_SLICE_NS = K.NS_PER_SECOND
 HOT_PARTS = 10_000
 HOT_ROWS = 1_000_000
-DIGEST_FANOUT = 1000
+DIGEST_FANOUT = 100
 #: Block lengths of ``range_members`` where ranges of any length occur.
 RANGE_SIZES = (1, 8, 64, 512, 4096)
 
@@ -174,24 +174,27 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], row_id: Col
 
 def ordered_digest(members: DataFrame, key: str, ordinal: str = "ordinal",
                    value: str = "event_id", fanout: int = DIGEST_FANOUT) -> DataFrame:
-    """Text identifying each group's ordered members, built in bounded pieces.
+    """Digest of each group's ordered members, by one rule for every size.
 
-    Up to ``fanout`` members the text is the members joined by the unit separator.
-    Longer groups are hashed as a tree of ``fanout``-wide nodes, so no row ever holds
-    more than ``fanout`` members however large the group is.
+    The members are hashed as a tree of ``fanout``-wide nodes until one node is left, so no
+    row ever holds more than ``fanout`` members however large the group is. The height is
+    that of the largest group; smaller groups keep their root. ``members`` is a stored
+    table with the size of its group in ``member_count``.
     """
-    def joined(index: str, text: str) -> Column:
+    def digest(index: str, text: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.struct(index, text)))
-        return F.array_join(F.transform(pairs, lambda p: p[text]), SEP)
-
-    leaves = members.withColumn("_node", floor_div(F.col(ordinal) - 1, fanout)).groupBy(
-        key, "_node").agg(joined(ordinal, value).alias("members_text"),
-                          F.max("member_count").alias("member_count"))
-    short = leaves.where(F.col("member_count") <= fanout).select(key, "members_text")
-    tree = leaves.where(F.col("member_count") > fanout).select(
-        key, "_node", F.sha2("members_text", 256).alias("members_text"))
-    for _ in range(3):
-        tree = tree.withColumn("_up", floor_div(F.col("_node"), fanout)).groupBy(
-            key, "_up").agg(F.sha2(joined("_node", "members_text"), 256).alias("members_text")
-                            ).withColumnRenamed("_up", "_node")
-    return short.unionByName(tree.select(key, "members_text"))
+        return F.sha2(F.array_join(F.transform(pairs, lambda p: p[text]), SEP), 256)
+
+    size = F.max("member_count").alias("member_count")
+    largest = members.agg(size).first()[0] or 0
+    nodes = members.withColumn("_node", floor_div(F.col(ordinal) - 1, fanout)).groupBy(
+        key, "_node").agg(digest(ordinal, value).alias("members_text"), size)
+    held = fanout
+    while held < largest:
+        root = F.max("member_count") <= held
+        nodes = nodes.withColumn("_up", floor_div(F.col("_node"), fanout)).groupBy(
+            key, "_up").agg(F.when(root, F.min("members_text")).otherwise(
+                digest("_node", "members_text")).alias("members_text"), size
+            ).withColumnRenamed("_up", "_node")
+        held *= fanout
+    return nodes.select(key, "members_text")
