@@ -213,6 +213,16 @@ def rejected_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+@query("run_rejects", sql("""SELECT source, row_id, reject_reason FROM (
+  SELECT 'logs' AS source, log_id AS row_id,
+    'duration_ms must be a non-negative decimal string' AS reject_reason
+  FROM scanned WHERE k IN (1, 2, 3))"""))
+def run_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan_window(
+        views.logs_table(spark, sf_dir), views.spans_table(spark, sf_dir),
+        views.project_roots(spark), views.START_NS, views.NOW_NS)[3]
+
+
 _BROKEN_TRACES = """broken AS (
   SELECT * REPLACE (CASE WHEN tool_calls = 3 THEN '' ELSE trace_id END AS trace_id,
     CASE WHEN total_tokens % 7 = 3 THEN started_at_ns - 1 ELSE ended_at_ns END AS ended_at_ns,

@@ -17,7 +17,7 @@ from tracefold.operators.ordering import (
     RANGE_SIZES, fitting_slice_ns, hot_keys, ordered_digest, range_members, salted_join, sliced,
     time_slice,
 )
-from tracefold.plans import panels, run
+from tracefold.plans import panels, run, scan
 from tracefold.sources import contract, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +51,13 @@ def test_run_is_published_whole_and_repeats_add_nothing(spark):
     members = sinks.read_results(spark, store, "members")
     evidence = sinks.read_results(spark, store, "evidence")
     assert evidence.count() == members.count()
+    rejects = sinks.read_results(spark, store, "rejects")
+    assert {r.reject_reason for r in rejects.select("reject_reason").distinct().collect()} == {
+        "duration_ms must be a non-negative decimal string"}
+    with pytest.raises(Exception, match="non-negative decimal string"):
+        run.run_scan(logs, spans, views.project_roots(spark), store, "r4", views.NOW_NS, "g1",
+                     policy="fail")
+    assert not sinks.is_published(spark, store, "r4")
     emitted = sinks.read_results(spark, store, "events")
     assert emitted.where(F.col("event_name") == K.OBSERVATION_EVENT).count() == rows.count()
 
@@ -126,6 +133,20 @@ def test_fitting_slice_narrows_for_dense_seconds(spark):
     assert fitting_slice_ns(dense, rows_per_slice=1000) == K.NS_PER_SECOND // 5
 
 
+def test_rows_with_whitespace_in_an_identity_are_rejected(spark):
+    moved = F.col("timestamp_ns") % 5 == 0
+    logs = views.logs_table(spark, SF)
+    text = F.col("attributes_string")
+    logs = logs.withColumn("attributes_string", F.when(moved, F.map_concat(
+        F.map_filter(text, lambda k, v: k != "conversation.id"),
+        F.create_map(F.lit("conversation.id"), F.lit("a b")))).otherwise(text))
+    linked, _, _, rejects = scan.scan_window(
+        logs, views.spans_table(spark, SF), views.project_roots(spark), 0, views.NOW_NS)
+    assert linked.where("conversation_id = 'a b'").isEmpty()
+    assert not rejects.where(
+        "reject_reason = 'conversation_id must not contain whitespace'").isEmpty()
+
+
 def test_digest_is_one_tree_for_every_size(spark):
     def tree(texts, fanout):
         nodes = [hashlib.sha256("\x1f".join(texts[i:i + fanout]).encode()).hexdigest()

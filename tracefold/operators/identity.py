@@ -65,6 +65,17 @@ def has_whitespace(col: Column) -> Column:
     return F.coalesce(col.rlike(r"\s"), F.lit(False))
 
 
+def identity_fault(thread_id: Column, conversation_id: Column, fallback: Column) -> Column:
+    """Name of the identity that holds whitespace, null for a usable row."""
+    thread, conversation = C.blank_to_null(thread_id), C.blank_to_null(conversation_id)
+    return (
+        F.when(has_whitespace(thread), F.lit("thread_id"))
+        .when(has_whitespace(conversation), F.lit("conversation_id"))
+        .when(thread.isNull() & conversation.isNull() & has_whitespace(fallback),
+              F.lit("trace_id"))
+    )
+
+
 def with_canonical_task(events: DataFrame, conversation_map: DataFrame,
                         fallback: Column, row_id: Column) -> DataFrame:
     """Add task kind, task id and the distinct-task flag.
@@ -76,12 +87,7 @@ def with_canonical_task(events: DataFrame, conversation_map: DataFrame,
         "conversation_id", F.col("thread_id").alias("mapped_thread_id"))
     thread = C.blank_to_null(F.col("thread_id"))
     conversation = C.blank_to_null(F.col("conversation_id"))
-    error = (
-        F.when(has_whitespace(thread), F.lit("thread_id"))
-        .when(has_whitespace(conversation), F.lit("conversation_id"))
-        .when(thread.isNull() & conversation.isNull() & has_whitespace(fallback),
-              F.lit("trace_id"))
-    )
+    error = identity_fault(F.col("thread_id"), F.col("conversation_id"), fallback)
     kind = (
         F.when(F.col("identity_error").isNotNull(), F.lit(None))
         .when(thread.isNotNull() | C.blank_to_null(F.col("mapped_thread_id")).isNotNull(),

@@ -27,20 +27,21 @@ def next_bounds(spark: SparkSession, store: str, end_ns: int) -> tuple[int, int]
 def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store: str,
              run_id: str, end_ns: int, generation: str,
              aliases: DataFrame | None = None, extras: DataFrame | None = None,
-             verified: bool = True) -> None:
+             verified: bool = True, policy: str = "quarantine") -> None:
     """Detect, merge with the published facts and publish this run's tables.
 
     Every table is written under the run id; the run becomes visible only with the
     last write, so a lost job leaves no partial results and can simply be repeated. A run
-    that is published already is not run again. ``verified`` is the rule of ``tool_loop``.
+    that is published already is not run again. ``verified`` is the rule of ``tool_loop``;
+    ``policy`` says whether rejected rows go to the table ``rejects`` or fail the run.
     """
     spark = raw_logs.sparkSession
     if sinks.is_published(spark, store, run_id):
         return
     scan.utc_session(spark)
     start_ns, end_ns = next_bounds(spark, store, end_ns)
-    linked, placed, hydration = scan.scan_window(raw_logs, raw_spans, roots, start_ns, end_ns,
-                                                 aliases)
+    linked, placed, hydration, rejects = scan.scan_window(
+        raw_logs, raw_spans, roots, start_ns, end_ns, aliases, policy)
     hydration = sinks.stored(hydration, "hydration")
     events = sinks.stored(scan.detector_events(linked, placed, hydration, extras), "events")
     records, members = scan.observe(events, verified=verified)
@@ -81,5 +82,5 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
         "evidence": observations.evidence_rows(member_rows, hydration),
         "membership": observations.finding_membership(records), "findings": findings,
         "trends": observations.trend_append(evaluations, run_id), "events": derived,
-        "watermark": watermark,
+        "watermark": watermark, "rejects": rejects,
     }, store, run_id, end_ns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
@@ -117,24 +117,48 @@ def episode_events(placed: DataFrame) -> DataFrame:
 
 
 def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
-                end_ns: int, aliases: DataFrame | None = None
-                ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Linked logs, placed traces and hydrated rows of one time range.
+                end_ns: int, aliases: DataFrame | None = None, policy: str = "quarantine"
+                ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Linked logs, placed traces, hydrated rows and rejects of one time range.
 
     The flat, typed, trace-linked logs are written once: three later steps read them,
     and none of those should decode the raw attribute maps again. The raw table is
     read a second time only for the shortlisted rows' heavy fields.
+
+    Malformed rows and rows whose identity holds whitespace go to the rejects (source,
+    row_id, reject_reason); with ``policy`` "fail" the first one stops the job instead.
     """
-    logs = validate.accepted(validate.parse_logs(telemetry.scan_logs(
-        raw_logs, start_ns, end_ns)))
-    traces = validate.accepted(validate.parse_traces(telemetry.scan_traces(
-        raw_spans, start_ns, end_ns)))
-    placed = stored(place_traces(stored(traces, "traces"), roots, aliases), "placed-traces")
+    def judged(parsed: DataFrame) -> DataFrame:
+        return parsed if policy == "quarantine" else validate.enforced(parsed).withColumn(
+            "reject_reason", F.lit(None).cast("string"))
+
+    def placeable(rows: DataFrame, conversation: Column, fallback: Column) -> DataFrame:
+        fault = identity.identity_fault(F.col("thread_id"), conversation, fallback)
+        return judged(rows.withColumn("reject_reason", F.coalesce("reject_reason", F.concat(
+            fault, F.lit(" must not contain whitespace")))))
+
+    def reported(rows: DataFrame, source: str, row_id: str) -> DataFrame:
+        return validate.rejected(rows).select(F.lit(source).alias("source"), F.col(
+            row_id).alias("row_id"), "reject_reason")
+
+    if policy not in ("quarantine", "fail"):
+        raise ValueError(f"unknown policy {policy!r}")
+    logs = judged(validate.parse_logs(telemetry.scan_logs(raw_logs, start_ns, end_ns)))
+    traces = stored(placeable(
+        validate.parse_traces(telemetry.scan_traces(raw_spans, start_ns, end_ns)),
+        F.lit(None).cast("string"), F.col("trace_id")), "traces")
+    placed = stored(place_traces(validate.accepted(traces), roots, aliases), "placed-traces")
     # Hot traces are counted on the trace column alone, without decoding the maps.
     hot = hot_keys(telemetry.time_range(raw_logs, start_ns, end_ns), ["trace_id"])
-    linked = stored(link_logs(logs, placed, hot), "linked-logs")
+    every = stored(placeable(link_logs(logs, placed, hot), F.col("conversation_id"), F.coalesce(
+        "trace_id", "log_id")), "linked-logs")
+    linked = validate.accepted(every)
     raw = telemetry.hydrate(raw_logs, shortlist(linked), start_ns, end_ns)
-    return linked, placed, validate.accepted(validate.parse_hydration(raw))
+    hydration = validate.parse_hydration(raw)
+    hydration = validate.accepted(hydration) if policy == "quarantine" else validate.enforced(
+        hydration)
+    return linked, placed, hydration, reported(every, "logs", "log_id").unionByName(
+        reported(traces, "traces", "trace_id"))
 
 
 def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
@@ -142,7 +166,7 @@ def scan_events(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
                 extras: DataFrame | None = None) -> DataFrame:
     """Detector events of one time range, straight from the raw tables."""
     return detector_events(
-        *scan_window(raw_logs, raw_spans, roots, start_ns, end_ns, aliases), extras)
+        *scan_window(raw_logs, raw_spans, roots, start_ns, end_ns, aliases)[:3], extras)
 
 
 def observe(events: DataFrame, baselines: DataFrame | None = None,
