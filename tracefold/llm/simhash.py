@@ -12,7 +12,7 @@ joined already add nothing to the groups. Equal fingerprints count as one.
 
 ``fingerprint_classes``: one row per row of the table; a text without words (null, empty,
 blank) has fingerprint zero and is linked like any other. ``near_duplicates`` below works on
-texts. Both give an empty result for an empty table, keep repeated rows as the texts they
+the shingles of the texts, without fingerprints. Both give an empty result for an empty table, keep repeated rows as the texts they
 repeat, and use no column but doc_id and text.
 """
 
@@ -32,10 +32,6 @@ from tracefold.sources.sinks import stored
 
 #: Pairs that a task compares at once.
 COMPARE_AT_ONCE = 1_000_000
-#: Links that a task joins to a forest at once.
-LINKS_AT_ONCE = 500_000
-#: Disjoint forests of likely links that are checked first, and that a batch hands on.
-FORESTS, BATCH_FORESTS = 8, 2
 
 
 @dataclass(frozen=True)
@@ -210,22 +206,6 @@ def anchor_links(marks: DataFrame, blocks: list[Block], most_apart: int,
     return rows.mapInPandas(compare, "a long, b long, apart long")
 
 
-def thinned(links: DataFrame, forests: int = FORESTS, at_once: int = LINKS_AT_ONCE) -> DataFrame:
-    """Several disjoint spanning forests, closest links first, of every ``at_once`` links or so.
-
-    ``links`` is a written table. The forests of many anchors overlap; joined in as few tasks
-    as hold them they leave a few links a node.
-    """
-    tasks = -(-max(1, links.count()) // at_once)
-
-    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = pd.concat([pd.DataFrame({"a": [], "b": [], "apart": []}, dtype="int64"), *parts])
-        yield from forests_of(part, forests)
-
-    return links.coalesce(tasks).mapInPandas(thin, "a long, b long, apart long").select(
-        "a", "b").distinct()
-
-
 # ---------------------------------------------------------------- fingerprints of shingles
 
 
@@ -284,17 +264,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------- near duplicates by shingle likeness
 
 SHINGLE, LIKENESS = 5, 0.8
-#: Bits of the fingerprint of the word set, its blocks, and how far apart two may be.
-WORD_BITS, WORD_BLOCKS, WORD_APART = 128, 6, 24
-#: One-bit minima of the shingles; at likeness J two differ in (1 - J) / 2 of them.
-SKETCH_BITS, SKETCH_APART = 128, 26
-
-
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_241)
-    high = np.iinfo(np.uint64).max
-    return (rng.integers(0, high, SKETCH_BITS, np.uint64) | np.uint64(1),
-            rng.integers(0, high, SKETCH_BITS, np.uint64))
+#: Texts whose shingles are counted to tell common ones, and how many of those are kept. They
+#: only set the order of shingles: any order finds the same pairs.
+COUNTED_TEXTS, COMMON_SHINGLES = 5_000, 200_000
+#: Against rounding: a bound is never taken higher than it is.
+SLACK = 1e-6
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -304,28 +278,6 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(s, 0) for s in shingles(text, width)], np.uint64))
 
 
-def text_marks(text: str, width: int, mixers: tuple[np.ndarray, np.ndarray]
-               ) -> list[int]:
-    """SimHash of the word set and one-bit minima of the shingle set, in 64-bit words."""
-    import xxhash
-
-    words = set(text.encode("utf-8").lower().split())
-    if not words:
-        return [0] * ((WORD_BITS + SKETCH_BITS) // 64)
-    joined = b"".join(xxhash.xxh3_128_digest(w) for w in words)
-    bits = np.unpackbits(np.frombuffer(joined, np.uint8).reshape(len(words), -1), axis=1)
-    mark = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(np.int64)
-    hashes = shingle_hashes(text, width)
-    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
-    times, plus = mixers
-    for at in C.chunks(len(hashes), 512):
-        mixed = hashes[at][None] * times[:, None] + plus[:, None]
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, mixed.min(axis=1))
-    odd = (np.bitwise_count(least) & 1).astype(np.uint8)
-    return [*mark.tolist(), *np.packbits(odd).view(np.int64).tolist()]
-
-
 def likeness(a: str, b: str, width: int = SHINGLE) -> float:
     """Jaccard likeness of the shingle sets; two texts without words are alike."""
     x, y = shingle_hashes(a, width), shingle_hashes(b, width)
@@ -335,30 +287,155 @@ def likeness(a: str, b: str, width: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that a sample of the texts repeats."""
+    one_in = max(1, docs.count() // COUNTED_TEXTS)
+
+    def hashes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [shingle_hashes(t, width) for t in part["text"]]
+            yield pd.DataFrame({"hash": np.concatenate([np.zeros(0, np.uint64), *found]).view(
+                np.int64)})
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(
+        F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).mapInPandas(hashes, "hash long").groupBy(
+        "hash").agg(F.count("*").alias("n")).where("n > 1").orderBy(
+        F.desc("n"), "hash").limit(COMMON_SHINGLES).toPandas()
+    known = rows["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def rarest_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same hashes, those that are not common first."""
+    known, count = common
+    if not len(known):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return hashes[np.lexsort((hashes, np.where(known[at] == hashes, count[at], 0)))]
+
+
+def prefix_length(n: int, least: float) -> int:
+    """How many shingles, rarest first, hold the first one shared with any text so alike."""
+    return n - int(np.ceil(least * n - SLACK)) + 1 if n else 0
+
+
+def may_be_alike(n: np.ndarray, m: np.ndarray, at: np.ndarray, to: np.ndarray,
+                 least: float) -> np.ndarray:
+    """Whether sets of n and m shingles can be alike if ``at`` and ``to`` are the places of
+    the first one they share: all they share comes from there on."""
+    needed = least / (1 + least) * (n + m) - SLACK
+    return (n - at >= needed) & (m - to >= needed)
+
+
+def whole_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by key, cut so that no key goes on in the next one."""
+    rest: list[pd.DataFrame] = []
+    for part in parts:
+        if not len(part):
+            continue
+        whole = int(np.searchsorted(part["key"].to_numpy(), part["key"].iloc[-1], "left"))
+        if whole or rest and rest[-1]["key"].iloc[-1] != part["key"].iloc[0]:
+            yield pd.concat([*rest, part.iloc[:whole]], ignore_index=True)
+            rest = []
+        rest.append(part.iloc[whole:])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def group_numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of every row, rows of every group) of sorted keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.concatenate([starts, [len(keys)]]))
+    return np.repeat(np.arange(len(starts)), size), size
+
+
+def meetings(entries: DataFrame, least: float) -> DataFrame:
+    """``entries`` (key, node, n, at) that share their key, with the neighbour in order of size
+    that may be alike (``near``, null if none): one link a row, however large the group."""
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(parts):
+            group, size = group_numbers(part["key"].to_numpy())
+            part = part[size[group] > 1].reset_index(drop=True)
+            key, node = part["key"].to_numpy(), part["node"].to_numpy()
+            n, at = part["n"].to_numpy(), part["at"].to_numpy()
+            near = np.zeros(len(part), bool)
+            near[1:] = (key[1:] == key[:-1]) & may_be_alike(n[1:], n[:-1], at[1:], at[:-1], least)
+            yield part.assign(near=pd.Series(np.roll(node, 1), dtype="Int64").where(near))
+
+    return entries.repartition("key").sortWithinPartitions("key", "n", "node").mapInPandas(
+        meet, "key long, node long, n int, at int, near long")
+
+
+def meeting_links(met: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between all entries (key, node, n, at, label) of a key that may be alike
+    and have different labels.
+
+    Entries of a key's most frequent label are not compared with each other. Links leave as
+    they are found, so that a task never holds more than those of COMPARE_AT_ONCE pairs.
+    """
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(parts):
+            node, label = part["node"].to_numpy(), part["label"].to_numpy()
+            n, at = part["n"].to_numpy().astype(np.int64), part["at"].to_numpy()
+            group, _ = group_numbers(part["key"].to_numpy())
+            counts = pd.DataFrame({"group": group, "label": label}).value_counts(
+                ["group", "label"]).reset_index()
+            most = counts.drop_duplicates("group").set_index("group")["label"]
+            home = label != most.reindex(group).to_numpy()
+            rows = np.flatnonzero(home)
+            place = group << 32 | n  # rows are sorted by it
+            low = np.searchsorted(place, group[rows] << 32 | np.ceil(
+                least * n[rows] - SLACK).astype(np.int64), "left")
+            high = np.searchsorted(place, group[rows] << 32 | np.floor(
+                n[rows] / least + SLACK).astype(np.int64), "right")
+            done = 0
+            while done < len(rows):
+                many = np.cumsum((high - low)[done:done + COMPARE_AT_ONCE])
+                take = slice(done, done + max(1, int(np.searchsorted(
+                    many, COMPARE_AT_ONCE, "right"))))
+                done = take.stop
+                count = (high - low)[take]
+                left = np.repeat(rows[take], count)
+                right = np.arange(len(left)) - np.repeat(
+                    np.cumsum(count) - count - low[take], count)
+                keep = (label[left] != label[right]) & (~home[right] | (left < right))
+                left, right = left[keep], right[keep]
+                keep = may_be_alike(n[left], n[right], at[left], at[right], least)
+                a, b = node[left[keep]], node[right[keep]]
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(
+                        a, b)}).drop_duplicates()
+
+    return met.repartition("key").sortWithinPartitions("key", "n", "node").mapInPandas(
+        compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE,
                     least: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
-    """(texts, groups): digest, node, first, text id of every different text; node, label of
+    """(texts, groups): digest, node, first text id of every different text; node, label of
     those that are linked, directly or through others, by a likeness of ``least`` or more.
 
-    A null text counts as an empty one.
+    An exact join: with all shingles in one order (rarest first), two texts so alike share a
+    shingle within their prefixes, and its places bound what they can share; every pair that
+    passes is checked on the whole texts. Neighbours in size at every shingle are checked
+    first; pairs that these have joined already need no check. A null text counts as empty.
     """
-    mixers = _mixers()
-
-    names = [f"w{i}" for i in range(WORD_BITS // 64)] + [f"s{i}" for i in range(SKETCH_BITS // 64)]
+    text = F.coalesce("text", F.lit(""))
+    common = common_shingles(docs, width)
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    @F.pandas_udf("n int, prefix array<long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_marks(t, width, mixers) for t in texts], columns=names)
+        sets = [rarest_first(shingle_hashes(t, width), common) for t in texts]
+        return pd.DataFrame({"n": [len(s) for s in sets], "prefix": [
+            s[:prefix_length(len(s), least)].view(np.int64) for s in sets]})
 
-    text = F.coalesce("text", F.lit(""))
-    per_doc = stored(docs.select("doc_id", F.md5(text).alias("digest"), marks(text).alias(
-        "marks")), "marks")
-    texts = stored(per_doc.groupBy("digest").agg(
+    texts = stored(docs.select("doc_id", F.md5(text).alias("digest"), marks(text).alias(
+        "marks")).groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.any_value("marks").alias("marks")).select(
         F.monotonically_increasing_id().alias("node"), "digest", "first", "marks.*"), "texts")
-    found = stored(anchor_links(
-        texts.select("node", *names), even_blocks(WORD_BITS, WORD_BLOCKS), WORD_APART,
-        SKETCH_APART, BATCH_FORESTS), "anchor-links")
+    met = stored(meetings(texts.select("node", "n", F.posexplode("prefix").alias("at", "key")
+                                       ).select("key", "node", "n", "at"), least), "meetings")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -374,19 +451,28 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
         left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
         return stored(links.join(left, "a").join(right, "b").where(
-            alike("x", "y") >= least).select(links.columns), "checked-links")
-
-    likely = stored(thinned(found), "likely-links")
-    groups = components(checked(likely))
+            alike("x", "y") >= least).select("a", "b"), "checked-links")
+
+    # texts without words have no shingle to meet at; all are alike
+    blank = texts.where("n = 0")
+    blank = blank.crossJoin(blank.agg(F.min("node").alias("b"))).select(
+        F.col("node").alias("a"), "b").where("a <> b")
+    near = stored(met.where("near IS NOT NULL").select(
+        F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(),
+        "near-links")
+    groups = components(checked(near).unionByName(blank))
     # every other link whose ends are still apart is checked as well, and joins whole groups
-    apart = found.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti")
+    labels = groups.select("node", "label")
+    labelled = met.drop("near").join(labels, "node", "left").select(
+        "key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+    apart = stored(meeting_links(labelled, least).join(near, ["a", "b"], "left_anti"),
+                   "links-apart")
+    joined = checked(apart)
     for end in ("a", "b"):
-        apart = apart.join(groups.select(F.col("node").alias(end), F.col("label").alias(
+        joined = joined.join(groups.select(F.col("node").alias(end), F.col("label").alias(
             f"of_{end}")), end, "left")
-    apart = stored(apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce(
-        "of_b", "b").alias("of_b")).where("of_a <> of_b"), "links-apart")
-    joined = components(checked(apart).select(
-        F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    joined = components(joined.select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
     higher = joined.select(F.col("node").alias("label"), F.col("label").alias("higher"))
     return texts, groups.join(higher, "label", "left").select(
         "node", F.coalesce("higher", "label").alias("label")).unionByName(
