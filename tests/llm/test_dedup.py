@@ -106,6 +106,16 @@ def test_near_duplicates_among_boilerplate(spark):
     assert_kept_equals_brute_force(spark, texts)
 
 
+def test_near_duplicates_of_appended_and_cut_texts(spark):
+    """One stretch added or cut away, down to a likeness of 0.8."""
+    texts = []
+    for i, least in enumerate(np.linspace(0.8, 0.85, 120)):
+        words = T.prose(1_000 + i, (30, 60, 120, 300)[i % 4]).split()
+        cut = words[:int(np.ceil(least * (len(words) - 4))) + 4]
+        texts += [" ".join(words), " ".join(cut if i % 8 < 4 else words[-len(cut):])]
+    assert_kept_equals_brute_force(spark, texts)
+
+
 def test_edge_rows(spark):
     docs = T.odd_documents(spark)
     rows = simhash.fingerprint_classes(docs).collect()
