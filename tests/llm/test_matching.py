@@ -93,6 +93,22 @@ def test_needed_words_lose_no_sentence(spark):
     assert sorted(map(tuple, narrowed), key=str) == sorted(map(tuple, everything), key=str)
 
 
+def test_words_glued_to_digits_are_not_lost(spark):
+    texts = ["CC0", "BSD3", "Apache2.0", "some words first\nApache2.0\nand some after",
+             "GPL3", "1.4.0", "4.0cc", T.prose(1, 10)]
+    files = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)],
+                                  "id long, path string, text string")
+    narrowed = {r["id"]: r["own_license"] for r in licenses.scan_licenses(files).collect()}
+    assert narrowed[0] == "CC0-1.0"
+    real = licenses.needed_words
+    try:
+        licenses.needed_words = lambda *_: ["[a-z]+", "[0-9]+"]
+        everything = {r["id"]: r["own_license"] for r in licenses.scan_licenses(files).collect()}
+    finally:
+        licenses.needed_words = real
+    assert narrowed == everything
+
+
 def test_urls_edge_rows(spark):
     pages = spark.createDataFrame([
         (1, None), (2, ""), (3, "no scheme.net/en"), (4, "http://Example.NET/en/a?b#c"),

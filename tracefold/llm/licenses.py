@@ -92,6 +92,15 @@ def needed_words(weights: list, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def holds(needed: list[str]) -> str:
+    """Pattern of the lower-case texts with one of the words, parted as ``words`` does: letters
+    end at a digit and the other way round."""
+    letters = "|".join(w for w in needed if w[0].isalpha())
+    numbers = "|".join(w.replace(".", r"\.") for w in needed if w[0].isdigit())
+    return "|".join([f"(?<![a-z])(?:{letters})(?![a-z])"] * bool(letters) + [
+        rf"(?<![0-9])(?<![0-9]\.)(?:{numbers})(?![0-9])(?!\.[0-9])"] * bool(numbers))
+
+
 def cosine(parts: DataFrame, weights: DataFrame, unseen: Column) -> DataFrame:
     """Best template of every part (key, part, text): key, part, license, score."""
     counts = parts.select("key", "part", F.explode(words(F.col("text"))).alias("term")).groupBy(
@@ -131,8 +140,7 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
 
     def may(threshold: int) -> Column:
         """Whether a text holds a word that it needs to reach the threshold."""
-        needed = "|".join(w.replace(".", r"\.") for w in needed_words(rows, threshold / SCALE))
-        return F.lower("text").rlike(f"(^|[^a-z0-9])({needed})([^a-z0-9]|$)")
+        return F.lower("text").rlike(holds(needed_words(rows, threshold / SCALE)))
 
     # repeated rows share a key: their counts are multiples, their cosines the same
     key = F.xxhash64("id", "path", "text")
