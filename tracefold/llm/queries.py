@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracefold.llm import (  # noqa: F401
-    decontaminate, language, licenses, neighbours, packing, quality, sharding, simhash, tokens,
-    toxicity, urls, warc,
+    decontaminate, language, licenses, neighbours, packing, quality, ranking, sharding, simhash,
+    tokens, toxicity, urls, warc,
 )
 from tracefold.llm.common import QUERIES, SQL  # noqa: F401
