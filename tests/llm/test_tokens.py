@@ -89,8 +89,8 @@ def test_words_agree_with_whole_texts():
             assert words == []
             continue
         assert (sum(w[0] for w in words), sum(w[1] for w in words)) == whole[:2]
-        assert ";".join(w[3] for w in words) == whole[3]
-        assert [p for w in words for p in w[2].tolist()] == whole[2].tolist()
+        assert "".join(w[3] for w in words) == whole[3]
+        assert b"".join(w[2] for w in words) == whole[2]
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):

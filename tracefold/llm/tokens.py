@@ -112,7 +112,8 @@ class CharacterOffsets:
         raw = text.encode()
         if b"".join([self.bytes[i] for i in made.ids]) != raw or not len(ids):
             return None
-        spans = np.array(made.offsets, np.int64)
+        spans = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids)
+                            ).reshape(-1, 2)
         coarse = spans[:, 1]
         if len(raw) != len(text):
             coarse = byte_places(text)[coarse]
@@ -150,13 +151,12 @@ class ProtoSpans:
         return "bytes" if last == 2 else "characters"
 
     def __call__(self, text: str) -> Tokens | None:
-        pieces = self.proto(text).pieces
-        found = [p.id for p in pieces]
+        pieces = [(p.id, p.end) for p in self.proto(text).pieces]
         raw = b" " + text.encode()
-        if not found or b"".join([self.bytes[i] for i in found]) != raw:
+        if not pieces or b"".join([self.bytes[i] for i, _ in pieces]) != raw:
             return None
-        ids = np.array(found, np.int64)
-        last = np.array([p.end for p in pieces], np.int64)
+        ids, last = np.fromiter(chain.from_iterable(pieces), np.int64, 2 * len(pieces)
+                                ).reshape(-1, 2).T
         if self.unit == "characters":
             last = byte_places(text)[last]
         # the bytes of one character share its span; only the last of them ends where it does
@@ -166,31 +166,49 @@ class ProtoSpans:
         return Tokens(ids, refine(coarse, self.size[ids]))
 
 
-#: The alignment of one text or word: tokens of A, of B, linked id pairs, groups as text.
-Word = tuple[int, int, np.ndarray, str]
+#: The alignment of one text or word: tokens of A, of B, linked id pairs (64-bit numbers), and
+#: groups as text, each with its semicolon.
+Word = tuple[int, int, bytes, str]
 
 
-def align(a: Tokens, b: Tokens, stops: np.ndarray) -> list[Word]:
+class Printed:
+    """Ids as text, with the mark that follows them in the list of groups."""
+
+    def __init__(self, size_a: int, size_b: int) -> None:
+        self.size_a, self.size_b = size_a, size_b
+        self.text = [f"{i}{mark}" for size, marks in ((size_a, ",|"), (size_b, ",;"))
+                     for mark in marks for i in range(size)]
+
+    def groups(self, a: Tokens, b: Tokens, both: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """(printed tokens, A's before B's in every group, and where the groups end in it)."""
+        group_a, group_b = np.searchsorted(both, a.ends), np.searchsorted(both, b.ends)
+        last_a = np.append(group_a[1:] != group_a[:-1], True)
+        last_b = np.append(group_b[1:] != group_b[:-1], True)
+        codes = np.concatenate([a.ids + self.size_a * last_a,
+                                2 * self.size_a + b.ids + self.size_b * last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        stops = np.cumsum(np.bincount(group_a) + np.bincount(group_b))
+        return list(map(self.text.__getitem__, codes[order].tolist())), stops
+
+
+def align(a: Tokens, b: Tokens, stops: np.ndarray, printed: Printed) -> list[Word]:
     """The alignment of each stretch between ``stops``, ends that A and B have in common.
 
     Links are the stretches between neighbouring cuts: each lies in one token of A and of B.
     """
     cuts = np.union1d(a.ends, b.ends)
-    linked = a.ids[np.searchsorted(a.ends, cuts)] << 32 | b.ids[np.searchsorted(b.ends, cuts)]
+    at_a, at_b = np.searchsorted(a.ends, cuts), np.searchsorted(b.ends, cuts)
+    linked = (a.ids[at_a] << 32 | b.ids[at_b]).tobytes()
     both = np.intersect1d(a.ends, b.ends, assume_unique=True)
-    at_a, at_b = (np.concatenate([[0], np.searchsorted(t.ends, both) + 1]) for t in (a, b))
-    to_cut, to_both = np.searchsorted(cuts, stops) + 1, np.searchsorted(both, stops) + 1
-    tokens_a, tokens_b = at_a[to_both].tolist(), at_b[to_both].tolist()
-    x, y = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist()))
-    at_a, at_b = at_a.tolist(), at_b.tolist()
-    groups = [",".join(x[i:j]) + "|" + ",".join(y[k:m]) for i, j, k, m in zip(
-        at_a, at_a[1:], at_b, at_b[1:], strict=False)]
-    out, cut, group, n_a, n_b = [], 0, 0, 0, 0
-    for next_cut, next_group, next_a, next_b in zip(
-            to_cut.tolist(), to_both.tolist(), tokens_a, tokens_b, strict=True):
-        out.append((next_a - n_a, next_b - n_b, linked[cut:next_cut].copy(),
-                    ";".join(groups[group:next_group])))
-        cut, group, n_a, n_b = next_cut, next_group, next_a, next_b
+    texts, group_stops = printed.groups(a, b, both)
+    to = [c.tolist() for c in (
+        8 * (np.searchsorted(cuts, stops) + 1), group_stops[np.searchsorted(both, stops)],
+        np.searchsorted(a.ends, stops) + 1, np.searchsorted(b.ends, stops) + 1)]
+    out, cut, text, n_a, n_b = [], 0, 0, 0, 0
+    for next_cut, next_text, next_a, next_b in zip(*to, strict=True):
+        out.append((next_a - n_a, next_b - n_b, linked[cut:next_cut],
+                    "".join(texts[text:next_text])))
+        cut, text, n_a, n_b = next_cut, next_text, next_a, next_b
     return out
 
 
@@ -200,6 +218,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = CharacterOffsets(path_a), ProtoSpans(path_b)
         self.by_word = self.a.cuts_at_spaces and self.b.cuts_at_spaces
+        self.printed = Printed(len(self.a.bytes), len(self.b.bytes))
         self.known: dict[str, Word | None] = {}
         self.older: dict[str, Word | None] = {}
 
@@ -216,7 +235,7 @@ class Aligner:
         """Alignments of words that may stand side by side, parted by single spaces."""
         a, b = self.a(" " + " ".join(words)), self.b(" ".join(words))
         if a is not None and b is not None:
-            return align(a, b, np.cumsum([len(w.encode()) + 1 for w in words]))
+            return align(a, b, np.cumsum([len(w.encode()) + 1 for w in words]), self.printed)
         if len(words) == 1:
             return [None]
         return [self.encoded([w])[0] for w in words]
@@ -265,13 +284,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                         rows.append((doc_id, 0, 0, 0, 0, "", b"", b"", 0, 0))
                         continue
                     of_a, of_b, linked, groups = zip(*words, strict=True)
-                    links = np.concatenate(linked)
+                    links = np.frombuffer(b"".join(linked), np.int64)
                     pairs, times = np.unique(links, return_counts=True)
                     n_a, n_b = sum(of_a), sum(of_b)
                     # every common cut is counted by A and by B, and ends one stretch
                     rows.append((
                         doc_id, n_a, n_b, n_a + n_b - len(links), len(links),
-                        hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs.tobytes(),
+                        hashlib.sha256("".join(groups)[:-1].encode()).hexdigest(), pairs.tobytes(),
                         times.astype(np.int32).tobytes(), 0, 0))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ALIGNED.split(", ")]
                                    ).astype({"doc_id": "Int64"})
