@@ -200,13 +200,18 @@ def event_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("write_results", sql("""SELECT 'run-1' AS run_id, observation_id, detector_id
   FROM records WHERE occurred_at_ns < 1705276800000000000""", RECORD_CTES))
 def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs, one of them published and then repeated; only its first rows are read back."""
+    """A published run that is repeated, an attempt that loses to it, and one of another run
+    that is never published; only the first rows are read back."""
     path = sinks.new_path(spark, "results")
     rows = records(spark, sf_dir).select("observation_id", "detector_id", "occurred_at_ns")
     first = rows.where("occurred_at_ns < 1705276800000000000")
     for attempt in (first, first.where("false")):
         sinks.write_results({"observations": attempt}, path, "run-1")
-    rows.write.mode("overwrite").parquet(f"{path}/observations/run_id=run-2")
+    for run in ("run-1", "run-2"):
+        attempt = sinks.new_attempt()
+        sinks.write_attempt({"observations": rows}, path, attempt)
+        if run == "run-1" and sinks.publish(spark, path, run, attempt):
+            raise ValueError("two attempts of one run were published")
     return sinks.read_results(spark, path, "observations").select(
         "run_id", "observation_id", "detector_id")
 

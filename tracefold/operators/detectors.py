@@ -28,7 +28,7 @@ MEMBER_COLUMNS = [
 ]
 
 
-def _members(df: DataFrame, detector: str, group: Column, failure_class: Column,
+def member_rows(df: DataFrame, detector: str, group: Column, failure_class: Column,
              explanation: Column, ordinal: Column | None = None,
              count: Column | None = None) -> DataFrame:
     kind, target = F.col("op_kind"), F.col("op_target")
@@ -47,7 +47,7 @@ def _members(df: DataFrame, detector: str, group: Column, failure_class: Column,
 
 
 def _one(df: DataFrame, detector: str, failure_class: Column, explanation: Column) -> DataFrame:
-    return _members(df, detector, F.col("event_id"), failure_class, explanation)
+    return member_rows(df, detector, F.col("event_id"), failure_class, explanation)
 
 
 def _failure_class() -> Column:
@@ -100,7 +100,7 @@ def repeated_attempt(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> Dat
     keys = [*TASK, "op_key"]
     rows = sliced(events.where("op_key is not null"), keys, [time_slice(width_ns=slice_ns)], ORDER,
                   running={"nth": F.lit(1)}, totals={"n": "nth"}, keep=F.col("n") >= 2)
-    return _members(rows, "repeated_attempt", _group_id(*keys),
+    return member_rows(rows, "repeated_attempt", _group_id(*keys),
                     F.lit("same_normalized_operation"),
                     F.concat(F.lit("the same normalized operation occurred "),
                              F.col("n").cast("string"), F.lit(" times in one task")),
@@ -116,7 +116,7 @@ def command_churn(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> DataFr
     )
     rows = sliced(shell, keys, [time_slice(width_ns=slice_ns)], ORDER, running={"nth": F.lit(1)},
                   totals={"n": "nth"}, groups=groups)
-    return _members(rows, "command_churn", _group_id(*keys),
+    return member_rows(rows, "command_churn", _group_id(*keys),
                     F.lit("three_distinct_commands_same_target"),
                     F.concat(F.col("n_commands").cast("string"), F.lit(
                         " distinct normalized shell commands targeted the same path")),
@@ -133,7 +133,7 @@ def scope_recurrence(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) -> Dat
     )
     rows = sliced(scoped, keys, [time_slice(width_ns=slice_ns)], ORDER, running={"nth": F.lit(1)},
                   totals={"n": "nth"}, groups=groups)
-    return _members(rows, "scope_recurrence", _group_id(*keys),
+    return member_rows(rows, "scope_recurrence", _group_id(*keys),
                     F.lit("same_scope_multiple_canonical_tasks"),
                     F.concat(F.lit("the normalized target recurred across "),
                              F.col("n_tasks").cast("string"), F.lit(" canonical tasks")),
@@ -168,7 +168,7 @@ def quality_gate_bypass(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS) ->
     ).withColumn("nth", F.lit(1))
     closed = passed.withColumns({"group_id": F.col("event_id"), "n": count, "nth": count})
     return reduce(DataFrame.unionByName, (
-        _members(part, "quality_gate_bypass", F.col("group_id"),
+        member_rows(part, "quality_gate_bypass", F.col("group_id"),
                  F.lit("mutation_between_failed_and_passing_gate"),
                  F.lit("a failed quality command was followed by mutation before "
                        "same normalized command passed"),
@@ -291,7 +291,7 @@ def tool_loop(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS, verified: boo
         ).select(*TASK, (-F.col("b.back")).alias("first_pos"), F.col("b.total").alias("n"))
     best = best.withColumn("last_pos", F.col("first_pos") + F.col("n") - 1)
     rows = range_members(best, ranked, TASK, "pos", [block])
-    return _members(rows, "tool_loop", _group_id(*TASK),
+    return member_rows(rows, "tool_loop", _group_id(*TASK),
                     F.lit("repeating_contiguous_operation_cycle"),
                     F.lit("contiguous normalized operations form a repeated cycle"),
                     F.col("pos") - F.col("first_pos") + 1, F.col("n"))
@@ -377,7 +377,7 @@ def token_outlier(events: DataFrame, baselines: DataFrame) -> DataFrame:
     hit = baseline_lookup(measures, baselines).where(
         (F.col("n_values") >= K.OUTLIER_MIN_BASELINE) & (F.col("value") > F.col("p95")))
     text = lambda c: F.col(c).cast("string")
-    return _members(
+    return member_rows(
         hit, "token_outlier", F.concat_ws(":", "event_id", "metric"),
         F.concat("metric", F.lit("_above_project_p95")),
         F.concat("metric", F.lit(" count "), text("value"), F.lit(" exceeds p95 "), text("p95"),

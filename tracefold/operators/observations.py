@@ -198,6 +198,21 @@ def finding_occurrences(findings: DataFrame, membership: DataFrame, records: Dat
 
 # ---- trends ----------------------------------------------------------------------
 
+def trend_cells(occurrences: DataFrame, key: str = "finding_id", *also: str) -> DataFrame:
+    """Occurrences per (finding, task, local day), and per ``also``: partial facts that add up."""
+    return occurrences.groupBy(
+        key, "task_identity", C.local_day(F.col("occurred_at_ns")).alias("day"), *also).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def cell_counts(cells: DataFrame, key: str = "finding_id") -> DataFrame:
+    """Counts per finding, from the cells of one window."""
+    return cells.groupBy(key).agg(
+        F.sum("n").alias("occurrence_count"),
+        F.count_distinct("task_identity").alias("canonical_task_count"),
+        F.count_distinct("day").alias("local_day_count"))
+
+
 def trend_evaluation(occurrences: DataFrame, now_ns: int,
                      days: int = K.TREND_WINDOW_DAYS, key: str = "finding_id") -> DataFrame:
     """Counts per finding over the closed window that ends at ``now_ns``.
@@ -206,16 +221,10 @@ def trend_evaluation(occurrences: DataFrame, now_ns: int,
     never see raw rows and a hot finding is spread over its tasks and days.
     """
     start = now_ns - days * K.NS_PER_DAY
-    return (
-        occurrences.where(F.col("occurred_at_ns").between(start, now_ns))
-        .groupBy(key, "task_identity", C.local_day(F.col("occurred_at_ns")).alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(key).agg(F.sum("n").alias("occurrence_count"),
-                          F.count_distinct("task_identity").alias("canonical_task_count"),
-                          F.count_distinct("day").alias("local_day_count"))
-        .withColumns({"window_started_at_ns": F.lit(start).cast("bigint"),
-                      "window_ended_at_ns": F.lit(now_ns).cast("bigint")})
-    )
+    inside = occurrences.where(F.col("occurred_at_ns").between(start, now_ns))
+    return cell_counts(trend_cells(inside, key), key).withColumns({
+        "window_started_at_ns": F.lit(start).cast("bigint"),
+        "window_ended_at_ns": F.lit(now_ns).cast("bigint")})
 
 
 def previously_actionable(findings: DataFrame, key: str = "finding_id") -> DataFrame:
@@ -225,9 +234,14 @@ def previously_actionable(findings: DataFrame, key: str = "finding_id") -> DataF
 def trend_states(occurrences: DataFrame, prior: DataFrame, now_ns: int,
                  key: str = "finding_id") -> DataFrame:
     """Evaluated state of every finding seen in the window or actionable before it."""
+    return judged(trend_evaluation(occurrences, now_ns, key=key).drop(
+        "window_started_at_ns", "window_ended_at_ns"), prior, now_ns, key)
+
+
+def judged(counts: DataFrame, prior: DataFrame, now_ns: int,
+           key: str = "finding_id") -> DataFrame:
+    """States from the counts of the window that ends at ``now_ns``."""
     start = now_ns - K.TREND_WINDOW_DAYS * K.NS_PER_DAY
-    counts = trend_evaluation(occurrences, now_ns, key=key).drop(
-        "window_started_at_ns", "window_ended_at_ns")
     both = counts.join(prior.select(key).distinct().withColumn("was_actionable", F.lit(True)),
                        key, "full_outer")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in (

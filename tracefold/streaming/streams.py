@@ -1,9 +1,8 @@
 """Structured Streaming forms of the scan, the detectors, the trends and the slots.
 
 The column functions and detectors are those of the batch plans. Event-at-a-time
-detectors run as plain streaming projections; anything that needs the order inside a
-task re-evaluates the touched tasks from the event store, so it inherits the batch
-operators' handling of hot tasks instead of holding a task's history in one state row.
+detectors run as plain streaming projections; ``sequences`` holds the detectors that need
+the order inside a task.
 """
 
 from __future__ import annotations
@@ -17,10 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.functions import columns as C
+from tracefold.functions import constants as K
 from tracefold.operators import audit, detectors, observations
+from tracefold.sources import sinks
 
 LATENESS = "2 hours"
-STORE_PARTITION = "day"
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType,
@@ -53,66 +53,77 @@ def stream_slots(runs: DataFrame, lateness: str = LATENESS) -> DataFrame:
         F.unix_seconds("w.start").alias("slot_start"), "n_runs", "n_completed")
 
 
-def append_store(rows: DataFrame, path: str, batch_id: int, ns: str) -> None:
-    """Add one micro-batch to a store; a replayed batch overwrites itself."""
-    rows.withColumn(STORE_PARTITION, F.to_date(C.timestamp_of(F.col(ns)))).write.mode(
-        "overwrite").partitionBy(STORE_PARTITION).parquet(f"{path}/batch_id={batch_id}")
+def _newest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Clock row of the last micro-batch before ``before``; batches are numbered without gaps."""
+    if before == 0:
+        return None
+    return spark.read.parquet(f"{path}/batch_id={before - 1}")
 
 
-def read_store(spark: SparkSession, path: str, up_to: int,
-               schema: T.StructType | None = None) -> DataFrame:
-    """Rows of the store's micro-batches up to and including ``up_to``."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).where(F.col("batch_id") <= up_to)
+def trend_batches(store: str, out: str, key: str = "finding_id",
+                  id_column: str = "observation_id") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: trends over the seven days up to the newest occurrence so far.
 
+    The window moves with the batches. Each batch adds its new rows to the days they belong to,
+    as rows and as counts per (finding, task, local day). An evaluation reads the counts of the
+    whole days in the window and the rows of its first day, so no day older than eight is
+    opened; rows already behind the window are left out, as it never moves back. A batch that
+    is repeated overwrites its own part of every day it wrote.
+    """
+    def put(rows: DataFrame, path: str, batch_id: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(sinks.DAY, "batch_id").parquet(path)
+
+    def earlier(spark: SparkSession, path: str, days: list[str], batch_id: int
+                ) -> DataFrame | None:
+        rows = sinks.read_days(spark, path, days) if days else None
+        return None if rows is None else rows.where(F.col("batch_id") < batch_id)
 
-def trend_batches(store: str, out: str, now_ns: int,
-                  key: str = "finding_id") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: extend the observation store, re-evaluate its window."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        append_store(batch, store, batch_id, "occurred_at_ns")
-        rows = observations.dedupe_observations(read_store(batch.sparkSession, store, batch_id))
-        prior = rows.select(key).where("false")
+        spark = batch.sparkSession
+        clock = _newest(spark, f"{store}/clock", batch_id)
+        newest = batch.agg(F.max("occurred_at_ns")).first()[0]
+        before = None if clock is None else clock.first()[0]
+        if newest is None and before is None:
+            now_ns = 0
+        else:
+            now_ns = max(n for n in (newest, before) if n is not None)
+        spark.range(1).select(F.lit(now_ns).cast("bigint").alias("now_ns")).write.mode(
+            "overwrite").parquet(f"{store}/clock/batch_id={batch_id}")
+        start = now_ns - K.TREND_WINDOW_DAYS * K.NS_PER_DAY
+        days = sinks.days_between(start, now_ns)
+        inside = batch.where(F.col("occurred_at_ns") >= start).select(
+            id_column, key, "task_identity", "occurred_at_ns").dropDuplicates([id_column])
+        inside = inside.withColumn(sinks.DAY, sinks.day_of(F.col("occurred_at_ns")))
+        touched = [r[0] for r in inside.select(sinks.DAY).distinct().collect()]
+        held = earlier(spark, f"{store}/rows", touched, batch_id)
+        new = inside if held is None else inside.join(
+            held.select(id_column), id_column, "left_anti")
+        put(new, f"{store}/rows", batch_id)
+        up_to = batch_id + 1
+        written = sinks.read_days(spark, f"{store}/rows", touched)
+        if written is not None:
+            put(observations.trend_cells(
+                written.where(F.col("batch_id") == batch_id), key, sinks.DAY),
+                f"{store}/cells", batch_id)
+        rows = earlier(spark, f"{store}/rows", days[:1], up_to)
+        whole = earlier(spark, f"{store}/cells", days[1:], up_to)
+        columns = [key, "task_identity", "day", "n"]
+        parts = [] if rows is None else [observations.trend_cells(
+            rows.where(F.col("occurred_at_ns") >= start), key).select(*columns)]
+        parts += [] if whole is None else [whole.select(*columns)]
+        if not parts:
+            parts = [observations.trend_cells(inside.where("false"), key).select(*columns)]
+        prior = inside.select(key).where("false")
         if batch_id > 0:
             prior = observations.previously_actionable(
-                batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id - 1}"), key)
-        observations.trend_states(rows, prior, now_ns, key=key).write.mode(
+                spark.read.parquet(f"{out}/batch_id={batch_id - 1}"), key)
+        counts = observations.cell_counts(reduce(DataFrame.unionByName, parts), key)
+        observations.judged(counts, prior, now_ns, key).write.mode(
             "overwrite").parquet(f"{out}/batch_id={batch_id}")
     return run
 
 
-SEQUENCE_DETECTORS = (
-    detectors.repeated_attempt, detectors.command_churn, detectors.tool_loop,
-    detectors.quality_gate_bypass,
-)
-
-
-def sequence_batches(store: str, out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: re-run the per-task detectors over the touched tasks.
-
-    Each batch writes the full current members of every task it touched; readers take
-    a task's rows from the last batch that touched it (``latest_members``).
-    """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        append_store(batch, store, batch_id, "timestamp_ns")
-        spark = batch.sparkSession
-        touched = batch.select(*detectors.TASK).distinct()
-        rows = read_store(spark, store, batch_id).drop("batch_id", STORE_PARTITION)
-        events = rows.join(touched, detectors.TASK, "left_semi")
-        found = reduce(DataFrame.unionByName, (d(events) for d in SEQUENCE_DETECTORS))
-        found.write.mode("overwrite").parquet(f"{out}/members/batch_id={batch_id}")
-        touched.write.mode("overwrite").parquet(f"{out}/touched/batch_id={batch_id}")
-    return run
-
-
-def latest_members(spark: SparkSession, out: str) -> DataFrame:
-    """Members of each task as of the last batch that touched it."""
-    last = spark.read.parquet(f"{out}/touched").groupBy(*detectors.TASK).agg(
-        F.max("batch_id").alias("batch_id"))
-    return spark.read.parquet(f"{out}/members").join(
-        last, [*detectors.TASK, "batch_id"], "left_semi").drop("batch_id")
-
-
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Drain what is available into a parquet folder."""
     return stream.writeStream.format("parquet").option("path", out).option(
