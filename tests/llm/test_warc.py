@@ -58,7 +58,8 @@ def test_pages_equal_brute_force(spark, least):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
-def test_archives_are_real_and_binary_safe(spark):
+@pytest.mark.parametrize("few_revisits", [0, 50_000])
+def test_archives_are_real_and_binary_safe(spark, few_revisits):
     """Any bytes come back; the second archive holds each payload once, under fresh headers."""
     body = bytes(range(256)) * 3 + b"\r\n\r\nWARC/1.1\r\n"
     rows = [(f"urn:uuid:{i}", "http://x/", "2020-01-01T00:00:00Z", i, "response", None, None,
@@ -67,7 +68,8 @@ def test_archives_are_real_and_binary_safe(spark):
     warc.write_archive(spark.createDataFrame(rows, warc.RECORD).repartition(2), first, 2)
     back = warc.read_archive(spark, first, keep_payload=True).orderBy("page_id").collect()
     assert [bytes(r["payload"]) for r in back] == [b"", body, body, body, body]
-    warc.deduplicate(spark, first, second, date="2024-05-05T00:00:00Z")
+    warc.deduplicate(spark, first, second, date="2024-05-05T00:00:00Z",
+                     few_revisits=few_revisits)
     new = {r["page_id"]: r for r in warc.read_archive(spark, second, True).collect()}
     assert [i for i, r in new.items() if r["record_type"] == "response"
             and r["payload"]] == [4] and bytes(new[4]["payload"]) == body

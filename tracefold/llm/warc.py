@@ -4,8 +4,9 @@
 checks every payload against its digest. ``deduplicate`` keeps one response of equal payloads
 and turns the others into revisits: the headers alone are shuffled by payload digest, each
 group names its original, and records and decisions meet by record id, which no group makes
-hot. Revisit records of the given archive are joined to their originals first and follow them
-when these become revisits themselves. The new archive has fresh record ids, dates and digests.
+hot (payloads are shuffled for that only if there are more than ``FEW_REVISITS`` revisits).
+Revisit records of the given archive are joined to their originals first and follow them when
+these become revisits themselves. The new archive has fresh record ids, dates and digests.
 
 A file is read in order by one task and never held: gzip files are not split, so the reader
 sees lines (parted by CRLF) and needs the memory of one record. Only Spark reads and writes
@@ -40,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-31T00:00:00Z"
 #: Records of one file at most; a file is one task when read.
 FILE_RECORDS = 20_000
+#: Revisits (about 300 bytes each) up to which they are broadcast to the payloads.
+FEW_REVISITS = 50_000
 #: Records that a task hands to Spark at once.
 HANDED_ON = 256
 
@@ -247,12 +250,14 @@ def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, date: str = DATE,
-                least_bytes: int = 0) -> None:
+                least_bytes: int = 0, few_revisits: int = FEW_REVISITS) -> None:
     """Write the archive at ``source`` to ``target`` with equal payloads kept once."""
     heads = stored(read_archive(spark, source).drop("payload"), "warc-heads")
     decided = stored(revisits(heads, least_bytes), "revisits")
+    # few revisits go to the records; many are met by record id, which moves the payloads once
+    few = decided.count() <= few_revisits
     records = read_archive(spark, source, keep_payload=True).join(
-        decided.hint("shuffle_hash"), "record_id", "left")
+        F.broadcast(decided) if few else decided.hint("shuffle_hash"), "record_id", "left")
     original = F.col("original")
     there = original.isNotNull()
     lost = F.col("record_type") == "revisit"  # refers to a record of some other archive
