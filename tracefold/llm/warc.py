@@ -86,8 +86,10 @@ def _record(row: dict) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n"
 
 
-def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write ``records`` (columns of RECORD) as gzip WARC files under ``path``."""
+def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORDS,
+                  level: str = "BEST_SPEED") -> None:
+    """Write ``records`` (columns of RECORD) as gzip WARC files under ``path``; ``level`` is
+    Hadoop's name of a zlib level."""
     def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             names = list(part.columns)
@@ -99,7 +101,8 @@ def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORD
     # the bytes go into the file as they are: the string column is never decoded
     records.mapInPandas(made, "record binary").select(
         F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option(
-        "compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+        "compression", "gzip").option("zlib.compress.level", level).option(
+        "maxRecordsPerFile", file_records).text(path)
 
 
 class _Reader:
