@@ -15,9 +15,7 @@ from tracefold.llm import neighbours, packing, sharding
 def tokens():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(packing.tokenizer_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def check_packing(rows, texts, tokens, sequence):
@@ -50,7 +48,8 @@ def check_packing(rows, texts, tokens, sequence):
 
 @pytest.mark.parametrize("sequence", [64, 1024])
 def test_packing_round_trip(spark, tokens, sequence):
-    texts = [T.prose(i, 3 + 37 * i % 400) for i in range(80)] + [None, "", "<|endoftext|>é\U0001f600"]
+    texts = [T.prose(i, 3 + 37 * i % 400) for i in range(80)] + [
+        None, "", "<|endoftext|>é\U0001f600", "a <|endoftext|> b<|endoftext|>"]
     rows = packing.pack(T.documents(spark, texts), sequence=sequence).collect()
     check_packing(rows, dict(enumerate(texts)), tokens, sequence)
 
@@ -58,7 +57,9 @@ def test_packing_round_trip(spark, tokens, sequence):
 def test_fast_encoder_gives_the_same_ids(tokens):
     encode = packing.encoder(packing.tokenizer_path())
     for text in ["", "a", " Hello, it's 1234 tests!\n\n\tnew ", "naïve café ‍\U0001f600",
-                 "x" * 3000, "<|endoftext|> tail", "Ciónmenteueó. $$$ ###"]:
+                 "x" * 3000, "<|endoftext|> tail", "Ciónmenteueó. $$$ ###", "a <|endoftext|> b",
+                 "<|endoftext|>", " <|endoftext|><|endoftext|>", "<|endoftext", "x<|endoftext|>",
+                 "<|endoftext|>|endoftext|>", "a\n<|endoftext|>\n\n b"]:
         assert encode(text) == tokens.encode(text, add_special_tokens=False).ids
 
 
@@ -95,6 +96,30 @@ def test_matrix_has_exact_sums_and_follows_the_law():
     assert abs(first.var() - 40 * 0.25 * 0.75 * 60 / 99) < 0.5
 
 
+def test_draws_follow_the_law_on_both_sides_of_the_limit(monkeypatch):
+    """Inverted draws against the exact probabilities, and populations of 10^15."""
+    from math import comb
+
+    monkeypatch.setattr(sharding, "SAMPLER_LIMIT", 0)
+    for have, rest, n in [(7, 12, 9), (1, 5, 6), (40, 3, 20), (5, 5, 10)]:
+        rng = np.random.default_rng(1)
+        drawn = np.bincount([sharding.hypergeometric(rng, have, rest, n) for _ in range(20_000)],
+                            minlength=n + 1) / 20_000
+        law = np.array([comb(have, k) * comb(rest, n - k) / comb(have + rest, n)
+                        for k in range(n + 1)])
+        assert np.abs(drawn - law).max() < 0.012 and (drawn[law == 0] == 0).all()
+    monkeypatch.undo()
+    rng = np.random.default_rng(2)
+    have, rest, n = 4 * 10**13, 10**15, 5_000_000
+    drawn = np.array([sharding.hypergeometric(rng, have, rest, n) for _ in range(3000)])
+    p = have / (have + rest)
+    assert abs(drawn.mean() - n * p) < 5 * np.sqrt(n * p * (1 - p) / 3000)
+    assert abs(drawn.std() / np.sqrt(n * p * (1 - p)) - 1) < 0.05
+    counts = sharding.matrix([10**12 + 7] * 3, 5, 1)
+    assert counts.sum(axis=1).tolist() == [10**12 + 7] * 3
+    assert counts.sum(axis=0).max() - counts.sum(axis=0).min() <= 1
+
+
 def test_shards_are_exact_gapless_and_mixed(spark):
     rows = spark.range(5003).selectExpr("id AS doc_id").repartition(7)
     out = sharding.shard_rows(rows, 24, 5).toPandas()

@@ -15,6 +15,7 @@ columns other than doc_id and text are not used.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -48,32 +49,46 @@ def tokenizer_path() -> str:
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text -> ids by a tokenizer file, special tokens' strings being ordinary text.
+    """Text -> ids by a tokenizer file, as the tokenizers library gives them.
 
-    A plain byte-level vocabulary is run by tiktoken, which gives the same ids faster;
-    any other file by the tokenizers library.
+    A plain byte-level vocabulary is run by tiktoken, which gives the same ids faster; the
+    strings of its added tokens are set apart first, the longest where several begin. Any other
+    file is run by the tokenizers library.
     """
     with open(path, encoding="utf-8") as file:
         config = json.load(file)
     split, model = config.get("pre_tokenizer") or {}, config["model"]
+    added = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
+    bare = not any(t.get(flag) for t in config.get("added_tokens", [])
+                   for flag in ("single_word", "lstrip", "rstrip", "normalized"))
     plain = (model.get("type", "BPE") == "BPE" and split.get("type") == "ByteLevel"
              and split.get("use_regex", True) and not split.get("add_prefix_space")
-             and not config.get("normalizer"))
+             and not config.get("normalizer") and bare)
     if plain:
         import tiktoken
 
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letter = {chr(b): b for b in shown}
         letter |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in config.get("added_tokens", [])}
         ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items()
-                 if token not in special}
-        return tiktoken.Encoding("file", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks=ranks,
-                                 special_tokens={}).encode_ordinary
+                 if token not in added}
+        ordinary = tiktoken.Encoding("file", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks=ranks,
+                                     special_tokens={}).encode_ordinary
+        apart = re.compile("(" + "|".join(map(re.escape, sorted(
+            added, key=len, reverse=True))) + ")") if added else None
+
+        def encode(text: str) -> list[int]:
+            if not any(content in text for content in added):
+                return ordinary(text)
+            ids: list[int] = []
+            for piece in apart.split(text):
+                ids += [added[piece]] if piece in added else ordinary(piece)
+            return ids
+
+        return encode
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(path)
-    tokens.encode_special_tokens = True
     return lambda text: tokens.encode(text, add_special_tokens=False).ids
 
 

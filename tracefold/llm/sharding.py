@@ -24,6 +24,8 @@ SHARDS, SEED = 24, 20_240
 #: Rows, about, that one task orders in a shard.
 BLOCK_ROWS = 50_000
 LEAST_BLOCKS = 16
+#: Population from which on numpy has no hypergeometric sampler.
+SAMPLER_LIMIT = 1_000_000_000
 
 
 def matrix(part_rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -38,6 +40,28 @@ def matrix(part_rows: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def hypergeometric(rng: np.random.Generator, have: int, rest: int, n: int) -> int:
+    """How many of ``n`` rows drawn from ``have`` + ``rest`` are of the first kind, exactly.
+
+    Beyond the range of numpy's sampler the law is inverted: the weights of the values around
+    the mode follow from each other by their exact ratios, and those left out are below 1e-30.
+    """
+    total = have + rest
+    if total < SAMPLER_LIMIT:
+        return int(rng.hypergeometric(have, rest, n))
+    low, high = max(0, n - rest), min(n, have)
+    mode = min(max((n + 1) * (have + 1) // (total + 2), low), high)
+    spread = np.sqrt(n * (have / total) * (rest / total) * ((total - n) / (total - 1)))
+    reach = int(12 * spread) + 60
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((have - up) / (up + 1) * ((n - up) / (rest - n + up + 1)))
+    below = np.cumprod(down / (have - down + 1) * ((rest - n + down) / (n - down + 1)))
+    weights = np.concatenate([below[::-1], [1.0], above]).cumsum()
+    at = int(np.searchsorted(weights, rng.random() * weights[-1], "right"))
+    return mode - len(down) + min(at, len(weights) - 1)
+
+
 def _draw(rng: np.random.Generator, free: np.ndarray, n: int) -> np.ndarray:
     """One multivariate hypergeometric row from its marginals (any population size)."""
     out = np.zeros_like(free)
@@ -46,14 +70,7 @@ def _draw(rng: np.random.Generator, free: np.ndarray, n: int) -> np.ndarray:
         rest -= have
         if n <= 0:
             break
-        if rest == 0:
-            out[s] = n
-            break
-        if have + rest >= 1_000_000_000:  # beyond the sampler's range: binomial limit
-            k = int(rng.binomial(n, have / (have + rest)))
-            k = min(max(k, n - rest), have)
-        else:
-            k = int(rng.hypergeometric(have, rest, n))
+        k = hypergeometric(rng, have, rest, n) if rest else n
         out[s], n = k, n - k
     return out
 
