@@ -430,6 +430,22 @@ def active_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.active_generation(_all(spark, sf_dir))
 
 
+@query("latest_rows", f"""WITH {DERIVED_SQL} SELECT 'generation' AS what, generation AS value
+  FROM active UNION ALL SELECT 'review', CAST(CAST(max(c_custkey) AS BIGINT) AS VARCHAR)
+  FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 4 <> 0""")
+def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointer and review rows merged over four runs, each adding a quarter of the events."""
+    held = None
+    for i in range(4):
+        part = _all(spark, sf_dir).where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i)
+        held = sinks.stored(panels.latest_rows(part, held), "latest")
+    marker = F.col("event_name") == K.ACTIVATION_EVENT
+    return held.select(
+        F.when(marker, F.lit("generation")).otherwise(F.lit("review")).alias("what"),
+        F.when(marker, panels.text("analysis.generation")).otherwise(
+            F.col("entity_version").cast("string")).alias("value"))
+
+
 _SNAPSHOTS = """WITH s AS (
   SELECT *, 's' || o_orderkey AS event_id,
     epoch_us(o_orderdate) * 1000 + o_orderkey % 1440 * 60000000000 AS timestamp_ns FROM orders),

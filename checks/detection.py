@@ -14,7 +14,7 @@ from checks.tables import DERIVED_SQL, RUNS_SQL, finding_events, runs
 from tracefold.functions import columns as C
 from tracefold.operators import detectors, observations, validate
 from tracefold.plans import scan
-from tracefold.sources import telemetry
+from tracefold.sources import sinks, telemetry
 
 _SHOWN = ["detector_id", "ordinal", "member_count", "event_id", "timestamp_ns", "project_id",
           "task_id", "operation_kind", "target_kind", "normalized_target", "failure_class",
@@ -219,6 +219,21 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.append_new(rows, rows.where(_STORED)).select("observation_id")
 
 
+@query("append_new_history", sql(f"SELECT observation_id FROM records WHERE NOT ({_STORED})",
+                                 RECORD_CTES))
+def append_new_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored observations in a day and bucket layout; only places of the new ones are read."""
+    path = sinks.new_path(spark, "history")
+    rows = records(spark, sf_dir)
+    layout = {"observations": ("occurred_at_ns", "observation_id")}
+    for i in range(2):
+        part = rows.where(_STORED).where(F.pmod(F.xxhash64("observation_id"), F.lit(2)) == i)
+        sinks.write_results({"observations": part}, path, f"run-{i}", i, layout)
+    days, buckets = sinks.places(rows, "occurred_at_ns", "observation_id")
+    held = sinks.read_results(spark, path, "observations", days, buckets)
+    return observations.append_new(rows, held).select("observation_id")
+
+
 @query("replay_conflicts", sql("""SELECT observation_id FROM records
   WHERE occurred_at_ns % 1000000 = 0 OR member_count = 3""", RECORD_CTES))
 def replay_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

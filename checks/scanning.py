@@ -196,6 +196,32 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    ("source", "field", "name"))
 
 
+_NEEDED = [("logs", "attributes_string", "call_id"), ("logs", "attributes_string", "event.name"),
+           ("spans", "attributes_string", "thread.id"), ("spans", "attributes_string", "nope")]
+
+
+@query("contract_fingerprint", sql(f"""SELECT sha256(CAST(to_json(list({{source: source,
+    field: field, name: name}} ORDER BY source, field, name)) AS VARCHAR)) AS fingerprint
+  FROM inventory WHERE (source, field, name) IN ({", ".join(map(str, _NEEDED))})""", _INVENTORY))
+def contract_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    required = spark.createDataFrame(_NEEDED, "source string, field string, name string")
+    return contract.contract_fingerprint(_inventory(spark, sf_dir), required,
+                                         ("source", "field", "name"))
+
+
+@query("contract_stop", sql(f"""SELECT name FROM inventory
+  WHERE source = 'logs' AND field = 'event_name' AND name <> 'codex.tool_result'""", _INVENTORY))
+def contract_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event names stand for fingerprints; one of them is approved, one approval is withdrawn."""
+    names = _inventory(spark, sf_dir).where("source = 'logs' and field = 'event_name'")
+    approvals = spark.createDataFrame(
+        [("codex.tool_result", 1), ("codex.api_request", None)], "fingerprint string, at int")
+    return contract.unapproved(
+        names.select(F.col("name").alias("fingerprint")),
+        approvals.withColumn("approved_at", F.timestamp_seconds("at"))).select(
+        F.col("fingerprint").alias("name"))
+
+
 @query("parse_logs", sql("SELECT " + _LOG_FIELDS.format(
     id="log_id", duration="""CASE WHEN k NOT IN (1, 2, 3) THEN CAST(duration_text AS DOUBLE) END
     AS duration_ms, CASE WHEN k IN (1, 2, 3)
@@ -401,6 +427,22 @@ def command_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "log_id", F.array_join(normalise.plain_array(F.col("arguments")), " ").alias("command"))
 
 
+@query("shell_words", f"""WITH {LOG_CTES} d AS (SELECT event_id, k FROM ev)
+SELECT event_id, CASE k % 5 WHEN 0 THEN 'git|commit|-m|fix it|src/m' || k || '.py'
+    WHEN 1 THEN 'echo|a\\b "c" ' || k WHEN 2 THEN 'rg||x y|' || k WHEN 4 THEN 'ls' || k END
+    AS words FROM d""".replace("\\\\", "\\"))
+def shell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, escapes and open quotes (null), over all events."""
+    k = F.col("k").cast("string")
+    texts = (
+        F.concat(F.lit('git  commit -m "fix it"\t src/m'), k, F.lit(".py")),
+        F.concat(F.lit("echo 'a\\b \"c\" '"), k), F.concat(F.lit("rg '' x\\ y "), k),
+        F.concat(F.lit("ls 'open "), k), F.concat(F.lit(" ls"), k, F.lit("\n")))
+    text = F.element_at(F.array(*texts), (F.col("k") % 5 + 1).cast("int"))
+    return views.ev(spark, sf_dir).select(
+        "event_id", F.array_join(normalise.shell_words(text), "|").alias("words"))
+
+
 @query("positionals", f"""WITH {LOG_CTES} d AS (
   SELECT event_id, CASE k % 4 WHEN 0 THEN '-C' WHEN 1 THEN '-m' WHEN 2 THEN '--short'
     ELSE '--format=x' END AS opt, CASE WHEN k % 3 = 0 THEN '-v' ELSE 'v' || k END AS val FROM ev)
@@ -460,136 +502,11 @@ def normalise_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(op["argv"], "|").alias("argv"))
 
 
-@query("membership_key", sql("""SELECT op_executable, op_subcommand, op_target, count(*) AS n,
-  count(DISTINCT op_key) AS n_keys FROM detector_events WHERE op_key IS NOT NULL
-  GROUP BY op_executable, op_subcommand, op_target""", EVENT_CTES))
+@query("membership_key", sql("""SELECT event_id, sha256(CAST(to_json({kind: op_kind,
+    executable: op_executable, subcommand: op_subcommand, target: op_target,
+    argv: CASE WHEN op_kind = 'tool' THEN ['{"path":"' || op_target || '"}']
+      WHEN op_subcommand IS NULL THEN [op_executable, op_target]
+      ELSE [op_executable, op_subcommand, op_target] END}) AS VARCHAR)) AS op_key
+  FROM detector_events WHERE op_key IS NOT NULL""", EVENT_CTES))
 def membership_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.events(spark, sf_dir).where("op_key is not null").groupBy(
-        "op_executable", "op_subcommand", "op_target").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("op_key").alias("n_keys"))
-
-
-# ---- identities ----------------------------------------------------------------------
-
-@query("conversation_thread_map", sql("SELECT conversation_id, thread_id FROM threads",
-                                      EVENT_CTES))
-def conversation_thread_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.conversation_thread_map(views.typed_logs(spark, sf_dir),
-                                            views.typed_traces(spark, sf_dir))
-
-
-@query("conversation_conflicts", sql("""SELECT conversation_id, min(t.thread_id) AS thread_id,
-  max(t.thread_id) AS other_thread_id FROM logs JOIN traces t USING (trace_id)
-  WHERE conversation_id IS NOT NULL AND t.thread_id IS NOT NULL
-  GROUP BY conversation_id HAVING count(DISTINCT t.thread_id) > 1"""))
-def conversation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.conversation_conflicts(views.typed_logs(spark, sf_dir),
-                                           views.typed_traces(spark, sf_dir))
-
-
-@query("canonical_task", sql("""SELECT log_id, split_part(task_id, ':', 1) AS task_kind, task_id,
-  NOT starts_with(task_id, 'episode') AS counts_as_distinct_task,
-  CAST(NULL AS VARCHAR) AS identity_error
-  FROM (SELECT log_id, coalesce('thread:' || thread_id, 'thread:' || mapped,
-    'conversation:' || conversation_id, 'episode:' || trace_id) AS task_id FROM linked)""",
-    EVENT_CTES))
-def canonical_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = views.linked_logs(spark, sf_dir)
-    return identity.with_canonical_task(
-        linked, identity.linked_thread_map(linked), F.coalesce("trace_id", "log_id"),
-        F.col("log_id")).select(
-        "log_id", "task_kind", "task_id", "counts_as_distinct_task", "identity_error")
-
-
-@query("canonical_turn", sql("""SELECT trace_id, CASE WHEN tool_calls = 1 THEN NULL ELSE
-  'episode:' || trace_id || '/turn:' || CASE WHEN tool_calls = 0 THEN 'dot' ELSE turn_id END END
-  AS turn FROM traces"""))
-def canonical_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = F.col("tool_calls")
-    return views.typed_traces(spark, sf_dir).select("trace_id", identity.canonical_turn(
-        F.concat(F.lit("episode:"), "trace_id"),
-        F.when(calls == 0, F.lit("dot")).when(calls == 1, F.lit("bad id")).otherwise(F.lit("")),
-        F.col("turn_id")).alias("turn"))
-
-
-@query("resolve_projects", sql("""SELECT DISTINCT cwd, 'git' AS kind,
-  regexp_replace(cwd, '/src$', '') AS root, CAST(NULL AS VARCHAR) AS alias_source,
-  project AS project_id FROM placed WHERE cwd IS NOT NULL
-  UNION ALL SELECT DISTINCT replace(cwd, '/work/p', '/work/q'), 'non_git', '/work', NULL,
-  'non_git:' || sha256(encode('non_git') || '\\x00'::BLOB || encode('/work')) FROM placed
-  WHERE cwd IS NOT NULL""", EVENT_CTES))
-def resolve_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cwds = views.typed_traces(spark, sf_dir).where("cwd is not null").select("cwd")
-    other = cwds.select(F.replace("cwd", F.lit("/work/p"), F.lit("/work/q")).alias("cwd"))
-    outside = cwds.select(F.concat(F.lit("/elsewhere"), "cwd").alias("cwd"))
-    return identity.resolve_projects(cwds.unionByName(other).unionByName(outside),
-                                     views.project_roots(spark))
-
-
-def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alias per nation: /work/p0 to /work/p1 is valid, the rest have faults."""
-    key = F.col("n_nationkey")
-    return views.table(spark, sf_dir, "nation").select(
-        F.when(key % 5 == 3, F.lit("svn")).otherwise(F.lit("git")).alias("kind"),
-        F.concat(F.lit("/work/p"), key.cast("string")).alias("root"),
-        F.when(key % 5 == 2, F.lit("non_git")).otherwise(F.lit("git")).alias("target_kind"),
-        F.when(key % 5 == 4, F.lit("/work/../p1")).otherwise(F.lit("/work/p1"))
-        .alias("target_root"))
-
-
-@query("project_aliases", sql("""SELECT DISTINCT cwd, CASE WHEN root = '/work/p0'
-  THEN '/work/p1' ELSE root END AS root, CASE WHEN root IN ('/work/p0', '/work/p5')
-  THEN 'git:' || root END AS alias_source FROM (SELECT cwd, CASE WHEN cwd = '/work/p5/src'
-  THEN '/work/p5' ELSE regexp_replace(cwd, '/src$', '') END AS root FROM traces
-  WHERE cwd IS NOT NULL AND cwd <> '/work/p5/src')
-  UNION ALL SELECT DISTINCT cwd, '/work/p1', 'git:/work/p5' FROM traces
-  WHERE cwd = '/work/p5/src'"""))
-def project_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.resolve_projects(
-        views.typed_traces(spark, sf_dir), views.project_roots(spark),
-        _aliases(spark, sf_dir)).select("cwd", "root", "alias_source")
-
-
-@query("rejected_aliases", """SELECT '/work/p' || n_nationkey AS root, CASE n_nationkey % 5
-  WHEN 3 THEN 'unknown kind' WHEN 4 THEN 'path is not normalized and absolute'
-  ELSE 'alias changes the kind' END AS fault FROM nation WHERE n_nationkey % 5 IN (2, 3, 4)""")
-def rejected_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.rejected_aliases(_aliases(spark, sf_dir)).select("root", "fault")
-
-
-@query("relative_target", f"""WITH {LOG_CTES} d AS (
-  SELECT event_id, user_id % 6 AS p, CASE k % 6 WHEN 0 THEN 'src/m.py'
-    WHEN 1 THEN '../p1/x.py' WHEN 2 THEN '/work/p1/src/./a/../b.py' WHEN 3 THEN '/etc/passwd'
-    WHEN 4 THEN '.' ELSE 'src\\..\\lib//n.py' END AS raw FROM ev)
-SELECT event_id, raw, CASE raw WHEN 'src/m.py' THEN 'src/m.py'
-  WHEN '../p1/x.py' THEN CASE WHEN p = 1 THEN 'x.py' END
-  WHEN '/work/p1/src/./a/../b.py' THEN CASE WHEN p = 1 THEN 'src/b.py' END
-  WHEN '/etc/passwd' THEN NULL WHEN '.' THEN '.' ELSE 'lib/n.py' END AS relative FROM d""")
-def relative_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ("src/m.py", "../p1/x.py", "/work/p1/src/./a/../b.py", "/etc/passwd", ".",
-             "src\\..\\lib//n.py")
-    raw = F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % 6 + 1).cast("int"))
-    root = F.concat(F.lit("/work/p"), (F.col("user_id") % 6).cast("string"))
-    return views.ev(spark, sf_dir).select(
-        "event_id", raw.alias("raw"), C.relative_target(raw, root).alias("relative"))
-
-
-@query("local_day", f"""WITH {LOG_CTES} d AS (
-  SELECT event_id, timestamp_ns + (k * 7776000) * 1000000000 AS ns FROM ev)
-SELECT event_id, ns, strftime(timezone('Europe/London',
-  timezone('UTC', make_timestamp(ns // 1000))), '%Y-%m-%d') AS day FROM d""")
-def local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifted = F.col("timestamp_ns") + F.col("k") * 7_776_000 * K.NS_PER_SECOND
-    return views.ev(spark, sf_dir).select("event_id", shifted.alias("ns")).select(
-        "event_id", "ns", C.local_day(F.col("ns")).cast("string").alias("day"))
-
-
-@query("project_dimension", sql("""SELECT DISTINCT project AS id, 'git' AS identity_kind,
-  regexp_replace(cwd, '/src$', '') AS canonical_path,
-  regexp_replace(cwd, '/src$', '') || '/.git' AS git_common_dir FROM placed
-  WHERE cwd IS NOT NULL AND cwd <> '/work/p2/src'""", EVENT_CTES))
-def project_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = identity.resolve_projects(views.typed_traces(spark, sf_dir),
-                                         views.project_roots(spark))
-    existing = identity.project_dimension(resolved.where("root = '/work/p2'"))
-    return identity.project_dimension(resolved, existing)
+    return views.events(spark, sf_dir).where("op_key is not null").select("event_id", "op_key")

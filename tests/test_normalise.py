@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
@@ -143,3 +144,54 @@ def test_enforced_policy_stops_the_job(spark):
         assert "id is required" in str(error)
     else:
         raise AssertionError("a rejected row must stop the job")
+
+
+def test_shell_words_split_as_a_posix_shell_does(spark):
+    import random
+    import shlex
+
+    rng = random.Random(3)
+    texts = ["", " ", "a", "''", "a '' b", '"', "'", "\\", "a\\", '"a\\"', "a\\ b", "x\u00a0y z",
+             "git commit -m \"fix it\" src/a.py", "\U0001f600 'b c'd\"e\"", "a\tb\r\nc"]
+    texts += ["".join(rng.choice("ab \t'\"\\$é") for _ in range(rng.randint(0, 14)))
+              for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", normalise.shell_words(F.col("t")).alias("w")).collect()
+    for row in got:
+        try:
+            want = shlex.split(row.t)
+        except ValueError:
+            want = None
+        assert row.w == want, row.t
+
+
+def test_plain_calls_are_parsed_without_python(spark, monkeypatch):
+    """Both branches agree, on either side of the length limit; Python sees the rest only."""
+    commands = ["ls", "git commit -m \\\"fix it\\\" a.py", "echo 'open", "", "a \\u0062", "x\\ny",
+                "rg -g '*.py' needle ./src//m.py", "a\\\\b c"]
+    rows = [("exec_command", '{"cmd": "%s"}' % c) for c in commands]
+    rows += [("shell", '{"argv":["a","b c"]}'), ("shell", '{"argv":[]}'), (None, "{}"),
+             ("exec_command", None), ("", "{}"), ("exec_command", '{"cmd": "%s"}' % ("y " * 5000)),
+             ("write_file", '{"path":"a"}'), ("exec_command", '{"cmd":"a","cmd":"b"}')]
+    calls = spark.createDataFrame(rows, "tool_name string, arguments string")
+
+    def result():
+        op = F.col("operation")
+        return sorted(map(str, normalise.normalise_operations(calls).select(
+            "tool_name", F.md5("arguments"), op["argv"], op["executable"], op["target"]).collect()))
+
+    native = result()
+    monkeypatch.setattr(normalise, "_PLAIN_LIMIT", 0)
+    assert result() == native
+    monkeypatch.undo()
+
+    @F.pandas_udf(normalise._PARSED_TYPE)
+    def fail(tool: pd.Series, text: pd.Series) -> pd.DataFrame:
+        if len(tool):
+            raise ValueError("a plain call came to Python")
+        return pd.DataFrame({"argv": [], "canonical": [], "target": [], "target_is_uri": []})
+
+    monkeypatch.setattr(normalise, "_parse_calls", fail)
+    plain = calls.where("length(arguments) < 50 and tool_name = 'exec_command' and arguments not "
+                        "like '%u0062%' and arguments not like '%,%'")
+    assert normalise.normalise_operations(plain).count() >= 6

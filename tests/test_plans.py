@@ -12,13 +12,13 @@ from checks import views
 from checks.registry import QUERIES
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
-from tracefold.operators import events, observations
+from tracefold.operators import audit, events, observations
 from tracefold.operators.ordering import (
     RANGE_SIZES, fitting_slice_ns, hot_keys, ordered_digest, range_members, salted_join, sliced,
-    time_slice,
+    split_rank, time_slice,
 )
 from tracefold.plans import panels, run, scan
-from tracefold.sources import contract, sinks
+from tracefold.sources import contract, journal, sinks
 
 SF = "/root/testdata/sf0.001"
 HALF = 1_705_276_800_000_000_000
@@ -66,7 +66,7 @@ def test_unpublished_run_is_invisible(spark):
     path = sinks.new_path(spark, "store")
     assert sinks.read_results(spark, path, "t") is None
     sinks.write_results({"t": spark.range(3)}, path, "a")
-    spark.range(5).write.parquet(f"{path}/t/run_id=b")
+    sinks.write_attempt({"t": spark.range(5)}, path, sinks.new_attempt())
     assert sinks.read_results(spark, path, "t").count() == 3
     sinks.write_results({"t": spark.range(7)}, path, "b", order=1)
     assert sinks.read_results(spark, path, "t").count() == 10
@@ -78,7 +78,7 @@ def test_unpublished_run_is_invisible(spark):
 def test_cut_short_attempt_can_be_repeated_from_its_own_store(spark):
     path = sinks.new_path(spark, "store")
     sinks.write_results({"t": spark.range(3)}, path, "a")
-    spark.range(100, 105).write.parquet(f"{path}/t/run_id=b")  # lost before publishing
+    sinks.write_attempt({"t": spark.range(100, 105)}, path, sinks.new_attempt())  # lost
     again = sinks.read_results(spark, path, "t").select((F.col("id") + 10).alias("id"))
     sinks.write_results({"t": again}, path, "b", order=1)
     rows = sinks.read_results(spark, path, "t").select("id").collect()
@@ -87,12 +87,165 @@ def test_cut_short_attempt_can_be_repeated_from_its_own_store(spark):
 
 def test_emit_is_idempotent(spark):
     path = sinks.new_path(spark, "outbox")
-    rows = spark.range(10).select(F.col("id").cast("string").alias("event_id"))
+    rows = spark.range(10).select(F.col("id").cast("string").alias("event_id"), (
+        F.col("id") * K.NS_PER_DAY).alias("timestamp_ns"))
     for _ in range(2):
         sinks.emit_events(rows.unionByName(rows), path)
     assert spark.read.parquet(path).count() == 10
 
 
+def test_emit_opens_no_day_outside_the_batch(spark):
+    path = sinks.new_path(spark, "outbox")
+    rows = spark.range(60).select(F.col("id").cast("string").alias("event_id"), (
+        (F.col("id") % 6) * K.NS_PER_DAY + 5).alias("timestamp_ns"))
+    sinks.emit_events(rows, path)
+    held = sinks.read_days(spark, path, ["1970-01-02", "1970-01-04", "1999-01-01"])
+    assert {f.split("of_day=")[1][:10] for f in held.inputFiles()} == {"1970-01-02", "1970-01-04"}
+    sinks.emit_events(rows.where("timestamp_ns < 86400000000000"), path)
+    assert spark.read.parquet(path).count() == 60
+
+
+def test_two_attempts_of_one_run_leave_one(spark):
+    path = sinks.new_path(spark, "store")
+    first, second = sinks.new_attempt(), sinks.new_attempt()
+    for attempt, n in ((first, 3), (second, 5)):  # both write before either is published
+        sinks.write_attempt({"t": spark.range(n), "u": spark.range(n)}, path, attempt)
+    assert sinks.publish(spark, path, "r", second)
+    assert not sinks.publish(spark, path, "r", first)
+    assert sinks.read_results(spark, path, "t").count() == 5
+    assert sinks.read_latest(spark, path, "u").count() == 5
+
+
+def test_readers_stay_with_the_runs_they_name(spark):
+    path = sinks.new_path(spark, "store")
+    for order, run_id in enumerate(("a b/c", "d")):
+        sinks.write_results({"t": spark.range(order + 1)}, path, run_id, order)
+    assert sinks.read_results(spark, path, "t", up_to=0).count() == 1
+    assert sinks.read_latest(spark, path, "t", up_to=0).count() == 1
+    assert sinks.read_results(spark, path, "t").groupBy("run_id").count().count() == 2
+
+
+def test_history_is_read_by_day_and_bucket(spark):
+    path = sinks.new_path(spark, "store")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k"), (
+        (F.col("id") % 20) * K.NS_PER_DAY).alias("ns"))
+    for i in range(2):
+        half = rows.where(F.pmod(F.xxhash64("k"), F.lit(2)) == i)
+        sinks.write_results({"t": half}, path, f"r{i}", i, {"t": ("ns", "k")})
+    batch = rows.where("k in ('3', '23', '44')")
+    days, buckets = sinks.places(batch, "ns", "k")
+    assert days == ["1970-01-04", "1970-01-05"] and 1 <= len(buckets) <= 3
+    held = sinks.read_results(spark, path, "t", days, buckets)
+    seen = {tuple(part.split("=")[1] for part in f.split("/")[-3:-1]) for f in held.inputFiles() if "of_day=" in f}
+    assert {d for d, _ in seen} == set(days)
+    assert held.count() < 2 * 100 * len(buckets)
+    assert observations.append_new(batch, held, "k").count() == 0
+    plan = held._jdf.queryExecution().toString()
+    assert "of_bucket" in plan.split("PartitionFilters")[1][:300]
+    assert sinks.read_results(spark, path, "t").count() == 2000
+    assert sinks.read_results(spark, path, "t", ["2001-01-01"]) is None
+
+
+def _store_runs(spark, store):
+    return {r["run_id"]: (r["status"], r["error_code"]) for r in journal.runs(
+        spark, store).collect()}
+
+
+def test_every_ending_is_recorded(spark):
+    """Two good runs, a failed contract, no generation, a watermark that would go back."""
+    store = sinks.new_path(spark, "store")
+    logs, spans = views.logs_table(spark, SF), views.spans_table(spark, SF)
+    roots = views.project_roots(spark)
+    sessions = spark.createDataFrame([("s1", "imported", "classification")],
+                                     "id string, status string, purpose string")
+    results = spark.createDataFrame([("s1",), ("s1",)], "review_session_id string")
+    required = spark.createDataFrame([("logs", "id"), ("spans", "name")],
+                                     "table string, name string")
+    prints = contract.contract_fingerprint(contract.table_columns(
+        spark, {"logs": logs.schema, "spans": spans.schema}), required)
+    approved = prints.withColumn("approved_at", F.current_timestamp())
+    ticks = iter(range(HALF, HALF + 10**15, 10**10))
+
+    def go(run_id, end, **more):
+        return run.run_scan(logs, spans, roots, store, run_id, end, reviews=(sessions, results),
+                            clock=lambda: next(ticks), **{"contract": (required, approved)} | more)
+
+    assert go("r0", HALF) == "failed"  # no generation is active
+    assert sinks.published_runs(spark, store) is None
+    run.activate(spark, store, "g1", HALF)
+    run.activate(spark, store, "g1", HALF + 5)
+    assert run.pointer(spark, store) == "g1" and run.activated(spark, store).count() == 1
+    assert go("r1", HALF) == "succeeded"
+    with pytest.raises(run.RunStopped, match="not approved"):
+        go("r2", HALF + K.NS_PER_DAY, contract=(required, approved.where("false")))
+    with pytest.raises(run.RunStopped, match="no logs.nope"):
+        go("r2", HALF + K.NS_PER_DAY, contract=(required.unionByName(
+            spark.createDataFrame([("logs", "nope")], required.schema)), approved))
+    with pytest.raises(run.RunStopped, match="go back"):
+        go("r3", HALF - 1)
+    assert go("r4", HALF + K.NS_PER_DAY + 1) == "succeeded" and go("r4", 0) is None
+    states = _store_runs(spark, store)
+    assert states == {"r0": ("failed", "generation_unavailable"), "r1": ("succeeded", None),
+                      "r2": ("failed", "source_contract"), "r3": ("failed", "watermark"),
+                      "r4": ("succeeded", None)}
+    events_of = run.read_events(spark, store)
+    shots = events_of.where(F.col("event_name") == K.PIPELINE_EVENT)
+    assert shots.count() == 6
+    health = panels.pipeline_health(events_of, 0, HALF + 2 * K.NS_PER_DAY).first()
+    assert health["logs"] == "available / records"
+    assert panels.scan_duration(events_of, 0, HALF + 2 * K.NS_PER_DAY).count() == 6
+    seen = panels.review_activity(events_of).first()
+    assert (seen["classification_sessions"], seen["classification_results"]) == (1.0, 2.0)
+    latest = run.read_latest_rows(spark, store)
+    assert latest.count() == 2
+    assert panels.review_activity(latest).collect() == panels.review_activity(events_of).collect()
+    window = (0, HALF + 2 * K.NS_PER_DAY)
+    mix = panels.signal_mix(events_of, *window, latest=latest)
+    assert mix.collect() == panels.signal_mix(events_of, *window).collect() != []
+    # the pointer comes from the small table: the events are scanned once, within the window
+    assert mix._jdf.queryExecution().toString().count("/latest/") > 0
+    snapshots = run.read_snapshots(spark, store, "review_snapshots")
+    assert sorted(r[0] for r in snapshots.select("entity_version").collect()) == [1, 2, 3, 4, 5, 6]
+    history = journal.runs(spark, store)
+    assert audit.latest_terminal_run(history).first()["status"] == "succeeded"
+    assert audit.slot_coverage(history).where("covered").count() >= 1
+    assert audit.slot_status(history, HALF).first() is not None
+    assert panels.projections(events_of, 0, views.NOW_NS, K.OBSERVATION_EVENT).count() > 0
+
+
+def test_interrupted_attempts_are_closed_once(spark):
+    store = sinks.new_path(spark, "store")
+    for attempt, at in (("a-1", 0), ("a-2", 0), ("a-3", journal.LEASE_NS)):
+        journal.start(spark, store, attempt, f"run-{attempt}", at, 0, 1)
+    sinks.publish(spark, store, "run-a-2", "a-2")
+    assert journal.recover(spark, store, journal.LEASE_NS + 1) == 2
+    assert journal.recover(spark, store, journal.LEASE_NS + 1) == 0
+    assert _store_runs(spark, store) == {
+        "run-a-1": ("failed", "interrupted"), "run-a-2": ("succeeded", None),
+        "run-a-3": ("running", None)}
+    assert not journal.end(spark, store, "a-1", "succeeded", 9)
+    with pytest.raises(RuntimeError, match="started before"):
+        journal.start(spark, store, "a-1", "x", 0, 0, 1)
+
+
+def test_changed_content_of_a_stored_observation_stops_the_run(spark):
+    store = sinks.new_path(spark, "store")
+    logs, spans = views.logs_table(spark, SF), views.spans_table(spark, SF)
+    roots = views.project_roots(spark)
+    run.run_scan(logs, spans, roots, store, "r1", HALF, "g1")
+    rows = sinks.read_results(spark, store, "observations").drop("run_id")
+    # the same ids under a watermark that lets the window be read again, with another task
+    forged = rows.withColumn("task_identity", F.lit("other"))
+    other = sinks.new_path(spark, "store")
+    sinks.write_results({"observations": forged, "watermark": spark.createDataFrame(
+        [("logs", HALF - 7 * K.NS_PER_DAY)], "source string, timestamp_ns long")},
+        other, "r0", 0, run.BY_DAY)
+    with pytest.raises(run.RunStopped, match="other content"):
+        run.run_scan(logs, spans, roots, other, "r1", HALF, "g1")
+    assert not sinks.is_published(spark, other, "r1")
+    assert _store_runs(spark, other) == {"r1": ("failed", "processing")}
+
+
 def test_sliced_equals_one_window_on_a_hot_group(spark):
     rows = spark.range(20_000).select(
         F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
@@ -295,6 +448,43 @@ def test_finding_ids_of_the_query_are_version_five(spark):
                                               K.FINDING_NAME_PREFIX + r.fingerprint))
 
 
+def test_ranks_by_sampled_splitters(spark):
+    """One group with nearly all rows, a null group, small ones; cells of like size."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 50 > 0, F.lit("hot")).when(F.col("id") % 3 > 0, F.col("id").cast(
+            "string")).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), "id")
+    from pyspark.sql import Window
+
+    got = split_rank(rows.repartition(5), ["k"], ["a", "id"], "nth", rows_per_cell=1000)
+    want = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("a", "id")))
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and got.count() == 30_000
+    cells = rows.repartitionByRange(30, "k", "a", "id").groupBy(F.spark_partition_id()).count()
+    assert cells.agg(F.max("count")).first()[0] < 3_000
+    everything = split_rank(rows, [], ["id"], "nth")
+    assert everything.where("nth <> id + 1").isEmpty()
+    assert split_rank(rows.where("false"), ["k"], ["id"], "nth").count() == 0
+
+
+def test_remote_presence_opens_the_buckets_of_its_references(spark):
+    path = sinks.new_path(spark, "remote")
+    hour = 3600 * K.NS_PER_SECOND
+    spark.range(100).select(
+        (F.col("id") * hour + 7).alias("timestamp_ns"),
+        (F.col("id") * 3600).alias("ts_bucket_start"),
+        F.create_map(F.lit("event.id"), F.col("id").cast("string"), F.lit("event.name"),
+                     F.lit("n")).alias("attributes_string"),
+        F.create_map(F.lit("service.name"), F.lit(K.DERIVED_SERVICE)).alias("resource")
+    ).write.partitionBy("ts_bucket_start").parquet(path)
+    wanted = spark.createDataFrame([("40", "n", 40 * hour + 7), ("41", "n", 5)],
+                                   "event_id string, event_name string, timestamp_ns long")
+    store = spark.read.parquet(path)
+    assert [r.event_id for r in events.remote_presence(wanted, store).collect()] == ["40"]
+    near = wanted.where("event_id = '40'")
+    plan = events.remote_presence(near, store)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ts_bucket_start" in plan
+    assert events.remote_presence(wanted.where("false"), store).count() == 0
+
+
 def test_strict_thread_map_fails_on_conflict(spark):
     from tracefold.operators import identity
 

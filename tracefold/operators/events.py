@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
-from tracefold.operators.ordering import hot_keys, salted_join, sliced
+from tracefold.operators.ordering import hot_keys, salted_join, split_rank
+from tracefold.sources.telemetry import time_range
 
 EVENT_COLUMNS = ["event_id", "scope", "entity_id", "entity_version", "event_sequence",
                  "event_name", "timestamp_ns", "attributes_string", "attributes_number"]
@@ -155,6 +156,30 @@ def pipeline_snapshots(runs: DataFrame) -> DataFrame:
         "traces_lag_ms": stream_lag_ms(traces, done)})
 
 
+def pipeline_events(snapshots: DataFrame, end_ns: int, error_class: str | None,
+                    generation: str | None, duration_ms: float, rows_processed: int) -> DataFrame:
+    """The pipeline snapshot event of each run; attributes without a value are left out."""
+    one = F.lit(1)
+    streams = ("logs", "traces", "hydration")
+    text = {"pipeline.state": F.col("pipeline_state"),
+            "scan.terminal_status": F.col("terminal_status"),
+            "pipeline.freshness": F.col("freshness")}
+    for s in streams:
+        text |= {f"{s}.query_status": F.col(f"{s}_query_status"),
+                 f"{s}.data_state": F.col(f"{s}_data_state")}
+    text |= {f"{s}.lag_state": F.col(f"{s}_lag_state") for s in streams[:2]}
+    text |= {"pipeline.error_class": F.lit(error_class).cast("string"),
+             "analysis.generation": F.lit(generation).cast("string")}
+    numbers = {"scan.duration_ms": F.lit(duration_ms), "rows.processed": F.lit(rows_processed)}
+    for s in streams[:2]:
+        numbers |= {f"{s}.latest_timestamp_ns": F.col(f"{s}_latest_ns"),
+                    f"{s}.lag_ms": F.col(f"{s}_lag_ms")}
+    made = derived_events(snapshots, F.lit(K.OPERATIONAL_SCOPE), F.col("run_id"), one, one,
+                          F.lit(K.PIPELINE_EVENT), F.lit(end_ns).cast("bigint"), text, numbers)
+    return made.withColumns({c: F.map_filter(c, lambda _, v: v.isNotNull()) for c in (
+        "attributes_string", "attributes_number")})
+
+
 # ---- outbox ------------------------------------------------------------------------
 
 def delivery_batch(outbox: DataFrame, now_ns: int, limit: int = 500) -> DataFrame:
@@ -207,19 +232,16 @@ def local_event_entities(outbox_events: DataFrame,
     return outbox_events.where(F.col("event_name") == name).select("entity_id").distinct()
 
 
-def reconciliation_ordinals(observations: DataFrame, prefix_length: int = 12) -> DataFrame:
+def reconciliation_ordinals(observations: DataFrame) -> DataFrame:
     """Rank of each observation in its run by (detector, project, first member).
 
     Within a detector the first member already decides the order of the member lists.
-    A run is ranked slice by slice along (detector, project, member prefix).
     """
     project = F.coalesce("project_identity_id", F.concat(F.lit("unresolved:"), "task_identity"))
-    keyed = observations.withColumn("_project", project)
-    return sliced(
-        keyed, ["scan_run_id"],
-        [F.col("detector_id"), F.col("_project"), F.substring("first_event_id", 1, prefix_length)],
-        ["detector_id", "_project", "first_event_id", "observation_id"],
-        running={"ordinal": F.lit(1)}).drop("_project")
+    return split_rank(
+        observations.withColumn("_project", project), ["scan_run_id"],
+        ["detector_id", "_project", "first_event_id", "observation_id"], "ordinal"
+    ).drop("_project")
 
 
 def reconciliation_plan(observations: DataFrame, failed_runs: DataFrame, projects: DataFrame,
@@ -242,8 +264,18 @@ def reconciliation_plan(observations: DataFrame, failed_runs: DataFrame, project
 
 def remote_presence(references: DataFrame, store: DataFrame,
                     service: str = K.DERIVED_SERVICE) -> DataFrame:
-    """Referenced events the store holds under the same id, name and time."""
-    held = store.where(F.col("resource")["service.name"] == service).select(
+    """Referenced events the store holds under the same id, name and time.
+
+    The store is read in the references' time range only; where it is laid out by time bucket,
+    buckets outside it are not opened.
+    """
+    first, last = references.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    if first is None:
+        return references
+    if "ts_bucket_start" in store.columns:
+        store = time_range(store, first, last, closed=True)
+    held = store.where((F.col("resource")["service.name"] == service) & F.col(
+        "timestamp_ns").between(first, last)).select(
         F.col("attributes_string")["event.id"].alias("event_id"),
         F.col("attributes_string")["event.name"].alias("event_name"), "timestamp_ns")
     return references.join(held, ["event_id", "event_name", "timestamp_ns"], "left_semi")

@@ -1,8 +1,9 @@
 """Tool calls to comparable operations.
 
-The common shapes (a JSON command array) never leave the JVM. Shell strings and
-nested generic arguments need a real JSON walk and POSIX quoting; they go through
-one Arrow UDF that only parses. Masking, positionals and metadata are expressions.
+The common shapes never leave the JVM: a JSON command array, and a JSON command text, which a
+fold over its characters splits as a POSIX shell would. Only calls of other shapes (nested
+generic arguments, very long texts) are sent to Python, by a branch of their own, where one
+Arrow UDF parses them. Masking, positionals and metadata are expressions.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ _PARSED_TYPE = T.StructType([
     T.StructField("target", T.StringType()),
     T.StructField("target_is_uri", T.BooleanType()),
 ])
-_PLAIN_ARRAY_LIMIT = 8192
+#: Longer arguments are parsed in Python, with the same result.
+_PLAIN_LIMIT = 8192
+_PLAIN_TEXT = (
+    r'\s*\{\s*"(?:argv|cmd|command)"\s*:\s*'
+    r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt])*+"\s*\}\s*'
+)
 _PLAIN_ARRAY = (
     r'\s*\{\s*"(?:argv|cmd|command)"\s*:\s*'
     r'\[\s*"[^"\\\x00-\x1f]*+"(?:\s*,\s*"[^"\\\x00-\x1f]*+")*+\s*\]\s*\}\s*'
@@ -163,9 +169,18 @@ def tail(argv: Column) -> Column:
 
 def is_plain_array(tool: Column, arguments: Column) -> Column:
     """Calls whose command is a JSON array of unescaped strings."""
+    return _plain(tool, arguments, _PLAIN_ARRAY)
+
+
+def is_plain_text(tool: Column, arguments: Column) -> Column:
+    """Calls whose command is one JSON string (without numeric escapes)."""
+    return _plain(tool, arguments, _PLAIN_TEXT)
+
+
+def _plain(tool: Column, arguments: Column, pattern: str) -> Column:
     return F.coalesce(
-        tool.isin(*K.SHELL_TOOLS) & (F.length(arguments) <= _PLAIN_ARRAY_LIMIT)
-        & C.full_match(arguments, _PLAIN_ARRAY), F.lit(False))
+        tool.isin(*K.SHELL_TOOLS) & (F.length(arguments) <= _PLAIN_LIMIT)
+        & C.full_match(arguments, pattern), F.lit(False))
 
 
 def plain_array(arguments: Column) -> Column:
@@ -174,15 +189,76 @@ def plain_array(arguments: Column) -> Column:
     return F.coalesce(decoded["argv"], decoded["cmd"], decoded["command"])
 
 
+def plain_text(arguments: Column) -> Column:
+    decoded = F.from_json(arguments, "struct<argv:string,cmd:string,command:string>")
+    return F.coalesce(decoded["argv"], decoded["cmd"], decoded["command"])
+
+
+def shell_words(text: Column) -> Column:
+    """Words of a command as a POSIX shell splits them; null if a quote or escape stays open.
+
+    One state machine over the characters: between words, in a word, in single or double quotes,
+    and after a backslash outside or inside double quotes.
+    """
+    start = F.struct(F.lit("between").alias("mode"), F.lit("").alias("word"),
+                     F.array().cast("array<string>").alias("words"))
+
+    def step(state: Column, char: Column) -> Column:
+        mode, word = state["mode"], state["word"]
+        free = mode.isin("between", "word")
+        ends = free & char.isin(" ", "\t", "\r", "\n")
+        next_mode = (
+            F.when(ends, F.lit("between"))
+            .when(free & (char == "'"), F.lit("single")).when(free & (char == '"'), F.lit("double"))
+            .when(free & (char == "\\"), F.lit("escaped"))
+            .when((mode == "single") & (char != "'"), mode)
+            .when((mode == "double") & (char == "\\"), F.lit("escaped in double"))
+            .when((mode == "double") & (char != '"'), mode)
+            .when(mode == "escaped in double", F.lit("double"))
+            .otherwise(F.lit("word")))
+        quoting = (
+            (free & char.isin("'", '"', "\\")) | ((mode == "single") & (char == "'"))
+            | ((mode == "double") & char.isin('"', "\\")))
+        kept = F.when(quoting | ends, F.lit("")).when(
+            (mode == "escaped in double") & ~char.isin('"', "\\"),
+            F.concat(F.lit("\\"), char)).otherwise(char)
+        return F.struct(
+            next_mode.alias("mode"),
+            F.when(ends, F.lit("")).otherwise(F.concat(word, kept)).alias("word"),
+            F.when(ends & (mode == "word"), F.concat(state["words"], F.array(word)))
+            .otherwise(state["words"]).alias("words"))
+
+    def finish(state: Column) -> Column:
+        return F.when(state["mode"] == "word", F.concat(
+            state["words"], F.array(state["word"]))).when(
+            state["mode"] == "between", state["words"])
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), start, step, finish)
+
+
+def _native_words(tool: Column, arguments: Column) -> Column:
+    """Argument vector of the shapes read without Python; null for no words."""
+    words = F.when(is_plain_array(tool, arguments), plain_array(arguments)).otherwise(
+        shell_words(plain_text(arguments)))
+    return F.when(F.size(words) > 0, words)
+
+
 def normalise_operations(calls: DataFrame, tool: str = "tool_name",
                          arguments: str = "arguments") -> DataFrame:
-    """Add ``operation`` to every call; null (row kept) when not comparable."""
+    """Add ``operation`` to every call; null (row kept) when not comparable.
+
+    ``calls`` is read by two branches, so it should be a stored table.
+    """
     name, text = F.col(tool), F.col(arguments)
-    plain = is_plain_array(name, text)
-    staged = calls.withColumns({
-        "_argv": F.when(plain, plain_array(text)),
-        "_parsed": _parse_calls(F.when(~plain, name), F.when(~plain, text)),
-    }).withColumn("_argv", F.transform(
+    native = is_plain_array(name, text) | is_plain_text(name, text) | name.isNull() | (
+        name == "") | text.isNull()
+    quick = calls.where(native).withColumns({
+        "_argv": F.when(name.isNotNull() & text.isNotNull() & (name != ""),
+                        _native_words(name, text)),
+        "_parsed": F.lit(None).cast(_PARSED_TYPE)})
+    parsed = calls.where(~native).withColumns({
+        "_argv": F.lit(None).cast("array<string>"), "_parsed": _parse_calls(name, text)})
+    staged = quick.unionByName(parsed).withColumn("_argv", F.transform(
         F.coalesce("_argv", "_parsed.argv"), lambda a: C.mask_volatile(a))
     ).withColumn("_exe", executable_name(F.get("_argv", F.lit(0)))
     ).withColumn("_found", positionals(tail(F.col("_argv")), F.col("_exe")))

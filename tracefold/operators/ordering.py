@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import constants as K
 from tracefold.functions.columns import SEP, floor_div
+from tracefold.sources.sinks import stored
 
 DEFAULT_SLICE_NS = K.NS_PER_SECOND
 HOT_PARTS = 10_000
@@ -94,6 +95,34 @@ def sliced(
     return rows.withColumns(out).drop(*names, *(f"_before_{n}" for n in running), "_carry")
 
 
+def split_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
+               rows_per_cell: int = HOT_ROWS) -> DataFrame:
+    """Exact 1-based rank of every row within its group, however large a group is.
+
+    The rows are dealt into ranges of (keys, order) by sampled splitters, so cells hold about as
+    many rows each even if all rows are one group. A cell ranks its own rows, and a group's
+    cells before it say where it starts. ``order`` has to tell all rows of a group apart.
+    """
+    cells = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-df.count() // rows_per_cell))
+    cut = stored(df.repartitionByRange(cells, *keys, *order).withColumn(
+        "_cell", F.spark_partition_id()), "cells")
+    # a window over cells, of which there are few even where all rows are one group
+    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_before", F.coalesce(F.sum("_rows").over(across), F.lit(0))).drop("_rows")
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    ranked = cut.withColumn("_nth", F.row_number().over(inside))
+    # a row a cell and group: small against the rows, and met by key equality with null keys
+    same = F.col("r._cell") == F.col("s._cell")
+    for key in keys:
+        same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
+    joined = ranked.alias("r").join(starts.alias("s"), same)
+    return joined.select("r.*", (F.col("s._before") + F.col("r._nth")).alias(name)).drop(
+        "_cell", "_nth")
+
+
 def blocked(df: DataFrame, position: str, size: int, ahead: int = 0) -> DataFrame:
     """Cut 1-based ``position`` into blocks of ``size`` rows plus ``ahead`` halo rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
 from tracefold.operators.events import derived_events
-from tracefold.operators.ordering import sliced, time_slice
+from tracefold.operators.ordering import split_rank
 
 PURPOSES = ("classification", "proposal")
 
@@ -46,8 +46,7 @@ def review_batches(candidates: DataFrame) -> DataFrame:
     session holds at most ten candidates, so its payload list is bounded; a session
     whose payload is too long keeps a ``fault`` instead of being dropped.
     """
-    ranked = sliced(candidates, ["purpose"], [time_slice("created_ns", K.NS_PER_DAY // 24)],
-                    ["created_ns", "candidate_id"], running={"nth": F.lit(1)})
+    ranked = split_rank(candidates, ["purpose"], ["created_ns", "candidate_id"], "nth")
     purpose = F.col("purpose")
     session = F.call_function("div", F.col("nth") - 1, _limit(purpose, 0))
     grouped = ranked.withColumn("session_no", session).groupBy("purpose", "session_no").agg(
@@ -170,9 +169,7 @@ TRIGGER = ["trigger_kind", "trigger_id", "trigger_version"]
 def activity_snapshots(triggers: DataFrame, totals: DataFrame, stored: DataFrame) -> DataFrame:
     """New snapshots, one per trigger not recorded yet, numbered after the stored ones."""
     new = triggers.dropDuplicates(TRIGGER).join(stored.select(*TRIGGER), TRIGGER, "left_anti")
-    ranked = sliced(new.withColumn("_all", F.lit(1)), ["_all"],
-                    [time_slice("created_ns", K.NS_PER_DAY // 24)], ["created_ns", *TRIGGER],
-                    running={"nth": F.lit(1)})
+    ranked = split_rank(new, [], ["created_ns", *TRIGGER], "nth")
     last = stored.agg(F.coalesce(F.max("entity_version"), F.lit(0)).alias("v")).scalar()
     numbered = ranked.withColumn("entity_version", (last + F.col("nth")).cast("bigint"))
     for column in totals.columns:
@@ -180,7 +177,19 @@ def activity_snapshots(triggers: DataFrame, totals: DataFrame, stored: DataFrame
     version = F.col("entity_version")
     return numbered.withColumn("id", C.event_id(
         F.lit(K.REVIEW_SCOPE), F.lit(K.REVIEW_ACTIVITY_ENTITY), version, version,
-        F.lit(K.REVIEW_ACTIVITY_EVENT))).drop("_all", "nth")
+        F.lit(K.REVIEW_ACTIVITY_EVENT))).drop("nth")
+
+
+def snapshot_events(snapshots: DataFrame) -> DataFrame:
+    """The derived event of each recorded activity snapshot."""
+    version = F.col("entity_version")
+    return derived_events(
+        snapshots, F.lit(K.REVIEW_SCOPE), F.lit(K.REVIEW_ACTIVITY_ENTITY), version, version,
+        F.lit(K.REVIEW_ACTIVITY_EVENT), F.col("created_ns"),
+        {"review.activity.availability": F.lit("available"),
+         "snapshot.trigger.kind": F.col("trigger_kind")},
+        {f"review.{p}.{what}_count": F.col(f"{p}_{what}_count")
+         for what in ("session", "result") for p in PURPOSES})
 
 
 def session_events(sessions: DataFrame, runs: DataFrame) -> DataFrame:

@@ -55,11 +55,39 @@ def active_generation(events: DataFrame) -> DataFrame:
     ).where("generation is not null and generation <> ''")
 
 
-def projections(events: DataFrame, start_ns: int, end_ns: int, *names: str) -> DataFrame:
-    """Window events of the active generation (a one-row semi join)."""
+#: Events of which only the latest counts, whatever its time.
+LATEST_EVENTS = (K.ACTIVATION_EVENT, K.REVIEW_ACTIVITY_EVENT)
+
+
+def latest_rows(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The newest activation marker and review snapshot, as event rows: at most one of each.
+
+    ``held`` is the table of the run before; merged with the new events of a run it says what
+    ``active_generation`` and ``review_activity`` would say over all events ever.
+    """
+    columns = ["event_id", "scope", "entity_id", "entity_version", "event_sequence",
+               "event_name", "timestamp_ns", "attributes_string", "attributes_number"]
+    rows = events.select(*columns)
+    if held is not None:
+        rows = rows.unionByName(held.select(*columns))
+    reviewed = F.col("event_name") == K.REVIEW_ACTIVITY_EVENT
+    valid = ~reviewed | _valid_review()
+    order = F.struct("entity_version", F.when(reviewed, F.col("event_sequence")).otherwise(
+        F.col("timestamp_ns")).alias("then"), "event_id")
+    return rows.where(F.col("event_name").isin(*LATEST_EVENTS) & valid).groupBy(
+        F.col("event_name").alias("_name")).agg(
+        F.max_by(F.struct(*columns), order).alias("row")).select("row.*")
+
+
+def projections(events: DataFrame, start_ns: int, end_ns: int, *names: str,
+                latest: DataFrame | None = None) -> DataFrame:
+    """Window events of the active generation (a one-row semi join).
+
+    ``latest`` (``latest_rows``) spares the search for the pointer in all events.
+    """
     rows = in_window(events, start_ns, end_ns).where(F.col("event_name").isin(*names))
     return rows.withColumn("generation", text("analysis.generation")).join(
-        active_generation(events), "generation", "left_semi")
+        active_generation(events if latest is None else latest), "generation", "left_semi")
 
 
 def pipeline_health(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -86,11 +114,12 @@ def _share(part: str, whole: str) -> Column:
     return F.round(100 * F.col(part) / F.greatest(F.col(whole), F.lit(1.0)), 2)
 
 
-def identity_coverage(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+def identity_coverage(events: DataFrame, start_ns: int, end_ns: int,
+                      latest: DataFrame | None = None) -> DataFrame:
     resolved = F.lit(True)
     for key in ("project.id", "project.name"):
         resolved = resolved & ~text(key).isin("", "unresolved")
-    entities = projections(events, start_ns, end_ns, K.OBSERVATION_EVENT).groupBy(
+    entities = projections(events, start_ns, end_ns, K.OBSERVATION_EVENT, latest=latest).groupBy(
         "entity_id").agg(F.bool_or(resolved).alias("resolved"))
     counted = entities.agg(F.count_if("resolved").cast("double").alias("resolved_observations"),
                            F.count(F.lit(1)).cast("double").alias("observed_observations"))
@@ -99,10 +128,11 @@ def identity_coverage(events: DataFrame, start_ns: int, end_ns: int) -> DataFram
         "resolved_observations", "observed_observations")
 
 
-def actionable_trends(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+def actionable_trends(events: DataFrame, start_ns: int, end_ns: int,
+                      latest: DataFrame | None = None) -> DataFrame:
     project = F.when(text("project.name") == "", F.lit("unresolved")).otherwise(
         text("project.name"))
-    return projections(events, start_ns, end_ns, *TREND_EVENTS).groupBy("entity_id").agg(
+    return projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("finding.category")).alias("category"),
         _latest(text("detector.id")).alias("detector"), _latest(project).alias("project"),
         _latest(number("occurrence.count")).alias("occurrences"),
@@ -112,23 +142,26 @@ def actionable_trends(events: DataFrame, start_ns: int, end_ns: int) -> DataFram
         "occurrences", _minute_text(F.col("_last")).alias("last_evaluated"))
 
 
-def trend_context(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    latest = projections(events, start_ns, end_ns, *TREND_EVENTS).groupBy("entity_id").agg(
+def trend_context(events: DataFrame, start_ns: int, end_ns: int,
+                  latest: DataFrame | None = None) -> DataFrame:
+    latest = projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("trend.state")).alias("trend_state"), F.max("timestamp_ns").alias("_last"))
     return latest.groupBy("trend_state").agg(
         F.date_trunc("minute", C.timestamp_of(F.max("_last"))).alias("ts"),
         F.count(F.lit(1)).cast("double").alias("value")).orderBy("trend_state")
 
 
-def signal_mix(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    return projections(events, start_ns, end_ns, K.OBSERVATION_EVENT).groupBy(
+def signal_mix(events: DataFrame, start_ns: int, end_ns: int,
+               latest: DataFrame | None = None) -> DataFrame:
+    return projections(events, start_ns, end_ns, K.OBSERVATION_EVENT, latest=latest).groupBy(
         F.date_trunc("day", C.timestamp_of(F.col("timestamp_ns"))).alias("ts"),
         text("detector.id").alias("detector")).agg(
         F.count_distinct("entity_id").cast("double").alias("value")).orderBy("ts", "detector")
 
 
-def detector_yield(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    latest = projections(events, start_ns, end_ns, *TREND_EVENTS).groupBy("entity_id").agg(
+def detector_yield(events: DataFrame, start_ns: int, end_ns: int,
+                   latest: DataFrame | None = None) -> DataFrame:
+    latest = projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("detector.id")).alias("detector"),
         _latest(text("trend.state")).alias("trend_state"))
     return latest.groupBy("detector").agg(
@@ -139,12 +172,14 @@ def detector_yield(events: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
         F.desc("actionable_yield_pct"), "detector")
 
 
+def _valid_review() -> Column:
+    return (text("review.activity.availability") == "available") & (
+        text("snapshot.trigger.kind") != "")
+
+
 def review_activity(events: DataFrame) -> DataFrame:
-    """Latest available review snapshot; not limited to a time window."""
-    rows = events.where(
-        (F.col("event_name") == K.REVIEW_ACTIVITY_EVENT)
-        & (text("review.activity.availability") == "available")
-        & (text("snapshot.trigger.kind") != ""))
+    """Latest available review snapshot, out of all events or of ``latest_rows``."""
+    rows = events.where((F.col("event_name") == K.REVIEW_ACTIVITY_EVENT) & _valid_review())
     order = F.struct("entity_version", "event_sequence", "event_id")
     counts = {
         f"{purpose}_{what}s": number(f"review.{purpose}.{what}_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +119,8 @@ def episode_events(placed: DataFrame) -> DataFrame:
 
 
 def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, start_ns: int,
-                end_ns: int, aliases: DataFrame | None = None, policy: str = "quarantine"
+                end_ns: int, aliases: DataFrame | None = None, policy: str = "quarantine",
+                entered: Callable[[str], None] = lambda phase: None
                 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Linked logs, placed traces, hydrated rows and rejects of one time range.
 
@@ -127,6 +130,7 @@ def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
 
     Malformed rows and rows whose identity holds whitespace go to the rejects (source,
     row_id, reject_reason); with ``policy`` "fail" the first one stops the job instead.
+    ``entered`` hears which source is being read.
     """
     def judged(parsed: DataFrame) -> DataFrame:
         return parsed if policy == "quarantine" else validate.enforced(parsed).withColumn(
@@ -144,15 +148,18 @@ def scan_window(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, sta
     if policy not in ("quarantine", "fail"):
         raise ValueError(f"unknown policy {policy!r}")
     logs = judged(validate.parse_logs(telemetry.scan_logs(raw_logs, start_ns, end_ns)))
+    entered("traces_query")
     traces = stored(placeable(
         validate.parse_traces(telemetry.scan_traces(raw_spans, start_ns, end_ns)),
         F.lit(None).cast("string"), F.col("trace_id")), "traces")
     placed = stored(place_traces(validate.accepted(traces), roots, aliases), "placed-traces")
+    entered("logs_query")
     # Hot traces are counted on the trace column alone, without decoding the maps.
     hot = hot_keys(telemetry.time_range(raw_logs, start_ns, end_ns), ["trace_id"])
     every = stored(placeable(link_logs(logs, placed, hot), F.col("conversation_id"), F.coalesce(
         "trace_id", "log_id")), "linked-logs")
     linked = validate.accepted(every)
+    entered("hydration")
     raw = telemetry.hydrate(raw_logs, shortlist(linked), start_ns, end_ns)
     hydration = validate.parse_hydration(raw)
     hydration = validate.accepted(hydration) if policy == "quarantine" else validate.enforced(
