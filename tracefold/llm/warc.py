@@ -9,7 +9,7 @@ Revisit records of the given archive are joined to their originals first and fol
 these become revisits themselves. The new archive has fresh record ids, dates and digests.
 
 A file is read in order by one task and never held: gzip files are not split, so the reader
-sees lines (parted by CRLF) and needs the memory of one record. Only Spark reads and writes
+sees their pieces in turn and needs the memory of one record. Only Spark reads and writes
 the files, so they may lie in any store it knows.
 
 Edge cases: a null payload is empty; equal empty payloads are equal payloads. A null or blank
@@ -37,6 +37,8 @@ from tracefold.operators.ordering import salted_join
 from tracefold.sources.sinks import new_path, stored
 
 VERSION = b"WARC/1.1"
+#: What ends a header and, once more, a record; files are read in pieces between these.
+CUT = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-31T00:00:00Z"
 #: Records of one file at most; a file is one task when read.
@@ -106,43 +108,53 @@ def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORD
 
 
 class _Reader:
-    """Records out of the lines of files, one line at a time."""
+    """Records out of the pieces of files, as their bytes come in."""
 
     def __init__(self, keep_payload: bool) -> None:
         self.keep_payload = keep_payload
-        self.file: str | None = None
-        self.head: dict[str, str] | None = None
-        self.lines: list[bytes] = []
-        self.have = self.need = -1
+        self.file: int | None = None
+        self.pieces: list[bytes] = []
+        self.size = 0
+        self.head: dict[str, str] = {}
+        self.block_at = self.need = -1
 
-    def line(self, file: str, line: bytes) -> dict | None:
+    def feed(self, file: int, piece: bytes) -> Iterator[dict]:
         if file != self.file:
             self.done()
             self.file = file
-        if self.head is None:
-            if not line:
-                return None  # between records
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"{file}: no WARC record starts with {line[:80]!r}")
-            self.head, self.need = {}, -1
-            return None
-        if self.need < 0:
-            if line:
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                self.head[name.strip().lower()] = value.strip()
-                return None
-            self.need, self.have, self.lines = int(self.head["content-length"]), -2, []
-            return None
-        self.lines.append(line)
-        self.have += len(line) + 2
-        if self.have < self.need:
-            return None
-        if self.have > self.need:
-            raise ValueError(f"{file}: record {self.head.get('warc-record-id')} is longer than "
-                             "its Content-Length")
-        head, block = self.head, b"\r\n".join(self.lines)
-        self.head, self.lines = None, []
-        return self.record(head, block)
+        self.pieces += [piece, CUT]
+        self.size += len(piece) + len(CUT)
+        while self.size:
+            if self.need < 0:
+                if not self.begin():
+                    return
+            if self.size < self.need:
+                return
+            data = b"".join(self.pieces)
+            whole, rest = data[:self.need], data[self.need:]
+            if not whole.endswith(CUT):
+                raise ValueError(f"record {self.head.get('warc-record-id')} is longer than its "
+                                 "Content-Length")
+            self.pieces, self.size, self.need = [rest] if rest else [], len(rest), -1
+            row = self.record(self.head, whole[self.block_at:-len(CUT)])
+            if row is not None:
+                yield row
+
+    def begin(self) -> bool:
+        """Read the next record's header, if its bytes are there."""
+        data = b"".join(self.pieces).lstrip(b"\r\n")
+        self.pieces, self.size = [data], len(data)
+        at = data.find(CUT)
+        if at < 0:
+            return False
+        version, *lines = data[:at].decode("utf-8", "replace").split("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError(f"no WARC record starts with {version[:80]!r}")
+        parted = (line.partition(":") for line in lines)
+        self.head = {name.strip().lower(): value.strip() for name, _, value in parted}
+        self.block_at = at + len(CUT)
+        self.need = self.block_at + int(self.head["content-length"]) + len(CUT)
+        return True
 
     def record(self, head: dict[str, str], block: bytes) -> dict | None:
         kind = head.get("warc-type")
@@ -163,7 +175,7 @@ class _Reader:
         if kind == "response":
             found = digest(payload)
             if named and named != found:
-                raise ValueError(f"{self.file}: record {row['record_id']} does not fit its digest")
+                raise ValueError(f"record {row['record_id']} does not fit its digest")
             row |= {"payload_bytes": len(payload), "payload_digest": found,
                     "sha256": hashlib.sha256(payload).hexdigest()}
             if self.keep_payload:
@@ -171,8 +183,9 @@ class _Reader:
         return row
 
     def done(self) -> None:
-        if self.head is not None:
-            raise ValueError(f"{self.file}: the last record is cut short")
+        if b"".join(self.pieces).strip(b"\r\n"):
+            raise ValueError(f"record {self.head.get('warc-record-id')}, the last of its file, is "
+                             "cut short")
 
 
 def read_archive(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
@@ -186,24 +199,22 @@ def read_archive(spark: SparkSession, path: str, keep_payload: bool = False) ->
     def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, rows = _Reader(keep_payload), []
         for part in parts:
-            for file, line in zip(part["file"], part["line"], strict=True):
-                row = reader.line(file, line)
-                if row is not None:
-                    rows.append(row)
-                    if len(rows) >= HANDED_ON:
-                        yield table(rows)
-                        rows = []
+            for file, piece in zip(part["file"], part["piece"], strict=True):
+                rows.extend(reader.feed(file, piece))
+                if len(rows) >= HANDED_ON:
+                    yield table(rows)
+                    rows = []
         reader.done()
         yield table(rows)
 
     try:
-        lines = spark.read.option("lineSep", "\r\n").text(path)
+        pieces = spark.read.option("lineSep", CUT.decode()).text(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], HEADS)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast(
-        "binary").alias("line")).mapInPandas(parsed, HEADS)
+    return pieces.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast(
+        "binary").alias("piece")).mapInPandas(parsed, HEADS)
 
 
 def fresh_id(old: Column) -> Column:
