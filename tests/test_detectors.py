@@ -101,6 +101,45 @@ def test_loop_defaults_match_brute_force(spark):
     assert found_loops(D.tool_loop(events)) == expected_loops(events, tasks, brute_loop)
 
 
+def test_long_loops_match_brute_force(spark):
+    """Cycles of 9 to 40 operations, in tasks long enough for several widths of blocks."""
+    rng = random.Random(4)
+    tasks = {}
+    for i in range(8):
+        size = rng.randint(9, 40)
+        cycle = [rng.choice("abcd") for _ in range(size)]
+        noise = [rng.choice("ab") for _ in range(rng.randint(0, 30))]
+        tasks[f"t{i}"] = noise + cycle * 2 + cycle[:rng.randint(0, size)] + noise[::-1]
+    tasks["runs"] = [k for n in (30, 17, 29, 30, 31) for k in "a" * n + "b"]
+    tasks["nested"] = (list("ab" * 12 + "c") * 3)[:70]
+    events = loop_events(spark, tasks).cache()
+    assert found_loops(D.tool_loop(events, max_cycle=4, block=16)) == expected_loops(
+        events, tasks, brute_loop)
+
+
+def test_loop_candidates_grow_with_the_operations(spark):
+    """Runs of one operation, broken at random places: matching blocks stay linear in them."""
+    rng = random.Random(6)
+    counts = []
+    for n in (1000, 2000, 4000):
+        keys = []
+        while len(keys) < n:
+            keys += ["a"] * rng.randint(20, 60) + [rng.choice("bcd")]
+        grams = {1: spark.createDataFrame(
+            [("p", "t", n, i + 1, ord(k)) for i, k in enumerate(keys[:n])],
+            "project_id string, task_id string, n_ops long, pos long, gram long")}
+        width, low, total = 1, 32, 0
+        while n >= 2 * (low + 1):
+            while 16 * width <= low:
+                grams[2 * width] = D._next_grams(grams[width], width, 4096).cache()
+                width *= 2
+            total += D.anchor_matches(grams[width], low, width).count()
+            low *= 2
+        counts.append(total)
+    assert counts[1] < 2.8 * counts[0] and counts[2] < 2.8 * counts[1]
+    assert counts[2] < 40 * 4000
+
+
 def test_literal_loop_rule(spark):
     tasks = task_sequences(3, 30, 16, "ab")
     tasks |= {"nine": list("abcxbcabc"), "odd": list("axa"), "fifteen": list("abcdefabcdeabc")}

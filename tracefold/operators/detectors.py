@@ -206,50 +206,90 @@ def _lag_runs(ranked: DataFrame, max_cycle: int, block: int) -> DataFrame:
     return _stretches(same, block)
 
 
-def _grams(ranked: DataFrame, width: int, block: int) -> DataFrame:
-    """Hash of the ``width`` operations starting at each position, null near the end."""
-    cut = blocked(ranked.select(*TASK, "pos", "op_key", "n_ops"), "pos", block, ahead=width)
-    ahead = Window.partitionBy(*TASK, "block").orderBy("pos")
-    parts = [F.col("op_key"), *(F.lead("op_key", n).over(ahead) for n in range(1, width))]
-    return cut.withColumn("gram", F.when(
-        F.col("pos") + width - 1 <= F.col("n_ops"), F.xxhash64(*parts))).where("not halo").drop(
-        "block", "halo")
-
-
-def _long_lag_runs(ops: DataFrame, runs: DataFrame, low: int, width: int,
-                   block: int) -> DataFrame:
-    """Runs for lags in (low, 2 * low], from sparse anchors instead of all pairs.
-
-    A run of at least ``low`` + 1 positions covers an anchor (every low / 2 positions)
-    together with the ``width`` operations after it, so equal hashes of those are
-    enough to find every candidate lag. Anchors inside a known run whose own lag
-    divides the candidate are skipped: that shorter cycle is at least as long there.
+def _next_grams(grams: DataFrame, width: int, block: int) -> DataFrame:
+    """Hashes of 2 * ``width`` operations from those of ``width``: a position's own and the one
+    ``width`` places later; positions too near the end of their task fall out."""
+    cut = blocked(grams, "pos", max(block, 2 * width), ahead=width)
+    later = F.lead("gram", width).over(Window.partitionBy(*TASK, "block").orderBy("pos"))
+    return cut.withColumn("_later", later).where("not halo and _later is not null").select(
+        *TASK, "n_ops", "pos", F.xxhash64("gram", "_later").alias("gram"))
+
+
+def anchor_matches(grams: DataFrame, low: int, step: int) -> DataFrame:
+    """(task, at, lag): blocks of ``step`` operations at every ``step``-th position that come
+    again ``lag`` places later, for lags in (low, 2 * low]. ``grams`` hashes ``step`` operations.
     """
-    long_enough = ops.where(F.col("n_ops") >= 2 * (low + 1))
-    anchors = long_enough.where(F.pmod(F.col("pos") - 1, F.lit(max(1, low // 2))) == 0).select(
+    long_enough = grams.where(F.col("n_ops") >= 2 * (low + 1))
+    anchors = long_enough.where(F.pmod(F.col("pos") - 1, F.lit(step)) == 0).select(
         *TASK, "gram", F.col("pos").alias("at"), F.explode(F.sequence(
             C.floor_div(F.col("pos") + low, low), C.floor_div(F.col("pos") + 2 * low, low))
         ).alias("near"))
     later = long_enough.select(*TASK, "gram", F.col("pos").alias("again"),
                                C.floor_div(F.col("pos"), low).alias("near"))
-    pairs = anchors.join(later, [*TASK, "gram", "near"]).withColumn(
-        "lag", F.col("again") - F.col("at")).where(F.col("lag").between(low + 1, 2 * low))
+    return anchors.join(later, [*TASK, "gram", "near"]).select(
+        *TASK, "at", (F.col("again") - F.col("at")).alias("lag")).where(
+        F.col("lag").between(low + 1, 2 * low))
+
+
+def _lifted(found: DataFrame, grams: dict[int, DataFrame], step: int) -> DataFrame:
+    """Stretches grown to where they end, by halving widths; each is short of its end by less
+    than ``step`` places on either side. What can no longer reach its lag is dropped on the way.
+    """
+    def reachable(df: DataFrame, slack: int) -> DataFrame:
+        return df.where(F.col("stop_pos") - F.col("first_pos") + 1 + slack >= F.col("lag"))
+
+    found, width = reachable(found, 2 * (step - 1)), step // 2
+    while width:
+        found = stored(found.withColumn("_id", F.monotonically_increasing_id()), "loop-stretches")
+        right, left = F.col("stop_pos") + 1, F.col("first_pos") - width
+        asked = found.select(*TASK, "_id", F.explode(F.array(*(
+            F.struct(F.lit(side).alias("side"), place.alias("pos")) for side, place in (
+                ("right", right), ("right", right + F.col("lag")),
+                ("left", left), ("left", left + F.col("lag")))))).alias("p")
+        ).select(*TASK, "_id", "p.*")
+        same = asked.join(grams[width].select(*TASK, "pos", "gram"), [*TASK, "pos"]).groupBy(
+            "_id").agg(*(((F.count_if(F.col("side") == side) == 2) & (
+                F.min(F.when(F.col("side") == side, F.col("gram")))
+                == F.max(F.when(F.col("side") == side, F.col("gram"))))).alias(f"_{side}")
+                for side in ("left", "right")))
+        moved = found.join(same, "_id", "left")
+        found = reachable(moved.select(
+            *TASK, "lag",
+            (F.col("first_pos") - F.when(F.col("_left"), width).otherwise(0)).alias("first_pos"),
+            (F.col("stop_pos") + F.when(F.col("_right"), width).otherwise(0)).alias("stop_pos")),
+            2 * (width - 1))
+        width //= 2
+    return reachable(found, 0)
+
+
+def _long_lag_runs(grams: dict[int, DataFrame], runs: DataFrame, low: int, step: int,
+                   block: int) -> DataFrame:
+    """Runs of at least ``lag`` positions for lags in (low, 2 * low].
+
+    Such a run covers seven blocks of ``step`` (an eighth of ``low``) or more in a row, so
+    matching blocks are joined into stretches, and the hashes of shorter and shorter blocks say
+    where a stretch ends. No position of a task is compared on its own. Stretches inside a known
+    run whose own lag divides theirs are skipped: that shorter cycle is at least as long there.
+    """
+    pairs = anchor_matches(grams[step], low, step)
+    index = C.floor_div(F.col("at") - 1, step)
+    joined = _stretches(pairs.select(
+        *TASK, "lag", C.floor_div(index, block).alias("block"), (index + 1).alias("pos")), block)
+    found = joined.select(
+        *TASK, "lag", ((F.col("first_pos") - 1) * step + 1).alias("first_pos"),
+        (F.col("stop_pos") * step).cast("bigint").alias("stop_pos"))
     known = runs.where(F.col("stop_pos") - F.col("first_pos") + 1 >= low).select(
         *TASK, F.col("lag").alias("period"), "first_pos", "stop_pos", F.explode(F.sequence(
             C.floor_div(F.col("first_pos"), block), C.floor_div(F.col("stop_pos"), block))
         ).alias("area"))
-    p, k = pairs.withColumn("area", C.floor_div(F.col("at"), block)).alias("p"), known.alias("k")
+    f = found.withColumn("area", C.floor_div(F.col("first_pos"), block)).alias("f")
+    k = known.alias("k")
     inside = (
-        (F.col("p.lag") % F.col("k.period") == 0) & (F.col("k.first_pos") <= F.col("p.at"))
-        & (F.col("p.again") + width - 1 <= F.col("k.stop_pos") + F.col("k.period")))
-    same_area = [F.col(f"p.{c}") == F.col(f"k.{c}") for c in (*TASK, "area")]
-    open_lags = p.join(k, [*same_area, inside], "left_anti").select(*TASK, "lag").distinct()
-    left = salted_join(long_enough.select(*TASK, "pos", "op_key"), open_lags, TASK,
-                       F.col("pos"), "inner").withColumn("target", F.col("pos") + F.col("lag"))
-    right = long_enough.select(*TASK, F.col("pos").alias("target"), "op_key")
-    same = left.join(right, [*TASK, "target", "op_key"]).select(
-        *TASK, C.floor_div(F.col("pos") - 1, block).alias("block"), "pos", "lag")
-    return _stretches(same, block)
+        (F.col("f.lag") % F.col("k.period") == 0)
+        & (F.col("k.first_pos") <= F.col("f.first_pos"))
+        & (F.col("f.stop_pos") + F.col("f.lag") <= F.col("k.stop_pos") + F.col("k.period")))
+    same_area = [F.col(f"f.{c}") == F.col(f"k.{c}") for c in (*TASK, "area")]
+    return _lifted(f.join(k, [*same_area, inside], "left_anti").drop("area"), grams, step)
 
 
 def _longest_task(ops: DataFrame) -> int:
@@ -276,10 +316,14 @@ def tool_loop(events: DataFrame, slice_ns: int = DEFAULT_SLICE_NS, verified: boo
         runs = _lag_runs(ranked, max_cycle, block)
         longest, low = _longest_task(ops), max_cycle
         if longest >= 2 * (low + 1):
-            width = max(1, min(16, max_cycle // 2))
-            grams = stored(_grams(ranked, width, block), "loop-grams")
-            runs = stored(runs, "loop-runs")
+            runs, width = stored(runs, "loop-runs"), 1
+            grams = {1: stored(ranked.select(*TASK, "n_ops", "pos", F.xxhash64("op_key").alias(
+                "gram")), "loop-grams")}
             while longest >= 2 * (low + 1):
+                while 16 * width <= low:  # blocks of an eighth of the cycle length or less
+                    grams[2 * width] = stored(_next_grams(grams[width], width, block),
+                                              "loop-grams")
+                    width *= 2
                 runs = stored(runs.unionByName(
                     _long_lag_runs(grams, runs, low, width, block)), "loop-runs")
                 low *= 2
