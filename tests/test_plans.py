@@ -213,6 +213,55 @@ def test_every_ending_is_recorded(spark):
     assert panels.projections(events_of, 0, views.NOW_NS, K.OBSERVATION_EVENT).count() > 0
 
 
+def test_delivery_rounds_send_each_event_once(spark, monkeypatch):
+    store = sinks.new_path(spark, "store")
+    made = events.derived_events(
+        spark.range(30), F.lit("s"), F.col("id").cast("string"), F.lit(1), F.lit(1), F.lit("n"),
+        F.lit(5).cast("bigint"), {"k": F.lit("v")})
+    monkeypatch.setattr(run, "ROUND_EVENTS", 8)
+    sinks.write_results({"events": made}, store, "r1", 1, {"events": ("timestamp_ns", "event_id")})
+    sent = []
+
+    def half(batch):
+        ids = sorted(r.event_id for r in batch.select("event_id").collect())
+        sent.extend(ids)
+        return spark.createDataFrame([(e, i % 2 == 0) for i, e in enumerate(ids)],
+                                     "event_id string, delivered boolean")
+
+    with sinks.scratch(spark):
+        box, pending = run.deliver_pending(spark, store, half, 10**9)
+        assert len(sent) == len(set(sent)) == 30 and pending == 15
+        box.write.parquet(f"{store}/outbox/attempt=a-1")
+    journal.start(spark, store, "a-1", "r1", 0, 0, 1)
+    journal.end(spark, store, "a-1", "succeeded", 2)
+    first = set(sent)
+    sent.clear()
+    with sinks.scratch(spark):
+        run.deliver_pending(spark, store, half, 10**9)
+        assert not sent  # the failed ones wait, the delivered ones stay delivered
+        run.deliver_pending(spark, store, half, 10**12)
+    assert len(sent) == len(set(sent)) == 15 and set(sent) < first
+
+    def broken(batch):
+        raise OSError("no route")
+
+    with sinks.scratch(spark), pytest.raises(OSError):
+        run.deliver_pending(spark, store, broken, 10**13)
+
+
+def test_scratch_tables_go_when_their_use_ends(spark):
+    with sinks.scratch(spark):
+        held = sinks.stored(spark.range(5), "scratch")
+        paths = held.inputFiles()
+        assert held.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(paths[0]).count()
+    kept = sinks.stored(spark.range(5), "kept")
+    with sinks.scratch(spark):
+        pass
+    assert kept.count() == 5
+
+
 def test_interrupted_attempts_are_closed_once(spark):
     store = sinks.new_path(spark, "store")
     for attempt, at in (("a-1", 0), ("a-2", 0), ("a-3", journal.LEASE_NS)):

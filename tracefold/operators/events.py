@@ -157,7 +157,8 @@ def pipeline_snapshots(runs: DataFrame) -> DataFrame:
 
 
 def pipeline_events(snapshots: DataFrame, end_ns: int, error_class: str | None,
-                    generation: str | None, duration_ms: float, rows_processed: int) -> DataFrame:
+                    generation: str | None, duration_ms: float, rows_processed: int,
+                    pending: int = 0) -> DataFrame:
     """The pipeline snapshot event of each run; attributes without a value are left out."""
     one = F.lit(1)
     streams = ("logs", "traces", "hydration")
@@ -170,7 +171,8 @@ def pipeline_events(snapshots: DataFrame, end_ns: int, error_class: str | None,
     text |= {f"{s}.lag_state": F.col(f"{s}_lag_state") for s in streams[:2]}
     text |= {"pipeline.error_class": F.lit(error_class).cast("string"),
              "analysis.generation": F.lit(generation).cast("string")}
-    numbers = {"scan.duration_ms": F.lit(duration_ms), "rows.processed": F.lit(rows_processed)}
+    numbers = {"scan.duration_ms": F.lit(duration_ms), "rows.processed": F.lit(rows_processed),
+               "outbox.pending_after_drain_excluding_terminal_event": F.lit(pending)}
     for s in streams[:2]:
         numbers |= {f"{s}.latest_timestamp_ns": F.col(f"{s}_latest_ns"),
                     f"{s}.lag_ms": F.col(f"{s}_lag_ms")}

@@ -22,7 +22,7 @@ from tracefold.operators import events as E
 from tracefold.operators import generations, identity, observations, review
 from tracefold.plans import panels, scan
 from tracefold.sources import contract as source_contract
-from tracefold.sources import journal, sinks
+from tracefold.sources import files, journal, sinks
 
 SOURCE = "logs"
 #: Tables laid out by the day of a time, in buckets of a key.
@@ -114,8 +114,8 @@ def _state(rows: DataFrame, latest: str | None = None) -> dict:
 
 def _snapshots(spark: SparkSession, store: str, attempt: str, end_ns: int, status: str,
                error_class: str | None, progress: Progress, started_ns: int, finished_ns: int,
-               generation: str | None, reviews: tuple[DataFrame, DataFrame] | None
-               ) -> tuple[DataFrame, DataFrame | None]:
+               generation: str | None, reviews: tuple[DataFrame, DataFrame] | None,
+               pending: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """The pipeline event of an attempt, and its review snapshot if there are reviews."""
     row = {"run_id": attempt, "terminal_status": status, "finished_ns": finished_ns}
     for name in _PHASES:
@@ -126,7 +126,7 @@ def _snapshots(spark: SparkSession, store: str, attempt: str, end_ns: int, statu
     shot = E.pipeline_snapshots(spark.createDataFrame([tuple(row[n] for n in names)], schema))
     processed = progress.logs.get("rows", 0) + progress.traces.get("rows", 0)
     made = E.pipeline_events(shot, end_ns, error_class, generation,
-                             (finished_ns - started_ns) / 1e6, processed)
+                             (finished_ns - started_ns) / 1e6, processed, pending)
     if reviews is None:
         return made, None
     held = spark.createDataFrame([], "trigger_kind string, trigger_id string, "
@@ -180,6 +180,60 @@ def read_events(spark: SparkSession, store: str) -> DataFrame | None:
         F.col("timestamp_ns"), 1800 * K.NS_PER_SECOND) * 1800)
 
 
+# ---- delivery ---------------------------------------------------------------------------
+
+#: Rounds of one run, and events of one round.
+ROUNDS, ROUND_EVENTS = 20, 500
+_STATE = ["status", "attempt_count", "next_attempt_ns", "created_ns", "delivered_ns"]
+
+
+def outbox(spark: SparkSession, store: str, now_ns: int) -> DataFrame:
+    """Events that still have to be delivered, with their delivery state.
+
+    The last attempt that ended left what was pending then; events of runs published since, and
+    snapshots of attempts that ended since, are added as due.
+    """
+    ended = journal.runs(spark, store)
+    last = None
+    if ended is not None:
+        held = {n.removeprefix("attempt=") for n in files.names(spark, f"{store}/outbox")}
+        rows = ended.where("completed_ns is not null").select("id", "completed_ns").orderBy(
+            F.desc("completed_ns"), F.desc("id"))
+        last = next((r["id"] for r in rows.toLocalIterator() if r["id"] in held), None)
+    fresh = read_events(spark, store).select(*E.EVENT_COLUMNS).withColumns({
+        "status": F.lit("pending"), "attempt_count": F.lit(0),
+        "next_attempt_ns": F.lit(0).cast("bigint"), "created_ns": F.lit(now_ns).cast("bigint"),
+        "delivered_ns": F.lit(None).cast("bigint")})
+    if last is None:
+        return fresh
+    known = spark.read.parquet(f"{store}/outbox/attempt={last}")
+    # delivered events stay as bare ids, so that an event is never sent twice
+    return known.unionByName(fresh.join(known.select("event_id"), "event_id", "left_anti"))
+
+
+def deliver_pending(spark: SparkSession, store: str, deliver: Callable[[DataFrame], DataFrame],
+                    now_ns: int) -> tuple[DataFrame, int]:
+    """Send what is due, round by round, until nothing is due or nothing arrives.
+
+    Returns the outbox afterwards (delivered events without their content) and how many are
+    pending in it.
+    """
+    box = sinks.stored(outbox(spark, store, now_ns), "outbox")
+    for _ in range(ROUNDS):
+        batch = sinks.stored(E.delivery_batch(box, now_ns, ROUND_EVENTS), "delivery")
+        if batch.isEmpty():
+            break
+        tried = sinks.stored(deliver(batch).select("event_id", "delivered"), "delivered")
+        state = E.retry_backoff(box, tried, now_ns).select("event_id", *_STATE)
+        box = sinks.stored(box.drop(*_STATE).join(state, "event_id"), "outbox")
+        if tried.where("delivered").isEmpty():
+            break
+    done = F.col("status") == "delivered"
+    content = ("attributes_string", "attributes_number")
+    bare = box.withColumns({c: F.when(~done, F.col(c)) for c in content})
+    return bare, box.where(~done).count()
+
+
 # ---- the run ---------------------------------------------------------------------------
 
 def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store: str,
@@ -188,6 +242,7 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
              verified: bool = True, policy: str = "quarantine",
              contract: tuple[DataFrame, DataFrame] | None = None,
              reviews: tuple[DataFrame, DataFrame] | None = None,
+             deliver: Callable[[DataFrame], DataFrame] | None = None,
              clock: Callable[[], int] = time.time_ns) -> str | None:
     """Detect, merge with the published facts and publish this run's tables.
 
@@ -197,12 +252,25 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
     None takes the active one; without one the run ends as failed and projects nothing.
     ``verified`` is the rule of ``tool_loop``; ``policy`` says whether rejected rows go to the
     table ``rejects`` or fail the run. ``contract`` is (required columns, approved
-    fingerprints), ``reviews`` (sessions, results) of the review store.
+    fingerprints), ``reviews`` (sessions, results) of the review store. ``deliver`` sends a
+    batch of events and says which arrived (event_id, delivered); see ``deliver_pending``.
     """
     spark = raw_logs.sparkSession
     if sinks.is_published(spark, store, run_id):
         return None
     scan.utc_session(spark)
+    with sinks.scratch(spark):
+        return _run(raw_logs, raw_spans, roots, store, run_id, end_ns, generation, aliases,
+                    extras, verified, policy, contract, reviews, deliver, clock)
+
+
+def _run(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store: str, run_id: str,
+         end_ns: int, generation: str | None, aliases: DataFrame | None,
+         extras: DataFrame | None, verified: bool, policy: str,
+         contract: tuple[DataFrame, DataFrame] | None,
+         reviews: tuple[DataFrame, DataFrame] | None,
+         deliver: Callable[[DataFrame], DataFrame] | None, clock: Callable[[], int]) -> str:
+    spark = raw_logs.sparkSession
     started_ns = clock()
     journal.recover(spark, store, started_ns)
     attempt, progress = sinks.new_attempt(), Progress()
@@ -228,9 +296,18 @@ def run_scan(raw_logs: DataFrame, raw_spans: DataFrame, roots: DataFrame, store:
     except BaseException as error:
         failure, status, generation = error, "failed", None
         error_class = getattr(error, "error_class", progress.phase)
+    pending, rest = 0, None
+    if deliver is not None:
+        try:
+            rest, pending = deliver_pending(spark, store, deliver, clock())
+        except BaseException as error:
+            failure, status, generation, error_class = error, "failed", None, "telemetry"
     finished_ns = clock()
     shots, review_shots = _snapshots(spark, store, attempt, end_ns, status, error_class, progress,
-                                     started_ns, finished_ns, generation, reviews)
+                                     started_ns, finished_ns, generation, reviews,
+                                     pending)
+    if rest is not None:
+        rest.write.parquet(f"{store}/outbox/attempt={attempt}")
     shots = sinks.stored(shots, "snapshots")
     latest = sinks.stored(panels.latest_rows(shots.unionByName(_markers(spark, store)),
                                              read_latest_rows(spark, store)), "latest")

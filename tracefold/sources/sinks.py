@@ -15,7 +15,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -32,6 +34,7 @@ DAY, BUCKET = "of_day", "of_bucket"
 BUCKETS = 16
 _MANIFEST = "run_id string, run_order long, attempt string, days map<string,array<string>>"
 _LOCAL_WORK: dict[str, str] = {}
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -61,10 +64,27 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside, at the end: nothing read from them may
+    be used afterwards."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            files.remove(spark, path)
+
+
 def _table(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
     """The parquet table at the paths, or None while nothing has been written there."""
     reader = spark.read if base is None else spark.read.option("basePath", base)
