@@ -189,3 +189,27 @@ def test_pipeline_edge_tables(spark, tmp_path):
     assert set(rows["doc_id"].dropna()) == {4, 5, 6, 7, 8}
     assert set(rows.columns) >= {"sequence_id", "offset", "ids_crc32"}
     assert packing.SEQUENCE == 1024
+
+
+def test_extra_columns_pass_all_stages_unchanged(spark, tmp_path):
+    """Names that the operators use themselves, and one that a stage's own renaming uses."""
+    from pyspark.sql import functions as F
+
+    for name in ("documents", "labels", "benchmark"):
+        T.save(spark, C.table(spark, SF, name), tmp_path, name)
+    names = ["keep", "score", "predicted", "_first", "_digest", "_key", "label", "node",
+             "extra column 1", "found"]
+    docs = C.table(spark, SF, "documents")
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).select("doc_id").collect()}
+        rows = stage(spark, more, str(tmp_path))
+        assert rows.columns == more.columns, name
+        assert {r["doc_id"] for r in rows.collect()} == plain
+        wrong = [F.col(f"`{n}`") != F.concat(F.lit(n), F.col("doc_id").cast("string"))
+                 for n in names]
+        bad = wrong[0]
+        for w in wrong[1:]:
+            bad = bad | w
+        assert rows.where(bad).isEmpty(), name
+    assert corpus_pipeline.packed(spark, more, str(tmp_path)).count() > 0
