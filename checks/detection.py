@@ -49,6 +49,14 @@ def token_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
         events, detectors.project_token_baselines(events)).select(*_SHOWN)
 
 
+def hot_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with a third of them in one task of one project, for timing skew."""
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0
+    return views.once(spark, sf_dir, "events_with_hot_task", lambda s, d: views.events(
+        s, d).withColumns({c: F.when(third, F.lit("hot")).otherwise(F.col(c))
+                           for c in ("project_id", "task_id")}))
+
+
 _EVENT_FIELDS = [
     "event_id", "timestamp_ns", "project_id", "task_id", "counts_as_distinct_task", "event_name",
     "op_kind", "op_executable", "op_subcommand", "op_target", "op_exit_code", "success_string",

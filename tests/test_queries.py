@@ -14,8 +14,11 @@ SAMPLE = [
     "detector_events", "observation_records", "observation_members", "quality_gate_bypass",
     "shortlist", "session_enrichment", "evidence_rows", "findings_upsert", "trend_states",
     "reconciliation_plan", "generation_projection", "actionable_trends", "detector_yield",
-    "review_batches", "validate_results", "invalid_transitions", "slot_coverage",
+    "validate_results", "invalid_transitions", "slot_coverage",
     "domain_audit", "application_change", "stream_events", "stream_sequence_detectors",
+    "stream_trends", "append_new_history", "latest_rows", "membership_key", "shell_words",
+    "contract_fingerprint", "contract_stop", "write_results", "emit_events", "remote_presence",
+    "review_batches", "activity_snapshots", "tool_loop",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("TRACEFOLD_ALL") else SAMPLE
 
