@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from checks import views
+from checks import detection, views  # noqa: F401
 from checks.registry import QUERIES
 from tracefold.functions import columns as C
 from tracefold.functions import constants as K
