@@ -119,8 +119,9 @@ def identity_coverage(events: DataFrame, start_ns: int, end_ns: int,
     resolved = F.lit(True)
     for key in ("project.id", "project.name"):
         resolved = resolved & ~text(key).isin("", "unresolved")
-    entities = projections(events, start_ns, end_ns, K.OBSERVATION_EVENT, latest=latest).groupBy(
-        "entity_id").agg(F.bool_or(resolved).alias("resolved"))
+    entities = projections(
+        events, start_ns, end_ns, K.OBSERVATION_EVENT, latest=latest).groupBy("entity_id").agg(
+        F.bool_or(resolved).alias("resolved"))
     counted = entities.agg(F.count_if("resolved").cast("double").alias("resolved_observations"),
                            F.count(F.lit(1)).cast("double").alias("observed_observations"))
     return counted.where("observed_observations > 0").select(
@@ -132,7 +133,8 @@ def actionable_trends(events: DataFrame, start_ns: int, end_ns: int,
                       latest: DataFrame | None = None) -> DataFrame:
     project = F.when(text("project.name") == "", F.lit("unresolved")).otherwise(
         text("project.name"))
-    return projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
+    return projections(
+        events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("finding.category")).alias("category"),
         _latest(text("detector.id")).alias("detector"), _latest(project).alias("project"),
         _latest(number("occurrence.count")).alias("occurrences"),
@@ -144,7 +146,8 @@ def actionable_trends(events: DataFrame, start_ns: int, end_ns: int,
 
 def trend_context(events: DataFrame, start_ns: int, end_ns: int,
                   latest: DataFrame | None = None) -> DataFrame:
-    latest = projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
+    latest = projections(
+        events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("trend.state")).alias("trend_state"), F.max("timestamp_ns").alias("_last"))
     return latest.groupBy("trend_state").agg(
         F.date_trunc("minute", C.timestamp_of(F.max("_last"))).alias("ts"),
@@ -161,7 +164,8 @@ def signal_mix(events: DataFrame, start_ns: int, end_ns: int,
 
 def detector_yield(events: DataFrame, start_ns: int, end_ns: int,
                    latest: DataFrame | None = None) -> DataFrame:
-    latest = projections(events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
+    latest = projections(
+        events, start_ns, end_ns, *TREND_EVENTS, latest=latest).groupBy("entity_id").agg(
         _latest(text("detector.id")).alias("detector"),
         _latest(text("trend.state")).alias("trend_state"))
     return latest.groupBy("detector").agg(

@@ -144,7 +144,7 @@ def _snapshots(spark: SparkSession, store: str, attempt: str, end_ns: int, statu
 
 def read_snapshots(spark: SparkSession, store: str, name: str = "snapshots") -> DataFrame | None:
     """Snapshots of every attempt that has ended, failed ones included."""
-    table = sinks._table(spark, f"{store}/{name}")
+    table = sinks.table_at(spark, f"{store}/{name}")
     ended = journal.runs(spark, store)
     if table is None or ended is None:
         return None
@@ -165,7 +165,7 @@ def read_latest_rows(spark: SparkSession, store: str) -> DataFrame | None:
     ended = journal.runs(spark, store)
     row = None if ended is None else ended.where("completed_ns is not null").orderBy(
         F.desc("completed_ns"), F.desc("id")).first()
-    return None if row is None else sinks._table(spark, f"{store}/latest/attempt={row['id']}")
+    return None if row is None else sinks.table_at(spark, f"{store}/latest/attempt={row['id']}")
 
 
 def read_events(spark: SparkSession, store: str) -> DataFrame | None:
@@ -190,24 +190,39 @@ _STATE = ["status", "attempt_count", "next_attempt_ns", "created_ns", "delivered
 def outbox(spark: SparkSession, store: str, now_ns: int) -> DataFrame:
     """Events that still have to be delivered, with their delivery state.
 
-    The last attempt that ended left what was pending then; events of runs published since, and
-    snapshots of attempts that ended since, are added as due.
+    The last attempt that ended and delivered left what was pending then. Events of attempts
+    that it did not know, its own snapshots and theirs are added as due; what earlier attempts
+    wrote is not read again.
     """
     ended = journal.runs(spark, store)
-    last = None
+    last, done = None, spark.createDataFrame([], "attempt string, completed_ns long")
     if ended is not None:
         held = {n.removeprefix("attempt=") for n in files.names(spark, f"{store}/outbox")}
-        rows = ended.where("completed_ns is not null").select("id", "completed_ns").orderBy(
-            F.desc("completed_ns"), F.desc("id"))
-        last = next((r["id"] for r in rows.toLocalIterator() if r["id"] in held), None)
-    fresh = read_events(spark, store).select(*E.EVENT_COLUMNS).withColumns({
+        done = ended.where("completed_ns is not null").select(
+            F.col("id").alias("attempt"), "completed_ns")
+        newest_first = done.orderBy(F.desc("completed_ns"), F.desc("attempt"))
+        last = next((r for r in newest_first.toLocalIterator() if r["attempt"] in held), None)
+    until = -1 if last is None else last["completed_ns"]
+    covered = done.where(F.col("completed_ns") <= until).select("attempt")
+    parts = [_markers(spark, store)]
+    events, runs = sinks.table_at(spark, f"{store}/events"), sinks.published_runs(spark, store)
+    if events is not None and runs is not None:
+        new = runs.select("attempt").join(covered, "attempt", "left_anti")
+        parts.append(events.join(new, "attempt").select(*E.EVENT_COLUMNS))
+    shots = sinks.table_at(spark, f"{store}/snapshots")
+    if shots is not None:
+        new = done.where(F.col("completed_ns") >= until).select("attempt")
+        parts.append(shots.join(new, "attempt").select(*E.EVENT_COLUMNS))
+    fresh = parts[0]
+    for part in parts[1:]:
+        fresh = fresh.unionByName(part)
+    fresh = fresh.withColumns({
         "status": F.lit("pending"), "attempt_count": F.lit(0),
         "next_attempt_ns": F.lit(0).cast("bigint"), "created_ns": F.lit(now_ns).cast("bigint"),
         "delivered_ns": F.lit(None).cast("bigint")})
     if last is None:
         return fresh
-    known = spark.read.parquet(f"{store}/outbox/attempt={last}")
-    # delivered events stay as bare ids, so that an event is never sent twice
+    known = spark.read.parquet(f"{store}/outbox/attempt={last['attempt']}")
     return known.unionByName(fresh.join(known.select("event_id"), "event_id", "left_anti"))
 
 
@@ -215,8 +230,8 @@ def deliver_pending(spark: SparkSession, store: str, deliver: Callable[[DataFram
                     now_ns: int) -> tuple[DataFrame, int]:
     """Send what is due, round by round, until nothing is due or nothing arrives.
 
-    Returns the outbox afterwards (delivered events without their content) and how many are
-    pending in it.
+    Returns what the next run has to know and how many events are pending: the pending ones,
+    and the few markers delivered (one a generation), which every run lists again.
     """
     box = sinks.stored(outbox(spark, store, now_ns), "outbox")
     for _ in range(ROUNDS):
@@ -228,10 +243,10 @@ def deliver_pending(spark: SparkSession, store: str, deliver: Callable[[DataFram
         box = sinks.stored(box.drop(*_STATE).join(state, "event_id"), "outbox")
         if tried.where("delivered").isEmpty():
             break
-    done = F.col("status") == "delivered"
-    content = ("attributes_string", "attributes_number")
-    bare = box.withColumns({c: F.when(~done, F.col(c)) for c in content})
-    return bare, box.where(~done).count()
+    pending = box.where("status <> 'delivered'")
+    marks = box.where((F.col("status") == "delivered") & (
+        F.col("event_name") == K.ACTIVATION_EVENT))
+    return pending.unionByName(marks), pending.count()
 
 
 # ---- the run ---------------------------------------------------------------------------

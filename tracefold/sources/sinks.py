@@ -17,7 +17,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from contextvars import ContextVar
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -34,7 +33,10 @@ DAY, BUCKET = "of_day", "of_bucket"
 BUCKETS = 16
 _MANIFEST = "run_id string, run_order long, attempt string, days map<string,array<string>>"
 _LOCAL_WORK: dict[str, str] = {}
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: Tables of each open scratch scope. The scope of a thread is a local property of the context,
+#: so this stays a plain dictionary that can travel with functions of this package.
+_SCRATCH: dict[str, list[str]] = {}
+_SCOPE = "tracefold.scratch"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -64,9 +66,9 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    held = _SCRATCH.get()
-    if held is not None:
-        held.append(path)
+    scope = spark.sparkContext.getLocalProperty(_SCOPE)
+    if scope in _SCRATCH:
+        _SCRATCH[scope].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -75,17 +77,19 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that ``stored`` writes inside, at the end: nothing read from them may
     be used afterwards."""
-    paths: list[str] = []
-    token = _SCRATCH.set(paths)
+    context, scope = spark.sparkContext, uuid.uuid4().hex
+    before = context.getLocalProperty(_SCOPE)
+    _SCRATCH[scope] = []
+    context.setLocalProperty(_SCOPE, scope)
     try:
         yield
     finally:
-        _SCRATCH.reset(token)
-        for path in paths:
+        context.setLocalProperty(_SCOPE, before)
+        for path in _SCRATCH.pop(scope):
             files.remove(spark, path)
 
 
-def _table(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
+def table_at(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
     """The parquet table at the paths, or None while nothing has been written there."""
     reader = spark.read if base is None else spark.read.option("basePath", base)
     try:
@@ -149,7 +153,7 @@ def emit_events(events: DataFrame, path: str) -> None:
 def read_days(spark: SparkSession, path: str, days: Sequence[str]) -> DataFrame | None:
     """Rows of a table laid out by day, from the folders of those days alone."""
     there = [f"{path}/{DAY}={d}" for d in days if files.exists(spark, f"{path}/{DAY}={d}")]
-    return _table(spark, *there, base=path) if there else None
+    return table_at(spark, *there, base=path) if there else None
 
 
 # ---- runs ------------------------------------------------------------------------
@@ -221,12 +225,12 @@ def read_results(spark: SparkSession, path: str, name: str, days: Sequence[str]
         return None
     if days is None:
         # the manifests are joined by attempt, which is a folder: those of no run are not read
-        table = _table(spark, f"{path}/{name}")
+        table = table_at(spark, f"{path}/{name}")
     else:
         held = F.array_intersect(F.col("days")[name], F.array(*map(F.lit, days)))
         wanted = runs.select("attempt", F.explode(held).alias("day")).collect()
         paths = [f"{path}/{name}/attempt={r['attempt']}/{DAY}={r['day']}" for r in wanted]
-        table = _table(spark, *paths, base=f"{path}/{name}") if paths else None
+        table = table_at(spark, *paths, base=f"{path}/{name}") if paths else None
         if table is not None and buckets is not None:
             table = table.where(F.col(BUCKET).isin(*buckets))
     if table is None:
@@ -241,4 +245,4 @@ def read_latest(spark: SparkSession, path: str, name: str, up_to: int | None = N
     if runs is None:
         return None
     last = runs.agg(F.max_by("attempt", F.struct("run_order", "run_id"))).first()[0]
-    return None if last is None else _table(spark, f"{path}/{name}/attempt={last}")
+    return None if last is None else table_at(spark, f"{path}/{name}/attempt={last}")
