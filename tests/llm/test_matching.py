@@ -27,21 +27,124 @@ ASKED = ("A baker in town sold 24 loaves to Anna and 36 loaves to Boris, so how
          "the baker sell to Anna and Boris when every loaf weighs 2 kg in total?")
 
 
-def test_reparameterised_question_is_found_and_slots_must_agree(spark):
+def test_reparameterised_question_is_found_and_names_must_agree(spark):
     other = ASKED.replace("24", "7.5").replace("36", "91").replace("Anna", "Olga").replace(
         "Boris", "Ivan").replace("2 kg", "9 pounds")
-    mixed = ASKED.replace("Anna", "Olga", 1)  # Anna is then two people
+    one_name = ASKED.replace("Anna", "Olga", 1)  # still the item word for word elsewhere
     docs = T.documents(spark, [T.prose(1, 80) + " " + ASKED, T.prose(2, 50) + " " + other,
-                               mixed, T.prose(3, 90), ASKED.lower()])
+                               one_name, T.prose(3, 90), ASKED.lower()])
     rows = {r["doc_id"]: r for r in decontaminate.contaminated(docs, benchmark(spark, ASKED)).collect()}
-    assert rows[0]["coverage"] > 0.9 and rows[0]["changed_slots"] == 0
+    assert rows[0]["coverage"] == 1 and rows[0]["changed_slots"] == 0
     assert rows[1]["coverage"] > 0.9 and rows[1]["changed_slots"] >= 5
-    assert 2 not in rows and 3 not in rows
+    assert rows[2]["coverage"] > 0.5 and rows[4]["coverage"] == 1 and 3 not in rows
     kept = decontaminate.remove_contaminated(docs, benchmark(spark, ASKED))
-    assert {r["doc_id"] for r in kept.collect()} >= {2, 3}
+    assert [r["doc_id"] for r in kept.collect()] == [3]
     assert kept.columns == docs.columns
 
 
+OPENING = ("Anna sold 24 loaves in May. Boris sold 36 loaves in June. Anna gave 5 loaves to Boris. "
+           "How many loaves are left?")
+EQUAL = ("At the fair there were 12 red apples and 12 green pears on the long table, so how many "
+         "pieces of fruit did the children count before the rain came?")
+GIFTS = ("then Anna gave pens to Boris and Boris lent Anna books and Anna sent Boris maps and "
+         "Boris sold Anna toys")
+
+
+def test_names_at_sentence_starts_equal_slots_and_drift(spark):
+    opening = OPENING.replace("Anna", "Olga").replace("Boris", "Ivan").replace(
+        "24", "7").replace("36", "9").replace("5", "2")
+    equal = EQUAL.replace("12 red", "7 red").replace("12 green", "9 green")
+    people = iter(T.WORDS)
+    mixed = " ".join(next(people).capitalize() if w in ("Anna", "Boris") else w
+                     for w in GIFTS.split())
+    steady = GIFTS.replace("Anna", "Olga").replace("Boris", "Ivan")
+    docs = T.documents(spark, [opening, equal, mixed, steady, T.prose(5, 300)])
+    rows = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(
+        docs, benchmark(spark, OPENING, EQUAL, GIFTS)).collect()}
+    assert set(rows) == {(0, 0), (1, 1), (3, 2)}
+    assert rows[0, 0]["coverage"] > 0.6 and rows[1, 1]["changed_slots"] == 2
+
+
+@pytest.mark.parametrize("words", [12, 15, 23, 24, 37])
+def test_one_inserted_or_deleted_word_at_any_place(spark, words):
+    item = T.prose(words, words).lower().rstrip(".").split()
+    edits = [item[:i] + ["extra"] + item[i:] for i in range(words + 1)]
+    if words > 12:  # a twelve-word item keeps at least three of eight windows
+        edits += [item[:i] + item[i + 1:] for i in range(words)]
+    docs = T.documents(spark, [" ".join(e) for e in edits])
+    rows = decontaminate.contaminated(docs, benchmark(spark, " ".join(item)))
+    assert {r["doc_id"] for r in rows.collect()} == set(range(len(edits)))
+
+
+def by_hand(text, item):
+    """The best share of an item's windows in one band, window by window."""
+    import re
+    from collections import Counter
+
+    def tokens(s):
+        raw = re.findall(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z]+(?:['-][A-Za-z]+)*|[.!?:\n]", s)
+        out = []
+        for before, t in zip([".", *raw], raw):
+            if t not in ".!?:\n":
+                kind = ("<num>" if t[0].isdigit() else "<unit>" if before[0].isdigit()
+                        and t.lower() in decontaminate.UNITS else "<name>" if t[0].isupper()
+                        else t.lower())
+                out.append((kind, t.lower()))
+        return out
+
+    a, b = tokens(item), tokens(text)
+    size = 5 if 12 <= len(a) <= 23 else min(8, len(a))
+    total, found = len(a) - size + 1, {}
+    for i in range(total):
+        for j in range(len(b) - size + 1):
+            p, q = a[i:i + size], b[j:j + size]
+            slots = [k for k in range(size) if p[k][0] != p[k][1]]
+            same = [v for _, v in p] == [v for _, v in q]
+            alike = [k for k, _ in p] == [k for k, _ in q] and 1 <= len(slots) <= size // 2
+            for cell in (2 * ((j - i) // 16), 2 * ((j - i + 8) // 16) + 1):
+                if same:
+                    found.setdefault(cell, []).append((i, j, []))
+                if alike:
+                    found.setdefault(cell, []).append((i, j, [
+                        (p[k][1], q[k][1]) for k in slots if p[k][0] == "<name>"]))
+    best = 0
+    for windows in found.values():
+        votes = Counter()
+        for pair, i in {(pair, i) for i, _, pairs in windows for pair in pairs}:
+            votes[pair] += 1
+        agreed = {}
+        for (x, y), n in votes.items():
+            agreed[x] = max(agreed.get(x, (0, "")), (n, y))
+        best = max(best, len({i for i, _, pairs in windows
+                              if all(agreed[x][1] == y for x, y in pairs)}))
+    return best, total
+
+
+def test_random_edits_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(4)
+    items = [ASKED, OPENING, EQUAL, GIFTS]
+    texts, pairs = [], []
+    for n in range(160):
+        at = n % len(items)
+        words = T.prose(n, 10).split() + items[at].split() + T.prose(n + 500, 10).split()
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(words))
+            words[k:k + 1] = rng.choice([[], ["extra", words[k]], ["Olga"], ["17"], ["word"]])
+        texts.append(" ".join(words))
+        pairs.append(at)
+    rows = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.contaminated(
+        T.documents(spark, texts), benchmark(spark, *items)).collect()}
+    want = {}
+    for n, text in enumerate(texts):
+        for at, item in enumerate(items):
+            best, total = by_hand(text, item)
+            if best >= 0.5 * total:
+                want[n, at] = best
+    assert rows == want and 40 < len(want) < 160
+
+
 def test_tables_of_numbers_match_by_their_values(spark):
     table = "12 14 19 20 25 31 44 58 61 70"
     docs = T.documents(spark, [f"Values: {table}", "Values: 1 2 3 4 5 6 7 8 9 10"])
