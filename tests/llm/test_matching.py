@@ -120,9 +120,11 @@ def by_hand(text, item):
     return best, total
 
 
-def test_random_edits_equal_a_plain_search(spark):
+@pytest.mark.parametrize("anchor_words", [0, 5, 128])
+def test_random_edits_equal_a_plain_search(spark, monkeypatch, anchor_words):
     import random
 
+    monkeypatch.setattr(decontaminate, "ANCHOR_WORDS", anchor_words)
     rng = random.Random(4)
     items = [ASKED, OPENING, EQUAL, GIFTS]
     texts, pairs = [], []

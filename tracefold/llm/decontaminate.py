@@ -16,7 +16,8 @@ likeness of templates is not.
 
 Items of 12 to 23 tokens have windows of five, so that one inserted word leaves half of them;
 an item of fewer than eight tokens is one shorter window. Documents are first narrowed,
-without loss, to those that hold the longest word of enough windows of one item.
+without loss, to those that hold the longest word of enough windows of one item, and their
+windows to those around such words.
 
 DataFrame operations only. Null or empty texts and items match nothing. Repeated rows of a
 document are reported once; a null doc_id is kept as such; an empty table gives an empty
@@ -39,6 +40,8 @@ SHORT_WINDOW = 5
 SHORT_ITEMS = (12, 23)
 MIN_COVERAGE = 0.5
 DRIFT = 8
+#: Texts that hold more of the items' words have all their windows hashed, not those around them.
+ANCHOR_WORDS = 128
 
 # Units, as they stand after a number.
 UNITS = ["km", "m", "cm", "mm", "mile", "miles", "meter", "meters", "metre", "metres", "foot",
@@ -95,28 +98,43 @@ def window_size(tokens: Column, window: int = WINDOW) -> Column:
         F.least(F.lit(window), tokens))
 
 
-def windows(rows: DataFrame, sizes: Column, *keep: str, longest: bool = False) -> DataFrame:
-    """One or two rows per window of ``tokens``: at, hash of its plain or template form, slots.
+def windows(rows: DataFrame, *keep: str, longest: bool = False) -> DataFrame:
+    """One or two rows per window of ``tokens``: at, n, hash of its plain or template form, slots.
 
     ``sizes`` is an array of window sizes; sizes beyond the number of tokens give no row.
+    ``words`` holds hashes of words of which a window must hold one (null: all windows stay).
     Plain forms have no slots. ``longest`` adds the longest word that both forms imply.
     Windows are cut inside the row, so that a long text is not copied to each of them.
     """
+    def starts(text: Column, n: Column) -> Column:
+        last = F.size(text["tokens"]) - n + 1
+        around = F.array_distinct(F.flatten(F.transform(text["places"], lambda p: F.sequence(
+            F.greatest(F.lit(1), p - n + 1), F.least(p, last)))))
+        return F.when(last < 1, F.array().cast("array<int>")).otherwise(
+            F.coalesce(around, F.sequence(F.lit(1), last)))
+
     def cut(text: Column) -> Column:
-        tokens = text["tokens"]
-        return F.flatten(F.transform(sizes, lambda n: F.transform(F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
-                F.array().cast("array<int>")), lambda i: F.struct(
-            i.alias("at"), n.alias("n"), F.slice(text["values"], i, n).alias("values"),
-            F.slice(text["kinds"], i, n).alias("kinds"),
-            F.filter(F.slice(tokens, i, n), _is_slot).alias("slots"),
-            *([F.slice(tokens, i, n).alias("part")] if longest else [])))))
+        return F.flatten(F.transform("sizes", lambda n: F.transform(
+            starts(text, n), lambda i: F.struct(
+                i.alias("at"), n.alias("n"), F.slice(text["values"], i, n).alias("values"),
+                F.slice(text["kinds"], i, n).alias("kinds"),
+                F.filter(F.slice(text["tokens"], i, n), _is_slot).alias("slots"),
+                *([F.slice(text["tokens"], i, n).alias("part")] if longest else [])))))
+
+    def placed(text: Column) -> Column:
+        places = F.array_compact(F.transform(text["values"], lambda v, i: F.when(
+            F.array_contains(text["held"], v), i + 1)))
+        return F.struct(*(text[c].alias(c) for c in ("tokens", "kinds", "values")), F.when(
+            F.size(text["held"]) <= ANCHOR_WORDS, places).alias("places"))
 
     hashed = F.transform(F.array("tokens"), lambda t: F.struct(
         t.alias("tokens"), F.transform(t, lambda x: F.xxhash64(x["kind"])).alias("kinds"),
         F.transform(t, lambda x: F.xxhash64(x["value"])).alias("values")))
-    one = rows.select(*keep, F.explode(F.flatten(F.transform(hashed, cut))).alias("w")).select(
-        *keep, "w.*")
+    held = F.transform(hashed, lambda t: F.struct(
+        *(t[c].alias(c) for c in ("tokens", "kinds", "values")),
+        F.array_intersect("words", t["values"]).alias("held")))
+    one = rows.select(*keep, F.explode(F.flatten(F.transform(
+        F.transform(held, placed), cut))).alias("w")).select(*keep, "w.*")
     is_template = F.size("slots").between(1, F.floor(F.col("n") / 2))
     slots = F.transform("slots", lambda t: F.struct(
         (t["kind"] == "<name>").alias("name"), t["value"].alias("value")))
@@ -129,9 +147,9 @@ def windows(rows: DataFrame, sizes: Column, *keep: str, longest: bool = False) -
             F.col("part"))
         extra = [F.array_max(F.transform(words, lambda t: F.struct(
             F.length(t["value"]).alias("n"), t["value"].alias("value"))))["value"].alias("longest")]
-    return one.select(*keep, "at", *extra, F.explode(F.when(is_template, F.array(
+    return one.select(*keep, "at", "n", *extra, F.explode(F.when(is_template, F.array(
         plain, template)).otherwise(F.array(plain))).alias("form")).select(
-        *keep, "at", "form.*", *(["longest"] if longest else []))
+        *keep, "at", "n", "form.*", *(["longest"] if longest else []))
 
 
 def text_key() -> Column:
@@ -143,23 +161,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """doc_id, key (of id and text), item_id, matched, item_windows, coverage, slot_pairs."""
     items = benchmark.select("item_id", typed_tokens(F.col("text")).alias("tokens")).where(
         F.size("tokens") > 0)
-    size = window_size(F.size("tokens"), window)
-    item_windows = stored(windows(items, F.array(size), "item_id", longest=True).distinct(),
-                          "item-windows")
+    item_windows = stored(windows(items.select(
+        "item_id", "tokens", F.array(window_size(F.size("tokens"), window)).alias("sizes"),
+        F.lit(None).cast("array<bigint>").alias("words")), "item_id", longest=True).distinct(),
+        "item-windows")
     totals = item_windows.groupBy("item_id").agg(F.count_distinct("at").alias("item_windows"))
     # documents with the longest words of enough windows of an item
     anchors = item_windows.groupBy("item_id", "longest").agg(F.count_distinct("at").alias("n"))
     held = docs.select(text_key().alias("key"), F.explode(F.array_distinct(
         plain_tokens(F.col("text")))).alias("longest")).join(anchors, "longest").groupBy(
         "key", "item_id").agg(F.sum("n").alias("n"))
+    wanted = item_windows.groupBy("item_id").agg(
+        F.collect_set(F.xxhash64("longest")).alias("words"), F.collect_set("n").alias("sizes"))
     likely = held.join(totals, "item_id").where(
-        F.col("n") >= min_coverage * F.col("item_windows")).select("key").distinct()
+        F.col("n") >= min_coverage * F.col("item_windows")).join(wanted, "item_id").groupBy(
+        "key").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+                     for c in ("words", "sizes")))
     some = stored(docs.select("doc_id", "text", text_key().alias("key")).join(
-        likely, "key", "left_semi").dropDuplicates(["key"]), "likely-documents")
-    sizes = [r[0] for r in items.select(size.alias("n")).distinct().orderBy("n").collect()]
-    doc_windows = windows(some.select("doc_id", "key", typed_tokens(F.col("text")).alias(
-        "tokens")), F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>"),
-        "doc_id", "key")
+        likely, "key").dropDuplicates(["key"]), "likely-documents")
+    doc_windows = windows(some.select("doc_id", "key", "sizes", "words", typed_tokens(
+        F.col("text")).alias("tokens")), "doc_id", "key").drop("n")
     diagonal = F.col("doc_at") - F.col("at")
     hits = stored(doc_windows.withColumnsRenamed({"at": "doc_at", "slots": "doc_slots"}).join(
         item_windows.select("item_id", "hash", "at", "slots"), "hash").select(
