@@ -253,7 +253,9 @@ def capability_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("model-"), text(key % 40)).alias("model"),
         F.when(key % 3 == 0, F.lit("high")).otherwise(F.lit("medium")).alias("effort"),
         F.concat(F.lit("v"), text(key % 2)).alias("tool_version"),
-        F.lit("f").alias("schema_fingerprint"), (key * K.NS_PER_DAY).alias("proven_ns"))
+        F.lit("f").alias("schema_fingerprint"),
+        # a day per key passes the range of a long within 107,000 keys
+        (key.cast("decimal(20,0)") * K.NS_PER_DAY).alias("proven_ns"))
     required = views.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("model-"), text(F.col("s_suppkey") % 50)).alias("model"),
         F.lit("high").alias("effort")).distinct()

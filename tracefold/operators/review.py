@@ -254,5 +254,5 @@ def capability_gaps(proofs: DataFrame, required: DataFrame, now_ns: int, tool_ve
     valid = proofs.where(
         (F.col("tool_version") == tool_version)
         & (F.col("schema_fingerprint") == schema_fingerprint)
-        & (F.col("proven_ns") + 30 * K.NS_PER_DAY > now_ns)).select("model", "effort").distinct()
+        & (F.col("proven_ns") > now_ns - 30 * K.NS_PER_DAY)).select("model", "effort").distinct()
     return required.join(valid, ["model", "effort"], "left_anti")
