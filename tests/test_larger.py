@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from checks.compare import differences
 from tracefold.operators import review
@@ -35,3 +37,29 @@ def test_proofs_near_the_end_of_time_do_not_overflow(spark):
         "tool_version string, schema_fingerprint string, proven_ns long")
     required = spark.createDataFrame([("m", "high")], "model string, effort string")
     assert review.capability_gaps(proofs, required, 100, "v1", "f").count() == 0
+
+
+def test_license_scores_read_each_text_once(spark):
+    from tracefold.llm import licenses
+
+    parts = spark.createDataFrame([(1, 0, "mit license"), (2, 0, "none")],
+                                  "key long, part int, text string")
+    weights = spark.createDataFrame(
+        [(0, "MIT", "mit", 1, 2.0), (0, "MIT", "license", 1, 1.0)],
+        "tid int, license string, term string, tf long, idf double")
+    best = licenses.cosine(parts, weights, F.lit(3.0))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(regexp_extract_all") == 1
+    assert [tuple(r) for r in best.collect()] == [(1, 0, licenses.SCALE, "MIT")]
+
+
+def test_hydrated_rows_are_stored_for_both_branches(spark):
+    from checks import views
+    from tracefold.plans import scan
+
+    sf_dir = "/root/testdata/sf0.001"
+    hydration = scan.scan_window(
+        views.logs_table(spark, sf_dir), views.spans_table(spark, sf_dir),
+        views.project_roots(spark), views.START_NS, views.NOW_NS)[2]
+    assert hydration.inputFiles()
+    assert all("/hydration-" in name for name in hydration.inputFiles())

@@ -106,14 +106,18 @@ def cosine(parts: DataFrame, weights: DataFrame, unseen: Column) -> DataFrame:
     counts = parts.select("key", "part", F.explode(words(F.col("text"))).alias("term")).groupBy(
         "key", "part", "term").agg(F.count("*").alias("n"))
     idf = weights.select("term", "idf").distinct()
-    norms = counts.join(F.broadcast(idf), "term", "left").groupBy("key", "part").agg(
-        F.sum(F.pow(F.col("n") * F.coalesce("idf", unseen), 2)).alias("norm"))
+    # the norm and the template words of a part from one reading of its words
+    read = counts.join(F.broadcast(idf), "term", "left").groupBy("key", "part").agg(
+        F.sum(F.pow(F.col("n") * F.coalesce("idf", unseen), 2)).alias("norm"),
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "n"))).alias("known"))
     template_norm = weights.groupBy("tid").agg(
         F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("tnorm"))
-    dots = counts.join(F.broadcast(weights), "term").groupBy("key", "part", "tid", "license").agg(
-        F.sum(F.col("n") * F.col("tf") * F.pow("idf", 2)).alias("dot"))
+    dots = read.select("key", "part", "norm", F.explode("known").alias("k")).select(
+        "key", "part", "norm", "k.*").join(F.broadcast(weights), "term").groupBy(
+        "key", "part", "tid", "license").agg(
+        F.sum(F.col("n") * F.col("tf") * F.pow("idf", 2)).alias("dot"), F.max("norm").alias("norm"))
     score = F.round(SCALE * F.col("dot") / F.sqrt(F.col("norm") * F.col("tnorm"))).cast("long")
-    best = dots.join(F.broadcast(template_norm), "tid").join(norms, ["key", "part"]).select(
+    best = dots.join(F.broadcast(template_norm), "tid").select(
         "key", "part", score.alias("score"), "license")
     return best.groupBy("key", "part").agg(
         F.max("score").alias("score"),
