@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import differences
 from tracefold.operators import review
+from tracefold.streaming import sequences
 
 
 def test_half_prices_round_as_the_sql_casts(spark, tmp_path):
@@ -63,3 +65,33 @@ def test_hydrated_rows_are_stored_for_both_branches(spark):
         views.project_roots(spark), views.START_NS, views.NOW_NS)[2]
     assert hydration.inputFiles()
     assert all("/hydration-" in name for name in hydration.inputFiles())
+
+
+def test_a_gate_without_an_operation_key_does_not_stop_the_stream():
+    class Held:
+        def __init__(self):
+            self.value, self.asked = {}, 0
+
+        def exists(self):
+            return bool(self.value)
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.value.get(key)
+
+        def updateValue(self, key, value):
+            self.value[key] = value
+
+        def update(self, value):
+            self.value = value
+
+    carry = sequences.TaskCarry()
+    carry.carry, carry.keys, carry.targets = Held(), Held(), Held()
+    cell = Row(*sequences._EVENT_NAMES)
+    rows = [cell(1, "e1", "n", "shell", "ruff", "a.py", "k", 1, True, False),
+            cell(2, "e2", "n", "tool", "apply_patch", "a.py", None, None, False, True),
+            cell(3, "e3", "n", None, None, None, None, 0, True, True),
+            cell(4, "e4", "n", "shell", "ruff", "a.py", "k", 0, True, False)]
+    out = list(carry.handleInputRows(("p", "t"), iter(rows), None))
+    assert [(r.event_id, r.failed_id, r.n) for r in out if r.kind == "gate"] == [("e4", "e1", 3)]
+    assert carry.keys.asked == carry.targets.asked == 0  # a new task has no state to ask for
