@@ -127,3 +127,37 @@ def test_edge_rows(spark):
     empty = T.empty_documents(spark)
     assert simhash.fingerprint_classes(empty).count() == 0
     assert simhash.remove_near_duplicates(empty).count() == 0
+
+
+def test_links_at_a_hot_shingle_stay_few(spark):
+    """400 texts that may all be alike at one shingle: links of one forest, not all pairs."""
+    n = 400
+    sketch = simhash.sketch_of(np.arange(100, dtype=np.uint64))
+    entries = [(7, i, 100, 0, i, sketch, None) for i in range(n)]
+    kind = "key long, node long, n int, at int, label long, sketch binary, other long"
+    met = spark.createDataFrame(entries, kind)
+    links = [(r["a"], r["b"]) for r in simhash.meeting_links(met, 0.8).collect()]
+    assert len(links) == n - 1 and set(groups(links, n)) == {0}
+    refused = spark.createDataFrame([(7, a, None, None, None, None, b) for a, b in links], kind)
+    again = [(r["a"], r["b"]) for r in simhash.meeting_links(met.union(refused), 0.8).collect()]
+    assert len(again) == n - 1 and not set(again) & set(links)
+
+
+def test_fingerprint_links_equal_brute_force(spark):
+    marks = [simhash.simhash64(t or "") for t in planted()]
+    rows = spark.createDataFrame([(i, int(np.array([m], np.uint64).view(np.int64)[0]))
+                                  for i, m in enumerate(marks)], "node long, fingerprint long")
+    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(rows).collect()]
+    pairs = [(i, j) for i in range(len(marks)) for j in range(i)
+             if (marks[i] ^ marks[j]).bit_count() <= 2]
+    assert groups(links, len(marks)) == groups(pairs, len(marks))
+    assert all((marks[a] ^ marks[b]).bit_count() <= 2 for a, b in links)
+
+
+def test_sketches_bound_what_texts_share():
+    rng = np.random.default_rng(2)
+    for size in (10, 300, 90_000):  # the last one fills its cells
+        x = np.unique(rng.integers(0, 4 * size, size).astype(np.uint64) * np.uint64(2654435761))
+        y = np.unique(np.concatenate([x[:size // 2], x[:size // 4] + np.uint64(1)]))
+        a, b = (np.frombuffer(simhash.sketch_of(h), np.uint8)[None] for h in (x, y))
+        assert simhash.may_share(a, b)[0] >= len(np.intersect1d(x, y))

@@ -11,8 +11,8 @@ Only a spanning forest of the links found in a batch leaves a task: links that j
 joined already add nothing to the groups. Equal fingerprints count as one.
 
 ``fingerprint_classes``: one row per row of the table; a text without words (null, empty,
-blank) has fingerprint zero and is linked like any other. ``near_duplicates`` below works on
-the shingles of the texts, without fingerprints. Both give an empty result for an empty table, keep repeated rows as the texts they
+blank) has fingerprint zero and is linked like any other. ``near_duplicates`` below checks the
+links of fingerprints on the whole texts and finds those further apart by shingles. Both give an empty result for an empty table, keep repeated rows as the texts they
 repeat, and use no column but doc_id and text.
 """
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm import common as C
@@ -108,9 +108,10 @@ def anchor_rows(marks: DataFrame, blocks: list[Block]) -> DataFrame:
         spread, ", ".join(f"{n} long" for n in names) + ", key long, home boolean")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which edges, in the given order, join what was apart (union-find)."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> np.ndarray:
+    """Which edges, in the given order, join what was apart (union-find), going on from
+    ``parent`` if it is given."""
+    parent = {} if parent is None else parent
 
     def root(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
@@ -269,6 +270,9 @@ SHINGLE, LIKENESS = 5, 0.8
 COUNTED_TEXTS, COMMON_SHINGLES = 5_000, 200_000
 #: Against rounding: a bound is never taken higher than it is.
 SLACK = 1e-6
+#: Cells of a sketch, which counts the shingles of a text by their lowest bits; a cell of FULL or
+#: more has no known count. Pairs of sketches that a task holds at once.
+SKETCH, FULL, SKETCHES_AT_ONCE = 256, 255, 20_000
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -287,6 +291,11 @@ def likeness(a: str, b: str, width: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    cells = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(cells, FULL).astype(np.uint8).tobytes()
+
+
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the shingles that a sample of the texts repeats."""
     one_in = max(1, docs.count() // COUNTED_TEXTS)
@@ -367,20 +376,36 @@ def meetings(entries: DataFrame, least: float) -> DataFrame:
         meet, "key long, node long, n int, at int, near long")
 
 
-def meeting_links(met: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between all entries (key, node, n, at, label) of a key that may be alike
-    and have different labels.
+def may_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most shingles that texts of these sketches (a row each) can share."""
+    least = np.minimum(x, y).astype(np.int64)
+    return np.where(least == FULL, 1 << 40, least).sum(axis=1)
+
 
-    Entries of a key's most frequent label are not compared with each other. Links leave as
-    they are found, so that a task never holds more than those of COMPARE_AT_ONCE pairs.
+def meeting_links(met: DataFrame, least: float, forests: int = 1) -> DataFrame:
+    """Links (key, a, b) between entries (key, node, n, at, label, sketch, other) that may be
+    alike and have different labels: ``forests`` disjoint spanning forests of the labels of each
+    key, so a key gives fewer links than ``forests`` times its entries.
+
+    A row with ``other`` is no entry: it says that node and other have been found not alike.
+    Entries of a key's most frequent label are not compared with each other.
     """
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in whole_groups(parts):
-            node, label = part["node"].to_numpy(), part["label"].to_numpy()
+        for whole in whole_groups(parts):
+            is_entry = whole["other"].isna()
+            refused = whole.loc[~is_entry, ["key", "node", "other"]].astype("int64").rename(
+                columns={"node": "a", "other": "b"}).drop_duplicates()
+            part = whole[is_entry]
+            if not len(part):
+                continue
+            key = part["key"].to_numpy()
+            node, label = part["node"].to_numpy(), part["label"].to_numpy().astype(np.int64)
             n, at = part["n"].to_numpy().astype(np.int64), part["at"].to_numpy()
-            group, _ = group_numbers(part["key"].to_numpy())
-            counts = pd.DataFrame({"group": group, "label": label}).value_counts(
-                ["group", "label"]).reset_index()
+            sketch = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(-1, SKETCH)
+            group, _ = group_numbers(key)
+            named = pd.DataFrame({"group": group, "label": label})
+            place_of = named.groupby(["group", "label"], sort=False).ngroup().to_numpy()
+            counts = named.value_counts(["group", "label"]).reset_index()
             most = counts.drop_duplicates("group").set_index("group")["label"]
             home = label != most.reindex(group).to_numpy()
             rows = np.flatnonzero(home)
@@ -389,6 +414,7 @@ def meeting_links(met: DataFrame, least: float) -> DataFrame:
                 least * n[rows] - SLACK).astype(np.int64), "left")
             high = np.searchsorted(place, group[rows] << 32 | np.floor(
                 n[rows] / least + SLACK).astype(np.int64), "right")
+            joined: list[dict[int, int]] = [{} for _ in range(forests)]
             done = 0
             while done < len(rows):
                 many = np.cumsum((high - low)[done:done + COMPARE_AT_ONCE])
@@ -402,13 +428,44 @@ def meeting_links(met: DataFrame, least: float) -> DataFrame:
                 keep = (label[left] != label[right]) & (~home[right] | (left < right))
                 left, right = left[keep], right[keep]
                 keep = may_be_alike(n[left], n[right], at[left], at[right], least)
-                a, b = node[left[keep]], node[right[keep]]
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(
-                        a, b)}).drop_duplicates()
+                left, right = left[keep], right[keep]
+                spare = np.concatenate([np.zeros(0, np.float64), *(
+                    may_share(sketch[left[c]], sketch[right[c]])
+                    - least / (1 + least) * (n[left[c]] + n[right[c]])
+                    for c in C.chunks(len(left), SKETCHES_AT_ONCE))])
+                keep = spare >= -SLACK
+                left, right, spare = left[keep], right[keep], spare[keep]
+                links = pd.DataFrame({
+                    "key": key[left], "a": np.minimum(node[left], node[right]),
+                    "b": np.maximum(node[left], node[right]), "x": place_of[left],
+                    "y": place_of[right], "spare": spare, "gap": np.abs(left - right)})
+                if len(refused) and len(links):
+                    links = links.merge(refused, how="left", indicator="known")
+                    links = links[links.pop("known") == "left_only"]
+                # chains rather than stars: no text is in very many links
+                links = links.sort_values(["spare", "gap", "a", "b"],
+                                          ascending=[False, True, True, True])
+                for parent in joined:
+                    joins = forest(links["x"].to_numpy(), links["y"].to_numpy(), parent)
+                    if joins.any():
+                        yield links.loc[joins, ["key", "a", "b"]]
+                    links = links[~joins]
 
     return met.repartition("key").sortWithinPartitions("key", "n", "node").mapInPandas(
-        compare, "a long, b long").distinct()
+        compare, "key long, a long, b long")
+
+
+def fingerprint_links(texts: DataFrame, most_apart: int = 2) -> DataFrame:
+    """Links (a, b) of ``texts`` (node, fingerprint) whose SimHash differs in ``most_apart`` bits
+    at most: a chain of the texts with equal fingerprints, and the anchors' links of their firsts.
+    """
+    order = Window.partitionBy("fingerprint").orderBy("node")
+    chain = texts.select(F.col("node").alias("b"), F.lag("node").over(order).alias("a")).where(
+        "a is not null").select("a", "b")
+    firsts = stored(texts.groupBy("fingerprint").agg(F.min("node").alias("node")).select(
+        "node", F.col("fingerprint").alias("w0")), "classes")
+    return chain.unionByName(anchor_links(firsts, even_blocks(64, most_apart // 2 + 1),
+                                          most_apart).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE,
@@ -416,19 +473,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
     """(texts, groups): digest, node, first text id of every different text; node, label of
     those that are linked, directly or through others, by a likeness of ``least`` or more.
 
-    An exact join: with all shingles in one order (rarest first), two texts so alike share a
-    shingle within their prefixes, and its places bound what they can share; every pair that
-    passes is checked on the whole texts. Neighbours in size at every shingle are checked
-    first; pairs that these have joined already need no check. A null text counts as empty.
+    SimHash gives the first links (fingerprints at most two bits apart), each checked on the
+    whole texts. Texts that an edit of some length put further apart meet at shingles: with all
+    shingles in one order (rarest first), two texts so alike share a shingle within their
+    prefixes, and its places and the sketches bound what they can share. Neighbours in size at
+    every shingle are checked first, then forests of the links between groups still apart, in
+    rounds: links that hold join their groups, others are not tried again, until none is left.
+    So every pair so alike ends in one group. A null text counts as empty.
     """
     text = F.coalesce("text", F.lit(""))
     common = common_shingles(docs, width)
 
-    @F.pandas_udf("n int, prefix array<long>")
+    @F.pandas_udf("n int, prefix array<long>, sketch binary, fingerprint long")
     def marks(texts: pd.Series) -> pd.DataFrame:
         sets = [rarest_first(shingle_hashes(t, width), common) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "prefix": [
-            s[:prefix_length(len(s), least)].view(np.int64) for s in sets]})
+        return pd.DataFrame({
+            "n": [len(s) for s in sets],
+            "prefix": [s[:prefix_length(len(s), least)].view(np.int64) for s in sets],
+            "sketch": [sketch_of(s) for s in sets],
+            "fingerprint": np.array([simhash64(t) for t in texts], np.uint64).view(np.int64)})
 
     texts = stored(docs.select("doc_id", F.md5(text).alias("digest"), marks(text).alias(
         "marks")).groupBy("digest").agg(
@@ -450,33 +513,62 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
             wanted, "digest").dropDuplicates(["node"]).select("node", "text"), "linked-texts")
         left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        return stored(links.join(left, "a").join(right, "b").where(
-            alike("x", "y") >= least).select("a", "b"), "checked-links")
+        return stored(links.join(left, "a").join(right, "b").select(
+            "a", "b", (alike("x", "y") >= least).alias("holds")), "checked-links")
+
+    def between_groups(links: DataFrame, labels: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(
+                f"of_{end}")), end, "left")
+        return links.withColumns({f"of_{end}": F.coalesce(f"of_{end}", end) for end in (
+            "a", "b")}).where("of_a <> of_b")
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """``labels`` after joining the groups that ``links`` join."""
+        joined = components(between_groups(links, labels).select(
+            F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        higher = joined.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        return stored(labels.join(higher, "label", "left").select(
+            "node", F.coalesce("higher", "label").alias("label")).unionByName(
+            joined.join(labels, "node", "left_anti")), "groups")
 
     # texts without words have no shingle to meet at; all are alike
     blank = texts.where("n = 0")
     blank = blank.crossJoin(blank.agg(F.min("node").alias("b"))).select(
         F.col("node").alias("a"), "b").where("a <> b")
-    near = stored(met.where("near IS NOT NULL").select(
+    first = checked(stored(fingerprint_links(texts.select("node", "fingerprint")),
+                           "fingerprint-links"))
+    labels = components(first.where("holds").select("a", "b").unionByName(blank))
+    near = between_groups(met.where("near IS NOT NULL").select(
         F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(),
-        "near-links")
-    groups = components(checked(near).unionByName(blank))
-    # every other link whose ends are still apart is checked as well, and joins whole groups
-    labels = groups.select("node", "label")
-    labelled = met.drop("near").join(labels, "node", "left").select(
-        "key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-    apart = stored(meeting_links(labelled, least).join(near, ["a", "b"], "left_anti"),
-                   "links-apart")
-    joined = checked(apart)
-    for end in ("a", "b"):
-        joined = joined.join(groups.select(F.col("node").alias(end), F.col("label").alias(
-            f"of_{end}")), end, "left")
-    joined = components(joined.select(
-        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
-    higher = joined.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-    return texts, groups.join(higher, "label", "left").select(
-        "node", F.coalesce("higher", "label").alias("label")).unionByName(
-        joined.join(groups, "node", "left_anti"))
+        labels).select("a", "b")
+    tried = checked(stored(near, "near-links"))
+    labels = merged(labels, tried.where("holds"))
+    refused, forests = tried.unionByName(first).where("not holds").select("a", "b"), 1
+    entries = met.drop("near")
+    while True:
+        labelled = entries.select("key", "node", "n", "at").join(labels, "node", "left").select(
+            "key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+        # two entries of a key are neighbours, which have been checked
+        apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias(
+            "high"), F.count(F.lit(1)).alias("held")).where(
+            "low <> high and held > 2").select("key")
+        entries = stored(labelled.join(apart, "key"), "entries-apart")
+        a = entries.select("key", F.col("node").alias("a"), F.col("label").alias("of_a"))
+        b = entries.select("key", F.col("node").alias("b"), F.col("label").alias("of_b"))
+        known = refused.distinct().join(a, "a").join(b, ["key", "b"]).where(
+            "of_a <> of_b").select("key", F.col("a").alias("node"), F.col("b").alias("other"))
+        rows = entries.join(texts.select("node", "sketch"), "node").unionByName(
+            known, allowMissingColumns=True)
+        links = stored(meeting_links(rows, least, forests), "links-apart")
+        if links.isEmpty():
+            return texts, labels
+        tried = checked(links.select("a", "b").distinct())
+        labels = merged(labels, tried.where("holds"))
+        # a key without links has none left
+        entries = entries.join(links.select("key").distinct(), "key")
+        refused = refused.unionByName(tried.where("not holds").select("a", "b"))
+        forests *= 4
 
 
 def remove_near_duplicates(docs: DataFrame) -> DataFrame:
