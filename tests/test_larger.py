@@ -95,3 +95,31 @@ def test_a_gate_without_an_operation_key_does_not_stop_the_stream():
     out = list(carry.handleInputRows(("p", "t"), iter(rows), None))
     assert [(r.event_id, r.failed_id, r.n) for r in out if r.kind == "gate"] == [("e4", "e1", 3)]
     assert carry.keys.asked == carry.targets.asked == 0  # a new task has no state to ask for
+
+
+def test_application_windows_are_not_enumerated_for_each_application(spark):
+    """Counts of windows that cross weeks, and no row per slot of every application."""
+    from tracefold.plans import gates
+
+    hour = 3600 * 10**9
+    at = 480_000 * hour
+    apps = spark.createDataFrame([(f"a{i}", f"f{i % 3}", at + i % 2 * 5 * hour) for i in range(
+        40)], "application_id string, fingerprint string, applied_ns long")
+    seen = [(f"f{i % 2}", at + o * hour + 7) for i, o in enumerate(
+        (-169, -168, -1, -1, 0, 4, 5, 167, 168, 172, 173))]
+    observations = spark.createDataFrame(seen, "fingerprint string, occurred_at_ns long")
+    runs = spark.createDataFrame([("succeeded", at + o * hour) for o in range(-160, 100)],
+                                 "status string, started_ns long")
+    out = gates.application_change(apps, observations, runs)
+    rows = {r["application_id"]: r for r in out.collect()}
+    assert len(rows) == 40
+    for i in range(40):
+        place, own = at + i % 2 * 5 * hour, [o for f, o in seen if f == f"f{i % 3}"]
+        r, week = rows[f"a{i}"], 168 * hour
+        assert r["baseline_count"] == sum(place - week <= o < place for o in own)
+        assert r["follow_up_count"] == sum(place <= o < place + week for o in own)
+        assert (r["baseline_slots"], r["follow_up_slots"]) == ((160, 100), (165, 95))[i % 2]
+    # the slots are generated above the distinct hours, not above the applications
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    slots = plan[plan.index("explode(sequence(("):]
+    assert "Aggregate [at" in plan and "application_id" not in slots.split("Aggregate [at")[0]

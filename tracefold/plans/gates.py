@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions import columns as C
@@ -59,23 +59,35 @@ def application_change(applications: DataFrame, observations: DataFrame,
     """Observations in the week before and after each application.
 
     A window is evaluable with at least 152 of its 168 hourly slots completed.
-    ``applications``: application_id, fingerprint, applied_ns (on an hour). Windows are
-    enumerated as slots, so both counts are equi-joins.
+    ``applications``: application_id, fingerprint, applied_ns (on an hour). Slots are enumerated
+    once for each hour of an application, not for each application; observations meet
+    applications by the two or three weeks that their windows touch.
     """
-    hour = 3600
-    applied = C.floor_div(F.col("applied_ns"), K.NS_PER_SECOND)
-    offsets = F.explode(F.sequence(F.lit(-168), F.lit(167)))
-    slots = applications.select("application_id", "fingerprint", applied.alias("at"), offsets.alias("o")).select(
-        "application_id", "fingerprint", (F.col("at") + F.col("o") * hour).alias("slot_start"),
-        F.when(F.col("o") < 0, F.lit("baseline")).otherwise(F.lit("follow_up")).alias("window"))
-    covered = audit.slot_coverage(runs).where("covered").select(
-        "slot_start", F.lit(1).alias("ok"))
+    hour, week = 3600, 168 * 3600
+    placed = applications.select("application_id", "fingerprint", C.floor_div(
+        F.col("applied_ns"), K.NS_PER_SECOND).alias("at"))
+
+    def per_window(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        before = F.col("slot_start") < F.col("at")
+        return df.groupBy(key).agg(F.sum(F.when(before, value)).alias(f"baseline_{name}"),
+                                   F.sum(F.when(~before, value)).alias(f"follow_up_{name}"))
+
+    covered = audit.slot_coverage(runs).where("covered").select("slot_start")
+    slots = placed.select("at").distinct().withColumn("slot_start", F.explode(F.sequence(
+        F.col("at") - week, F.col("at") + week - hour, F.lit(hour))))
+    slots = per_window(slots.join(covered, "slot_start"), "at", F.lit(1), "slots")
+    slots = placed.join(slots, "at", "left").groupBy("application_id").agg(*(
+        F.sum(c).alias(c) for c in ("baseline_slots", "follow_up_slots")))
     hits = observations.groupBy("fingerprint", audit.slot_of(F.col("occurred_at_ns")).alias(
-        "slot_start")).agg(F.count(F.lit(1)).alias("n"))
-    joined = slots.join(covered, "slot_start", "left").join(
-        hits, ["fingerprint", "slot_start"], "left")
-    per = joined.groupBy("application_id").agg(*(
-        F.coalesce(F.sum(F.when(F.col("window") == w, F.col(c))), F.lit(0)).alias(f"{w}_{name}")
-        for w in ("baseline", "follow_up") for c, name in (("ok", "slots"), ("n", "count"))))
+        "slot_start")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "week", C.floor_div(F.col("slot_start"), week))
+    counts = placed.withColumn("week", F.explode(F.sequence(
+        C.floor_div(F.col("at") - week, week), C.floor_div(F.col("at") + week - hour, week)))
+    ).join(hits, ["fingerprint", "week"]).where(
+        (F.col("slot_start") >= F.col("at") - week) & (F.col("slot_start") < F.col("at") + week))
+    counts = per_window(counts, "application_id", F.col("n"), "count")
+    per = slots.join(counts, "application_id", "left").select("application_id", *(
+        F.coalesce(f"{w}_{name}", F.lit(0)).alias(f"{w}_{name}")
+        for w in ("baseline", "follow_up") for name in ("slots", "count")))
     return per.withColumn("evaluable", (F.col("baseline_slots") >= 152)
                           & (F.col("follow_up_slots") >= 152))
