@@ -161,3 +161,35 @@ def test_sketches_bound_what_texts_share():
         y = np.unique(np.concatenate([x[:size // 2], x[:size // 4] + np.uint64(1)]))
         a, b = (np.frombuffer(simhash.sketch_of(h), np.uint8)[None] for h in (x, y))
         assert simhash.may_share(a, b)[0] >= len(np.intersect1d(x, y))
+
+
+def test_refused_links_stay_with_the_shingle_that_gave_them(spark, monkeypatch):
+    """Long texts, each of 42 of the same 60 passages: every pair shares many rare shingles and
+    none is alike. A shingle gets back links it gave, not each refused pair that shares it."""
+    rng, sizes, checked = random.Random(8), [], []
+    passages = [T.prose(2_000 + i, 70) for i in range(60)]
+    texts = [" ".join(passages[p] for p in sorted(rng.sample(range(60), 42))) for _ in range(16)]
+    texts += [T.prose(5, 90), T.prose(5, 90) + " end"]
+    given = simhash.meeting_links
+    stored = simhash.stored
+
+    def links(met, least, forests=1):
+        entries, refused = (met.where(f"other is {s}null").count() for s in ("", "not "))
+        sizes.append((entries, refused, forests))
+        return given(met, least, forests)
+
+    def counted(df, name, path=None):
+        out = stored(df, name, path)
+        if name == "checked-links":
+            checked.extend((r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "meeting_links", links)
+    monkeypatch.setattr(simhash, "stored", counted)
+    assert_kept_equals_brute_force(spark, texts)
+    assert len(checked) == len(set(checked))  # no pair is checked twice
+    assert sizes[0][0] > 1_000 and sizes[0][1] <= sizes[0][0]
+    before = 1
+    for entries, refused, forests in sizes:  # all forests so far, and the neighbours
+        assert refused <= sizes[0][0] * (before + forests)
+        before += forests

@@ -479,7 +479,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
     prefixes, and its places and the sketches bound what they can share. Neighbours in size at
     every shingle are checked first, then forests of the links between groups still apart, in
     rounds: links that hold join their groups, others are not tried again, until none is left.
-    So every pair so alike ends in one group. A null text counts as empty.
+    So every pair so alike ends in one group. A pair is checked once, and a shingle remembers
+    the links refused of those it gave itself, never all refused pairs that share it: no table
+    is longer than the links given, a few for each text at a shingle. A null text counts as
+    empty.
     """
     text = F.coalesce("text", F.lit(""))
     common = common_shingles(docs, width)
@@ -516,6 +519,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
         return stored(links.join(left, "a").join(right, "b").select(
             "a", "b", (alike("x", "y") >= least).alias("holds")), "checked-links")
 
+    @F.pandas_udf("boolean")
+    def sketches_allow(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SKETCH) for s in (x, y))
+        return pd.Series(may_share(left, right)
+                         >= least / (1 + least) * (n + m).to_numpy() - SLACK)
+
+    def possible(links: DataFrame) -> DataFrame:
+        """Links that the sketches of both texts allow to hold."""
+        for end, size, sketch in (("a", "n", "x"), ("b", "m", "y")):
+            links = links.join(texts.select(F.col("node").alias(end), F.col("n").alias(size),
+                                            F.col("sketch").alias(sketch)), end)
+        return links.where(sketches_allow("n", "m", "x", "y")).select("a", "b")
+
     def between_groups(links: DataFrame, labels: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(
@@ -536,15 +552,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
     blank = texts.where("n = 0")
     blank = blank.crossJoin(blank.agg(F.min("node").alias("b"))).select(
         F.col("node").alias("a"), "b").where("a <> b")
-    first = checked(stored(fingerprint_links(texts.select("node", "fingerprint")),
+    first = checked(stored(fingerprint_links(texts.select("node", "fingerprint")).distinct(),
                            "fingerprint-links"))
     labels = components(first.where("holds").select("a", "b").unionByName(blank))
-    near = between_groups(met.where("near IS NOT NULL").select(
-        F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(),
-        labels).select("a", "b")
-    tried = checked(stored(near, "near-links"))
+    given = met.where("near IS NOT NULL").select(
+        "key", F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"))
+    near = between_groups(given.select("a", "b").distinct(), labels).select("a", "b")
+    tried = checked(stored(possible(near).join(first, ["a", "b"], "left_anti"), "near-links"))
     labels = merged(labels, tried.where("holds"))
-    refused, forests = tried.unionByName(first).where("not holds").select("a", "b"), 1
+    verdicts, forests = first.select("a", "b", "holds").unionByName(tried), 1
+    refused = stored(given.join(verdicts.where("not holds"), ["a", "b"]).select(
+        "key", "a", "b"), "refused")
     entries = met.drop("near")
     while True:
         labelled = entries.select("key", "node", "n", "at").join(labels, "node", "left").select(
@@ -554,20 +572,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE,
             "high"), F.count(F.lit(1)).alias("held")).where(
             "low <> high and held > 2").select("key")
         entries = stored(labelled.join(apart, "key"), "entries-apart")
-        a = entries.select("key", F.col("node").alias("a"), F.col("label").alias("of_a"))
-        b = entries.select("key", F.col("node").alias("b"), F.col("label").alias("of_b"))
-        known = refused.distinct().join(a, "a").join(b, ["key", "b"]).where(
-            "of_a <> of_b").select("key", F.col("a").alias("node"), F.col("b").alias("other"))
         rows = entries.join(texts.select("node", "sketch"), "node").unionByName(
-            known, allowMissingColumns=True)
+            refused.join(apart, "key", "left_semi").select(
+                "key", F.col("a").alias("node"), F.col("b").alias("other")),
+            allowMissingColumns=True)
         links = stored(meeting_links(rows, least, forests), "links-apart")
         if links.isEmpty():
             return texts, labels
-        tried = checked(links.select("a", "b").distinct())
+        tried = checked(stored(links.select("a", "b").distinct().join(
+            verdicts, ["a", "b"], "left_anti"), "new-links"))
         labels = merged(labels, tried.where("holds"))
+        verdicts = verdicts.unionByName(tried)
         # a key without links has none left
         entries = entries.join(links.select("key").distinct(), "key")
-        refused = refused.unionByName(tried.where("not holds").select("a", "b"))
+        refused = stored(refused.unionByName(links.join(
+            verdicts.where("not holds"), ["a", "b"]).select("key", "a", "b")), "refused")
         forests *= 4
 
 
