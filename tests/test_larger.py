@@ -123,3 +123,21 @@ def test_application_windows_are_not_enumerated_for_each_application(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     slots = plan[plan.index("explode(sequence(("):]
     assert "Aggregate [at" in plan and "application_id" not in slots.split("Aggregate [at")[0]
+
+
+def test_raw_logs_are_dealt_before_their_maps_are_built(spark, monkeypatch):
+    from checks import views
+
+    plans = []
+
+    def spy(df, name, path=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(views, "stored", spy)
+    monkeypatch.setattr(views, "_STORED", {})
+    monkeypatch.setattr(views, "_PATHS", {})
+    for build in (views.logs_table, views.spans_table):
+        build(spark, "/root/testdata/sf0.001")
+        above, dealt = plans.pop().split("Repartition", 1)
+        assert "map_from_entries" in above and "map_from_entries" not in dealt
