@@ -141,3 +141,13 @@ def test_raw_logs_are_dealt_before_their_maps_are_built(spark, monkeypatch):
         build(spark, "/root/testdata/sf0.001")
         above, dealt = plans.pop().split("Repartition", 1)
         assert "map_from_entries" in above and "map_from_entries" not in dealt
+
+
+def test_lag_windows_of_the_loop_are_computed_once(spark):
+    from tracefold.operators import detectors
+
+    rows = spark.range(1, 41).selectExpr(
+        "'p' as project_id", "'t' as task_id", "id as pos", "string(id % 3) as op_key")
+    runs = detectors._lag_runs(rows, 4, 16)
+    assert "lead(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.lag, r.first_pos, r.stop_pos) for r in runs.collect()} == {(3, 1, 37)}
