@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from tests.test_detectors import brute_loop, task_sequences
 from tracefold.functions import constants as K
 from tracefold.operators import detectors, observations
 from tracefold.sources.sinks import new_path
@@ -93,6 +94,67 @@ def test_loops_do_not_depend_on_how_operations_are_cut():
         assert best == brute(ops) or best[0] == brute(ops)[0] == 0
 
 
+def long_cycles():
+    """Operations of tasks whose longest loops have cycles above 32 operations, or nearly so."""
+    def ops(n, name="o"):
+        return [f"{name}{i}" for i in range(n)]
+
+    rng = random.Random(8)
+    return {
+        "forty": ops(3, "x") + (ops(40) * 3)[:97] + ops(2, "y"),
+        "hundred": ops(5, "x") + ops(100) * 2,
+        "edge": ops(33) * 2, "one_short": ops(33) + ops(32), "short": ops(32) * 3,
+        "beaten": ops(35) * 2 + ["a", "b"] * 40,
+        "tied": ops(33) * 2 + ["a", "b"] * 33, "tied_after": ["a", "b"] * 33 + ops(33) * 2,
+        "nested": (["a", "b"] * 20 + ["c"]) * 3, "same": ["a"] * 80,
+        "noise": [rng.choice("ab") for _ in range(120)], "none": ops(70),
+    }
+
+
+def test_stream_finds_loops_of_cycles_of_any_length(spark):
+    tasks = long_cycles()
+    rows = [(f"{t}-{i:04d}", i * HOUR // 6, "p", t, True, "codex.tool_result", "shell", key, None,
+             key, None, None, False) for t, keys in tasks.items() for i, key in enumerate(keys)]
+    rows.append(("end", 60 * HOUR, "p", "end", True, "codex.tool_result", "shell", "z", None, "z",
+                 None, None, False))
+    rows.sort(key=lambda r: r[1])
+    path, out = new_path(spark, "events"), new_path(spark, "sequences")
+    for i in range(4):  # cycles go on over files and cells
+        part = rows[i * len(rows) // 4:(i + 1) * len(rows) // 4]
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.stream_files(spark, path, spark.read.parquet(path).schema, 1)
+    sequences.run_sequences(stream, out, new_path(spark, "log"))
+    found = sequences.sequence_members(spark, out).where("detector_id = 'tool_loop'")
+    got = sorted(map(tuple, found.select("task_id", "ordinal", "event_id", "member_count"
+                                         ).collect()))
+    best = {t: brute_loop(keys) for t, keys in tasks.items()}
+    assert best["forty"] == (80, 3) and best["hundred"] == (200, 5) and best["edge"] == (66, 0)
+    assert got == sorted((t, k + 1, f"{t}-{b[1] + k:04d}", b[0])
+                         for t, b in best.items() if b for k in range(b[0]))
+
+
+def test_summary_and_long_loops_together_are_every_loop(spark):
+    tasks = task_sequences(12, 45, 70, "abcd") | {"same": ["a"] * 60}
+    rows, want, got = [], {}, {}
+    for task, keys in tasks.items():
+        tail, runs, best, done = [], [0] * 4, (0, 0), 0
+        while done < len(keys):
+            part = keys[done:done + 7]
+            tail, runs, best = sequences.extend_loops(tail, runs, done, best, part, max_cycle=4)
+            done += len(part)
+        got[task] = best
+        total, start = brute_loop(keys) or (0, -1)
+        want[task] = (total, -start - 1)
+        rows += [("p", task, f"{task}-{i}", i + 1, key) for i, key in enumerate(keys)]
+    ops = spark.createDataFrame(
+        rows, "project_id string, task_id string, event_id string, pos long, op_key string")
+    longer = sequences.long_loops(ops, max_cycle=4, block=16).collect()
+    assert any((r.n, -r.first_pos) > got[r.task_id] for r in longer)
+    for r in longer:
+        got[r.task_id] = max(got[r.task_id], (r.n, -r.first_pos))
+    assert got == want
+
+
 def test_trends_move_with_the_batches_and_read_eight_days(spark, monkeypatch):
     day = K.NS_PER_DAY
     rng = random.Random(7)
